@@ -74,7 +74,7 @@ def main() -> int:
     from revgrain.session import local_session
 
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(args.sf)
     names = [n for n in catalog.QUERIES if not args.names or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args.names)]
     bad = 0

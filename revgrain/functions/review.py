@@ -82,3 +82,18 @@ def valid_conversation(messages: Column | str) -> Column:
     return (F.size(m) <= 200) & F.forall(
         m, lambda x: F.coalesce(x["role"].isin("user", "agent"), F.lit(False)) & (F.length(x["text"]) <= 16000)
     )
+
+
+def first_finding_error(item: Column, unknown_id: Column) -> Column:
+    """First fault of a model finding (struct with location, reason, suggestion), or null if it holds.
+
+    ``unknown_id`` is an evidence id the finding names but that does not exist, or null.
+    """
+
+    def blank(name: str) -> Column:
+        return F.coalesce(item[name], F.lit("")) == ""
+
+    fault = F.when(item.isNull(), "not a dict")
+    for name in ("location", "reason", "suggestion"):
+        fault = fault.when(blank(name), f"missing field '{name}'")
+    return fault.when(unknown_id.isNotNull(), F.concat(F.lit("evidence_id '"), unknown_id, F.lit("' not found in pool")))

@@ -1,0 +1,29 @@
+"""Join each row with the many small values of its key without emitting the pairs that do not match."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+CHUNK = 256
+
+
+def pack(values: DataFrame, keys: list[str], columns: list[str], alias: str = "packed") -> DataFrame:
+    """Distinct values of each key in arrays of about ``CHUNK``; a large key gives several arrays, none is cut."""
+    rows = values.select(*keys, *columns).distinct()
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
+    chunked = rows.join(sizes, keys).withColumn(
+        "_chunk", F.expr(f"pmod(xxhash64({', '.join(columns)}), _chunks)")
+    )
+    packed = chunked.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*columns)).alias(alias))
+    return packed.drop("_chunk")
+
+
+def join_matching(
+    rows: DataFrame, values: DataFrame, keys: list[str], columns: list[str], matches: Callable[[Column], Column]
+) -> DataFrame:
+    """``rows`` with every value of the same key for which ``matches(value)`` holds, one output row per match."""
+    packed = pack(values, keys, columns)
+    hits = rows.join(packed, keys).withColumn("_hit", F.explode(F.filter("packed", matches)))
+    return hits.select(*rows.columns, *[F.col(f"_hit.{c}").alias(c) for c in columns])

@@ -31,6 +31,14 @@ _SLOT = """case {} % 5 when 0 then 'definition' when 1 then 'implementation' whe
 _SOURCE = """case {} % 5 when 0 then 'resolve_symbol' when 1 then 'read_window' when 2 then 'verify_callsite'
   when 3 then 'verify_callees' else 'search_references' end"""
 
+
+
+def _bits(column: str, words: list[str]) -> str:
+    """Comma list of the words whose bit is set in the column; the modulo form reads the same on both engines."""
+    parts = ", ".join(f"case when {column} % {2 << i} >= {1 << i} then ',{w}' else '' end" for i, w in enumerate(words))
+    return f"substr(concat({parts}), 2)"
+
+
 # name -> (table, filter, columns)
 SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
     "v_files": ("documents", "true", {"doc_id": "doc_id", "path": _PATH, "text": "text"}),
@@ -84,7 +92,84 @@ SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
         "case o_orderstatus when 'F' then 'high' when 'O' then 'medium' else 'low' end",
         "language": "case o_custkey % 4 when 0 then 'python' when 1 then 'javascript' when 2 then 'typescript' else 'go' end",
         "change_type": "case o_orderkey % 3 when 0 then 'feature' when 1 then 'bugfix' else 'refactor' end",
-        "files": "o_custkey % 60", "lines": "cast(o_totalprice as bigint) % 900", "seq": "o_orderkey",
+        "files": "o_custkey % 60", "lines": "cast(floor(o_totalprice) as bigint) % 900", "seq": "o_orderkey",
+    }),
+    # Diff texts: one per order, two files each; names and counts come from the order.
+    "v_diffs": ("orders", "true", {
+        "repo_id": "concat('repo_', o_custkey % 30)", "base": "concat('b', o_orderkey)", "head": "concat('h', o_orderkey)",
+        "name_status": """concat('M', chr(9), 'src/m', o_custkey % 40, '.py', chr(10), case o_orderkey % 4
+  when 0 then concat('A', chr(9), 'docs/n', o_orderkey % 9, '.md') when 1 then concat('D', chr(9), 'old', o_orderkey % 9, '.py')
+  when 2 then concat('R087', chr(9), 'lib/a', o_orderkey % 9, '.py', chr(9), 'lib/b', o_orderkey % 9, '.py')
+  else concat('C100', chr(9), 'x.py', chr(9), 'y', o_orderkey % 9, '.py') end, chr(10))""",
+        "numstat": """concat(o_orderkey % 70, chr(9), o_custkey % 30, chr(9), 'src/m', o_custkey % 40, '.py', chr(10), case o_orderkey % 4
+  when 0 then concat('-', chr(9), '-', chr(9), 'docs/n', o_orderkey % 9, '.md') when 1 then concat('0', chr(9), o_custkey % 50, chr(9), 'old', o_orderkey % 9, '.py')
+  when 2 then concat('3', chr(9), '1', chr(9), 'lib/{a', o_orderkey % 9, '.py => b', o_orderkey % 9, '.py}')
+  else concat('x', chr(9), '2', chr(9), 'y', o_orderkey % 9, '.py') end, chr(10))""",
+        "diff": """concat('diff --git a/src/m', o_custkey % 40, '.py b/src/m', o_custkey % 40, '.py', chr(10), '--- a', chr(10), '@@ -', o_orderkey % 90 + 1,
+  case when o_orderkey % 3 = 0 then '' else ',5' end, ' +', o_custkey % 80 + 1, ',6 @@ def f', chr(10), '+x = 1', chr(10),
+  '@@ -200,7 +', o_custkey % 50 + 200, ' @@', chr(10), '-y', chr(10), 'diff --git a/lib/n', o_orderkey % 9, '.py b/lib/n', o_orderkey % 9, '.py', chr(10),
+  '@@ -1 +1,', o_orderkey % 20, ' @@', chr(10), '+', o_orderpriority, chr(10))""",
+    }),
+    # Lint reports: one JSON text per order.
+    "v_reports": ("orders", "true", {
+        "run_id": "concat('run_', o_orderkey)",
+        "ruff": """concat('[{"filename": "src/m', o_custkey % 40, '.py", "code": "F', o_orderkey % 900, '", "message": "', o_orderpriority,
+  '", "location": {"row": ', o_orderkey % 90 + 1, ', "column": 1}, "end_location": {"row": ', o_orderkey % 90 + 2, '}}, {"filename": "b.py", "code": "E501", "message": "long"}]')""",
+        "bandit": """concat('{"results": [{"filename": "src/m', o_custkey % 40, '.py", "test_id": "', case when o_orderkey % 2 = 0 then 'B' else '' end, o_orderkey % 700,
+  '", "issue_severity": "', case o_orderkey % 4 when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'HIGH' else 'UNDEFINED' end,
+  '", "issue_text": "', o_orderpriority, '", "line_number": ', o_orderkey % 90 + 1, '}]}')""",
+    }),
+    # Plans: predicted and true analyzer and reason sets, as comma lists built from the bits of the order's keys.
+    "v_plans": ("orders", "true", {
+        "sample_id": "o_orderkey",
+        "predicted": _bits("o_custkey", ["git", "python_ast", "ruff", "bandit", "dependency"]),
+        "truth": _bits("o_orderkey", ["git", "python_ast", "ruff", "bandit", "dependency"]),
+        "predicted_reasons": _bits("o_custkey", ["sql_risk", "large_diff", "auth_change"]),
+        "true_reasons": _bits("o_orderkey", ["large_diff", "sql_risk", "auth_change", "no_python_changes"]),
+        "risk_level": "case o_custkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end",
+        "true_risk_level": "case o_orderkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end",
+    }),
+    # Investigation records: one per order; answers and expectations from its keys.
+    "v_records": ("orders", "true", {
+        "sample_id": "o_orderkey", "seq": "o_orderkey", "question_type": _QTYPE.format("o_orderkey"),
+        "is_follow_up": "o_custkey % 4 = 0", "follow_up_group": "case when o_custkey % 3 = 0 then '' else concat('g', o_custkey % 500) end",
+        "step_count": "o_orderkey % 7", "answer": "concat('Order Goes to src/m', o_custkey % 40, '.py:', o_orderkey % 9, ' ', o_orderpriority)",
+        "expected_words": """case o_orderkey % 4 when 0 then 'goes' when 1 then 'goes,urgent' when 2 then 'order,low' else '' end""",
+        "expected_file": "case when o_orderkey % 5 = 0 then null else concat('src/m', o_custkey % 37, '.py') end",
+        "verdict": """case o_custkey % 5 when 0 then 'correct' when 1 then 'partially_correct' when 2 then 'incorrect' when 3 then 'unjudgeable' else 'correct' end""",
+        "judge_error_type": "case when o_custkey % 11 = 0 then 'judge_unavailable' when o_custkey % 13 = 0 then 'judge_invalid_schema' else null end",
+        "trace": """case o_orderkey % 7 when 0 then 'fallback: grep' when 1 then 'budget: GAP exhausted' when 2 then 'budget_exhausted: tokens'
+  when 3 then 'tool_error: read' when 4 then 'budget: MAIN exhausted' else 'ok' end""",
+        "status": "case o_custkey % 9 when 0 then 'budget_exhausted' when 1 then 'failed' else 'success' end",
+        "action": "case o_custkey % 2 when 0 then 'MAIN' else 'RETOOL' end",
+        "decision": "case o_custkey % 17 when 0 then 'STOP_FILE_LIMIT' when 1 then 'BUDGET' else 'CONTINUE' end",
+        "final_status": "case o_orderkey % 19 when 0 then 'STOP_STEP_LIMIT' else 'DONE' end",
+        "project": "case o_custkey % 3 when 0 then 'alpha' when 1 then 'beta' else 'gamma' end",
+    }),
+    # Issue verdicts: one per order line, at the line's place in its order.
+    "v_verdicts": ("lineitem", "true", {
+        "sample_id": "l_orderkey", "issue_index": "l_linenumber - 1", "verdict":
+        "case when l_tax < 0.03 then 'false_positive' when l_tax > 0.06 then 'uncertain' else 'correct' end", "ev_id": _EV,
+    }),
+    "v_missed": ("lineitem", "l_returnflag = 'R'", {"sample_id": "l_orderkey", "severity": _SEVERITY}),
+    "v_sample_state": ("orders", "true", {
+        "sample_id": "o_orderkey", "pipeline_error": "case when o_custkey % 23 = 0 then 'clone failed' else null end",
+        "issue_count": "o_orderkey % 4", "has_judgment": "o_custkey % 7 <> 0",
+        "judgment_error": "case when o_custkey % 10 = 0 then 'parse' else null end",
+        "risk_level": "case o_custkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end",
+    }),
+    # Questions: one per order, in the wordings the planner rules tell apart.
+    "v_questions": ("orders", "true", {
+        "query_id": "o_orderkey",
+        "question": """concat(case o_orderkey % 12 when 0 then 'where is ' when 1 then 'list every use of ' when 2 then 'what does '
+  when 3 then 'who calls ' when 4 then 'what breaks if I change ' when 5 then 'compare ' when 6 then 'API endpoint for '
+  when 7 then 'find ' when 8 then 'explain purpose of ' when 9 then 'which module imports ' when 10 then '接口在哪里 ' else 'show ' end,
+  case o_custkey % 6 when 0 then concat('"Order', o_custkey % 50, '.load_', o_custkey % 7, '"') when 1 then concat('Cust', o_custkey % 50, '.find_all')
+  when 2 then concat('load_row', o_custkey % 9, ' and save_row_x') when 3 then concat('Store::', 'put', o_custkey % 30)
+  when 4 then 'the function class' else concat('"part.size_', o_custkey % 5, '" or "Line', o_custkey % 11, '"') end,
+  case o_orderkey % 5 when 0 then ' defined' when 1 then ' do' when 2 then ' in pipeline' when 3 then '' else ' diff' end)""",
+        "target": """case o_custkey % 9 when 0 then '@cached' when 1 then 'try:' when 2 then 'os.path.join' when 3 then concat('app.Model', o_custkey % 40)
+  when 4 then concat('Model', o_custkey % 40, '.save') when 5 then 'Evidence' when 6 then concat('load_', o_custkey % 40) when 7 then 'two words' else '  ' end""",
     }),
     # Contract targets: one slot row per order line.
     "v_target_slots": ("lineitem", "true", {

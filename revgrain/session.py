@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "revgrain") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config(CHECKPOINT_CONF, f"{scratch}/checkpoints")
