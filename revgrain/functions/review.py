@@ -73,7 +73,7 @@ def status_label(status: Column | str) -> Column:
 
 def latency_label(duration_ms: Column | str) -> Column:
     d = col(duration_ms)
-    return F.when(d != 0, F.format_string("%.1fs", d / 1000)).otherwise("-")
+    return F.when(d != 0, F.format_string("%.1fs", F.bround(d / 1000, 1))).otherwise("-")
 
 
 def valid_conversation(messages: Column | str) -> Column:

@@ -161,7 +161,7 @@ def _(t):
     return plans.withColumn("analyzers", F.array_join("analyzers", ",")).withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 
-@query("finding_errors", "F27", """select finding_id, case when message = 'flag A' then 'missing field ''location''' when start_line = 2 then 'missing field ''reason''' when tool = 'ruff' and start_line = 3 then 'missing field ''suggestion'''
+@query("finding_errors", "F27", """select finding_id, case when message = 'flag A' then 'missing field ''location''' when f.start_line = 2 then 'missing field ''reason''' when tool = 'ruff' and f.start_line = 3 then 'missing field ''suggestion'''
     when e.ev_id is null then concat('evidence_id ''', f.evidence_id, ''' not found in pool') end as error
   from v_findings f left join v_evidence e on f.run_id = e.run_id and f.evidence_id = e.ev_id""")
 def _(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revgrain import fixed
 from revgrain.operators import ranking
 from revgrain.plans.registry import query
 
@@ -71,3 +72,157 @@ SEARCHES = {"q_words": ["that", "with", "this"], "q_from": ["from"], "q_data": [
 @query("search_topk", "W01 F04 F05 F06 P04 S03", _search_sql(SEARCHES, 20))
 def _(t):
     return ranking.search_topk(t.lines, SEARCHES, 20)
+
+
+_FILE_WORDS = {"q_m1": "m1", "q_test": "test", "q_app": "app"}
+
+
+@query("filename_search", "W02", " union all ".join(f"""select * from (select '{q}' as query_id, path, file_type, cast({TYPE_SCORE_SQL} + case when contains(fname, '{w}') then 200 else 0 end as int) as score,
+    cast(row_number() over (order by {TYPE_SCORE_SQL} + case when contains(fname, '{w}') then 200 else 0 end desc, path) as int) as rank
+  from ({CLASSED.format(source='v_files')}) where contains(path, '{w}')) where rank <= 50""" for q, w in _FILE_WORDS.items()))
+def _(t):
+    return ranking.filename_search(t.files, _FILE_WORDS, 50)
+
+
+_TERMS = {"r_from": ("io.from", "references"), "r_call": ("data", "callers"), "r_text": ("e.g", "literal")}
+_BAD_DIR = "len(list_filter(string_split(lower(path), '/'), lambda s: s in ('docs','docs_src','examples','tests','test','benchmarks','scripts','__pycache__'))) > 0"
+
+
+def _reference_sql() -> str:
+    tests = {"r_from": f"regexp_matches(line, '{EDGE_L}from{EDGE_R}')", "r_call": f"regexp_matches(line, '{EDGE_L}data\\s*\\(') and prio = 0", "r_text": "contains(line, 'e.g')"}
+    parts = " union all ".join(f"select '{q}' as query_id, * from src where {c}" for q, c in tests.items())
+    return f"""with src as (select path, line_no, line, case when {_BAD_DIR} then 1 else 0 end as prio from v_lines where ends_with(path, '.py')),
+      hits as ({parts}), a as (select *, row_number() over (partition by query_id, path order by line_no) as hr, dense_rank() over (partition by query_id order by prio, path) as fr from hits),
+      b as (select *, row_number() over (partition by query_id order by fr, line_no) as rank from a where hr <= 3 and (fr < 20 or (fr = 20 and hr = 1)))
+      select query_id, cast(rank as int) as rank, path, cast(line_no as int) as line_no,
+        regexp_replace(line, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g') as snippet from b where rank <= 50"""
+
+
+@query("reference_search", "W03 P05", _reference_sql())
+def _(t):
+    return ranking.reference_search(t.lines, _TERMS)
+
+
+_EV = "select run_id as query_id, ev_id, file, confidence, ev_id as seq from v_evidence"
+
+
+@query("select_evidence", "W04", f"""with a as (select *, row_number() over (partition by query_id, file order by confidence desc, seq) as fr from ({_EV})),
+  b as (select *, row_number() over (partition by query_id order by fr > 3, confidence desc, seq) as rank from a)
+  select query_id, ev_id, file, confidence, cast(rank as int) as rank from b where rank <= 20""")
+def _(t):
+    ev = t.evidence.select(F.col("run_id").alias("query_id"), "ev_id", "file", "confidence", F.col("ev_id").alias("seq"))
+    return ranking.select_evidence(ev).drop("seq")
+
+
+@query("truncate_evidence", "W06")
+def _(t):
+    return ranking.truncate_evidence(t.judged_evidence).select("sample_id", "ev_id", "place")
+
+
+def _knowledge_sql(k: int) -> str:
+    parts = " union all ".join(
+        "select doc_id as query_id, " + " + ".join(f"(case when contains(lower(text), '{w}') then 1 else 0 end)" for w in r["tags"])
+        + f" as score, {i} as rule, '{r['source']}' as source, '{r['content']}' as content from documents" for i, r in enumerate(fixed.KNOWLEDGE_RULES))
+    return f"""select query_id, cast(row_number() over (partition by query_id order by score desc, rule) as int) as rank, rule, source, content, score
+      from ({parts}) where score > 0 qualify row_number() over (partition by query_id order by score desc, rule) <= {k}"""
+
+
+@query("knowledge_topk", "W07", _knowledge_sql(5))
+def _(t):
+    return ranking.knowledge_topk(t.documents.select(F.col("doc_id").alias("query_id"), "text"), fixed.KNOWLEDGE_RULES)
+
+
+@query("vector_topk", "W08", """with q as (select label, arg_min(embedding, vec_id) as v from embeddings group by label),
+  s as (select concat('q', q.label) as query_id, e.label as collection, vec_id as item_id, list_cosine_similarity(cast(q.v as double[]), cast(embedding as double[])) as similarity from q, embeddings e)
+  select query_id, collection, item_id, round(similarity, 6) as similarity, cast(row_number() over (partition by query_id, collection order by similarity desc, item_id) as int) as rank from s
+  qualify row_number() over (partition by query_id, collection order by similarity desc, item_id) <= 5""")
+def _(t):
+    items = t.embeddings.select(F.col("label").alias("collection"), F.col("vec_id").alias("item_id"), "embedding")
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))  # one request per collection
+    requests = [(f"q{r['label']}", list(r["v"])) for r in first.orderBy("label").collect()]
+    return ranking.vector_topk(items, requests).withColumn("similarity", F.round("similarity", 6))
+
+
+_QUESTIONS = {"q1": "where is the review pipeline module m12", "q2": "项目结构 lib tests", "q3": "zzz"}
+
+
+@query("map_select", "W10", """with r as (select path, lower(concat(path, ' pipeline', doc_id % 5)) as low from v_files),
+  s as (select 'q1' as query_id, path, (case when contains(low, 'where') then 1 else 0 end) + (case when contains(low, 'the') then 1 else 0 end) + (case when contains(low, 'review') then 1 else 0 end)
+      + (case when contains(low, 'pipeline') then 1 else 0 end) + (case when contains(low, 'module') then 1 else 0 end) + (case when contains(low, 'm12') then 1 else 0 end) + (case when contains(lower(path), 'pipeline') then 4 else 0 end) as score from r
+    union all select 'q2', path, (case when contains(low, 'lib') then 1 else 0 end) + (case when contains(low, 'tests') then 1 else 0 end) from r union all select 'q3', path, 0 from r),
+  h as (select query_id, path, score, row_number() over (partition by query_id order by score desc, path) as rank from s where score > 0),
+  f as (select query_id, path, score, row_number() over (partition by query_id order by path) as rank from s where query_id not in (select query_id from h))
+  select query_id, path, cast(score as int) as score, cast(rank as int) as rank from h where rank <= 6 union all select query_id, path, cast(score as int), cast(rank as int) from f where rank <= 3""")
+def _(t):
+    records = t.files.select("path", F.array(F.expr("concat('pipeline', doc_id % 5)")).alias("symbols"))
+    return ranking.map_select(records, _QUESTIONS)
+
+
+@query("gap_rank", "W11", """select query_id, symbol, slot, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by case slot when 'verified_callee_edge' then 0 when 'verified_caller_edge' then 0
+    when 'implementation' then 1 when 'definition' then 2 else 3 end, seq) as rank from v_target_slots where not verified and not blocked) where rank <= 3""")
+def _(t):
+    return ranking.gap_rank(t.target_slots.where("not verified and not blocked")).select("query_id", "symbol", "slot", "rank")
+
+
+@query("rank_context_files", "W12", """select run_id as query_id, file, count(*) as hits, bool_or(regexp_matches(snippet, '(?i)\b(?:class|def)\s+(sym1|sym12)\b')) as defines, false as low_priority from v_evidence group by all""")
+def _(t):
+    return ranking.rank_context_files(t.evidence.withColumnRenamed("run_id", "query_id"), ["sym1", "sym12"])
+
+
+@query("best_candidate", "W13", f"select doc_id % 50 as name, path from v_files qualify row_number() over (partition by doc_id % 50 order by case when {_BAD_DIR} then 1 else 0 end, doc_id) = 1")
+def _(t):
+    rows = t.files.select((F.col("doc_id") % 50).alias("name"), "path", F.col("doc_id").alias("seq"))
+    return ranking.best_candidate(rows, ["name"]).select("name", "path")
+
+
+@query("context_windows", "W14", """with h as (select concat('run_', l_orderkey % 20) as query_id, concat('src/m', l_partkey % 40, '.py') as path, l_suppkey * 37 % 4000 as line_no, max(case when l_returnflag = 'R' then 4 else 1 end) as weight
+    from lineitem where l_suppkey * 37 % 4000 between 1 and 3900 group by all),
+  s as (select *, greatest(1, line_no - 30) as s, least(3900, line_no + 30) as e from h),
+  o as (select *, case when lag(e) over w is null or s > lag(e) over w + 1 then 1 else 0 end as opens from s window w as (partition by query_id, path order by line_no)),
+  i as (select *, sum(opens) over (partition by query_id, path order by line_no) as island from o),
+  g as (select query_id, path, min(s) as start_line, max(e) as end_line, sum(weight) as weight from i group by query_id, path, island),
+  k as (select *, row_number() over (partition by query_id, path order by weight desc, start_line) as r from g)
+  select query_id, path, start_line, end_line, cast(weight as bigint) as weight, cast(row_number() over (partition by query_id, path order by start_line) as int) as window_no from k where r <= 3""")
+def _(t):
+    hits = t.lineitem.selectExpr("concat('run_', l_orderkey % 20) as query_id", "concat('src/m', l_partkey % 40, '.py') as path", "l_suppkey * 37 % 4000 as line_no",
+                                 "l_returnflag = 'R' as is_definition", "bigint(3900) as n_lines")
+    return ranking.context_windows(hits)
+
+
+@query("snippet_windows", "W15", """with h as (select path, line_no from v_lines where contains(line, 'license'))
+  select h.path, cast(h.line_no as int) as line_no, string_agg(concat(l.line_no, '| ', l.line), chr(10) order by l.line_no) as snippet, cast(max(l.line_no) as int) as end_line
+  from h join v_lines l on l.path = h.path and l.line_no between h.line_no - 2 and h.line_no + 5 group by h.path, h.line_no""")
+def _(t):
+    return ranking.snippet_windows(t.lines.where(F.col("line").contains("license")), t.lines, 2, 5)
+
+
+@query("read_windows", "W15")
+def _(t):
+    before, after = fixed.DEFAULT_WINDOW
+    return ranking.snippet_windows(t.lines.where(F.col("line").contains("license")), t.lines, before, after, fixed.WINDOW_CHARS)
+
+
+@query("stratified_sample", "W16", """with s as (select sample_id, seq, risk_level, language = 'python' or language = 'go' as py, language <> 'python' as other, files from v_samples),
+  b as (select sample_id, seq, case when risk_level = 'high' then 1 when risk_level = 'medium' then 2 when not py then 4 when other then 5 else 3 end as part from s union all select sample_id, seq, 6 from s where files = 0 or files > 50),
+  r as (select *, row_number() over (partition by part order by seq) as rn from b), q as (select * from r where rn <= [8, 10, 8, 4, 4, 2][part]),
+  d as (select * from q qualify row_number() over (partition by sample_id order by part, rn) = 1)
+  select sample_id, case part when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'non_python' when 5 then 'mixed' else 'edge' end as bucket from d order by part, rn limit 40""")
+def _(t):
+    rows = t.samples.select("sample_id", "seq", "risk_level", F.col("language").isin("python", "go").alias("has_python"), (F.col("language") != "python").alias("has_other"), "files")
+    return ranking.stratified_sample(rows, 40).select("sample_id", "bucket")
+
+
+@query("dedupe_first", "W17", "select group_id, sample_id from v_samples qualify row_number() over (partition by group_id order by seq) = 1")
+def _(t):
+    return ranking.dedupe_first(t.samples.select("group_id", "sample_id", "seq"), ["group_id"], [F.asc("seq")]).drop("seq")
+
+
+@query("definition_lines", "W18", """select path, cast(line_no as int) as line_no, cast(row_number() over (partition by path order by line_no) as int) as rank from v_lines
+  where regexp_matches(line, '(?i)^\\s*(?:class|def|async\\s+def|function)\\s+(of|the|a)([^\\p{L}\\p{N}_]|$)') qualify row_number() over (partition by path order by line_no) <= 5""")
+def _(t):
+    return ranking.definition_lines(t.lines, ["of", "the", "a"]).select("path", "line_no", "rank")
+
+
+@query("most_recent", "W19", "select o_orderkey, o_custkey from orders order by o_orderdate desc, o_orderkey limit 100")
+def _(t):
+    return ranking.most_recent(t.orders, "o_orderdate", ["o_orderkey"], 100).select("o_orderkey", "o_custkey")

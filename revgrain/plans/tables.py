@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _KEY = "concat('{}', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey)"
 _FND, _EV = _KEY.format("fnd_"), _KEY.format("ev_")
+_SEQ = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
 _SEVERITY = """case when l_quantity >= 45 then 'critical' when l_quantity >= 35 then 'high'
   when l_quantity >= 20 then 'medium' when l_quantity >= 8 then 'low' else 'info' end"""
 _VERDICT = """case when quality = 1 and toxic = 0 then 'correct' when quality = 1 then 'partially_correct'
@@ -158,6 +159,17 @@ SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
         "judgment_error": "case when o_custkey % 10 = 0 then 'parse' else null end",
         "risk_level": "case o_custkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end",
     }),
+    # Task evidence: one row per order line, a task per (order, symbol).
+    "v_task_evidence": ("lineitem", "true", {
+        "query_id": "l_orderkey", "task_id": "concat('task_', l_partkey % 40)", "target": "concat('app.sym', l_partkey % 40)",
+        "ev_id": _EV, "seq": _SEQ, "source": _SOURCE.format("l_suppkey"), "file": _MODULE, "start_line": "l_linenumber",
+        "snippet": "concat('def sym', l_suppkey % 40, '(x): call', l_suppkey % 7, '(y)')", "ok": "l_discount >= 0.02",
+    }),
+    # Judged evidence: samples of about twenty rows, so that some are cut and some are not.
+    "v_judged_evidence": ("lineitem", "true", {
+        "sample_id": "l_partkey % 3000", "ev_id": _EV, "seq": _SEQ, "confidence": "round(1 - l_discount, 2)",
+        "is_cited": "l_linenumber = 1", "is_expected": "l_suppkey % 3 > 0",
+    }),
     # Questions: one per order, in the wordings the planner rules tell apart.
     "v_questions": ("orders", "true", {
         "query_id": "o_orderkey",

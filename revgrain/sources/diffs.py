@@ -72,10 +72,10 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
     head = r"^@@ -(\d+),?(\d*) \+(\d+),?(\d*) @@"
     patches = split_file_patches(diffs, max_chars=None)
     found = F.regexp_extract_all("patch", F.lit("(?m)" + head), F.lit(0))
-    rows = patches.select(*KEYS, "path", F.posexplode(found).alias("hunk", "head"))
+    rows = patches.select(*KEYS, "path", F.posexplode(found).alias("hunk", "header"))
 
     def number(group: int) -> Column:
-        text = F.regexp_extract("head", head, group)
+        text = F.regexp_extract("header", head, group)
         return F.coalesce(F.nullif(text, F.lit("")), F.lit("1")).cast("int")
 
     return rows.select(
