@@ -44,7 +44,7 @@ def fill_slots(tasks: DataFrame, evidence: DataFrame, targets: DataFrame) -> Dat
     Call edges count as verified only; other sources count as plain evidence as well.
     """
     rows = evidence.withColumn("slot", questions.source_slot("source")).where(F.col("slot").isNotNull())
-    rows = rows.join(tasks, ["query_id", "task_id"]).select("query_id", "ev_id", "slot", "target").distinct()
+    rows = rows.select("query_id", "task_id", "ev_id", "slot").join(tasks, ["query_id", "task_id"]).select("query_id", "ev_id", "slot", "target").distinct()
     filled = join_matching(
         rows, targets, ["query_id"], ["symbol"],
         lambda v: F.contains(F.col("target"), v["symbol"]) | F.contains(v["symbol"], F.col("target")),

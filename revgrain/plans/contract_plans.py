@@ -125,7 +125,7 @@ _REPORT_LABELS = "case slot " + " ".join(f"when '{s}' then '{fixed.SLOT_LABEL[s]
 @query("slot_report", "S25", f"""with r as (select distinct query_id, symbol, slot from v_target_slots), f as (select distinct query_id, symbol, slot, ev_id from v_target_slots where verified),
   k as (select *, row_number() over (partition by query_id, symbol, slot order by ev_id) as n from f qualify n <= 3),
   b as (select r.query_id, r.symbol, list_position(['definition', 'implementation', 'verified_caller_edge', 'verified_callee_edge', 'candidate_reference'], r.slot) as slot_no, coalesce(k.n, 1) as line_no,
-    concat('  [', {_REPORT_LABELS.replace('case slot', 'case r.slot')}, '] ', coalesce(concat(e.file, ':', e.start_line, ' — ', left(e.snippet, 200)), '尚待确认')) as line
+    concat('  [', {_REPORT_LABELS.replace('case slot', 'case r.slot')}, '] ', coalesce(e.file || ':' || e.start_line || ' — ' || left(e.snippet, 200), '尚待确认')) as line
     from r left join (k join v_task_evidence e using (query_id, ev_id)) using (query_id, symbol, slot))
   select query_id, symbol, cast(slot_no as int) as slot_no, cast(line_no as int) as line_no, line from b union all select distinct query_id, symbol, 0, 0, concat('## ', symbol) from r""")
 def _(t):

@@ -119,17 +119,22 @@ def _(t):
     return ranking.truncate_evidence(t.judged_evidence).select("sample_id", "ev_id", "place")
 
 
+# The built-in rules' tags do not occur in the given texts, so the query brings rules of its own.
+_RULES = [{"content": "c1", "source": "s1", "tags": ["that", "with"]}, {"content": "c2", "source": "s2", "tags": ["this"]},
+          {"content": "c3", "source": "s3", "tags": ["from", "license", "the"]}] + fixed.KNOWLEDGE_RULES
+
+
 def _knowledge_sql(k: int) -> str:
     parts = " union all ".join(
         "select doc_id as query_id, " + " + ".join(f"(case when contains(lower(text), '{w}') then 1 else 0 end)" for w in r["tags"])
-        + f" as score, {i} as rule, '{r['source']}' as source, '{r['content']}' as content from documents" for i, r in enumerate(fixed.KNOWLEDGE_RULES))
+        + f" as score, {i} as rule, '{r['source']}' as source, '{r['content']}' as content from documents" for i, r in enumerate(_RULES))
     return f"""select query_id, cast(row_number() over (partition by query_id order by score desc, rule) as int) as rank, rule, source, content, score
       from ({parts}) where score > 0 qualify row_number() over (partition by query_id order by score desc, rule) <= {k}"""
 
 
 @query("knowledge_topk", "W07", _knowledge_sql(5))
 def _(t):
-    return ranking.knowledge_topk(t.documents.select(F.col("doc_id").alias("query_id"), "text"), fixed.KNOWLEDGE_RULES)
+    return ranking.knowledge_topk(t.documents.select(F.col("doc_id").alias("query_id"), "text"), _RULES)
 
 
 @query("vector_topk", "W08", """with q as (select label, arg_min(embedding, vec_id) as v from embeddings group by label),
@@ -217,10 +222,14 @@ def _(t):
     return ranking.dedupe_first(t.samples.select("group_id", "sample_id", "seq"), ["group_id"], [F.asc("seq")]).drop("seq")
 
 
-@query("definition_lines", "W18", """select path, cast(line_no as int) as line_no, cast(row_number() over (partition by path order by line_no) as int) as rank from v_lines
-  where regexp_matches(line, '(?i)^\\s*(?:class|def|async\\s+def|function)\\s+(of|the|a)([^\\p{L}\\p{N}_]|$)') qualify row_number() over (partition by path order by line_no) <= 5""")
+_CODE_LINES = """select concat('src/m', l_partkey % 40, '.py') as path, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as line_no,
+  concat(case l_suppkey % 5 when 0 then '  def ' when 1 then 'class ' when 2 then 'async  def ' when 3 then 'x = ' else 'Function ' end, 'Sym', l_partkey % 13, '(x)') as line from lineitem"""
+
+
+@query("definition_lines", "W18", f"""select path, line_no, cast(row_number() over (partition by path order by line_no) as int) as rank from ({_CODE_LINES})
+  where regexp_matches(line, '(?i)^\\s*(?:class|def|async\\s+def|function)\\s+(sym1|sym12)\\b') qualify row_number() over (partition by path order by line_no) <= 5""")
 def _(t):
-    return ranking.definition_lines(t.lines, ["of", "the", "a"]).select("path", "line_no", "rank")
+    return ranking.definition_lines(t.spark.sql(_CODE_LINES.replace("from lineitem", "from {lineitem}"), lineitem=t.lineitem), ["sym1", "sym12"]).select("path", "line_no", "rank")
 
 
 @query("most_recent", "W19", "select o_orderkey, o_custkey from orders order by o_orderdate desc, o_orderkey limit 100")

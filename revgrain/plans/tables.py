@@ -134,7 +134,7 @@ SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
     "v_records": ("orders", "true", {
         "sample_id": "o_orderkey", "seq": "o_orderkey", "question_type": _QTYPE.format("o_orderkey"),
         "is_follow_up": "o_custkey % 4 = 0", "follow_up_group": "case when o_custkey % 3 = 0 then '' else concat('g', o_custkey % 500) end",
-        "step_count": "o_orderkey % 7", "answer": "concat('Order Goes to src/m', o_custkey % 40, '.py:', o_orderkey % 9, ' ', o_orderpriority)",
+        "step_count": "cast(o_orderkey % 7 as int)", "answer": "concat('Order Goes to src/m', o_custkey % 40, '.py:', o_orderkey % 9, ' ', o_orderpriority)",
         "expected_words": """case o_orderkey % 4 when 0 then 'goes' when 1 then 'goes,urgent' when 2 then 'order,low' else '' end""",
         "expected_file": "case when o_orderkey % 5 = 0 then null else concat('src/m', o_custkey % 37, '.py') end",
         "verdict": """case o_custkey % 5 when 0 then 'correct' when 1 then 'partially_correct' when 2 then 'incorrect' when 3 then 'unjudgeable' else 'correct' end""",
@@ -170,6 +170,14 @@ SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
         "sample_id": "l_partkey % 3000", "ev_id": _EV, "seq": _SEQ, "confidence": "round(1 - l_discount, 2)",
         "is_cited": "l_linenumber = 1", "is_expected": "l_suppkey % 3 > 0",
     }),
+    # Python files: one per part. Every seventeenth does not parse.
+    "v_code": ("part", "true", {
+        "path": "concat('src/pkg/m', p_partkey, '.py')", "k": "p_partkey", "broken": "p_partkey % 17 = 0",
+        "text": """concat('import os, requests', chr(10), 'from pkg.m', p_partkey + 1, ' import C', p_partkey + 1, ' as Next', chr(10), 'from .m', p_partkey + 2, ' import Next as Far', chr(10),
+  'class C', p_partkey, '(Base):', chr(10), '    def run(self):', chr(10), '        self.save(', p_size, ')', chr(10), '        super().run()', chr(10), '        return helper', p_partkey % 10, '(1)', chr(10),
+  '    async def save(self, x):', chr(10), '        x.items.put(str(x))', chr(10), 'def helper', p_partkey % 10, '(y):', chr(10), '    return y', chr(10), '@app.get("/items/', p_partkey, '")', chr(10),
+  'def route', p_partkey, '():', chr(10), '    return Next().run(', case when p_partkey % 17 = 0 then '' else ')' end, chr(10))""",
+    }),
     # Questions: one per order, in the wordings the planner rules tell apart.
     "v_questions": ("orders", "true", {
         "query_id": "o_orderkey",
