@@ -19,22 +19,19 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
     return out if rank else out.drop(name)
 
 
-def search_topk(
-    lines: DataFrame, queries: dict[str, list[str]], k: int = 50, line_kinds: DataFrame | None = None
-) -> DataFrame:
-    """The k best files of each query, with each file's best line.
+def search_hits(lines: DataFrame, queries: dict[str, list[str]], line_kinds: DataFrame | None = None) -> DataFrame:
+    """Scored hits of all queries in one pass over (path, line_no, line).
 
-    ``lines`` has path, line_no, line. All queries are answered in one pass over the lines: their words are constants
-    of one generated expression, so no join with a query table takes place. ``line_kinds`` (path, line_no, kind), where
-    given, overrides the textual hit type.
+    The words are constants of one generated expression, so no join with a query table takes place. ``line_kinds``
+    (path, line_no, kind), where given, overrides the textual hit type.
     """
     queries = {q: search.distinct_keywords(words) for q, words in queries.items()}
     if line_kinds is not None:
         lines = lines.join(line_kinds.select("path", "line_no", "kind"), ["path", "line_no"], "left")
     parsed = F.col("kind") if line_kinds is not None else None
-    every_word = [w for words in queries.values() for w in words]
+    every_word = list(dict.fromkeys(w for words in queries.values() for w in words))
     hits = lines.where(search.mentions("line", every_word)).withColumn("snippet", search.snippet("line"))
-    hits = hits.where(F.trim("line") != "").withColumn("file_type", paths.classify_file("path"))
+    hits = hits.where(F.col("snippet") != "").withColumn("file_type", paths.classify_file("path"))
 
     def scored(name: str, words: list[str]) -> Column:
         kind = search.classify_hit(F.col("snippet"), words, parsed)
@@ -50,25 +47,27 @@ def search_topk(
         "path", "line_no", "snippet", "file_type",
         F.explode(F.array_compact(F.array(*[scored(q, w) for q, w in queries.items()]))).alias("hit"),
     ).select("path", "line_no", "snippet", "file_type", "hit.*")
-    hits = hits.withColumn(
-        "score", paths.file_type_score("file_type") + search.hit_type_score("hit_type") + F.col("word_score")
-    )
-    best = (
-        hits.groupBy("query_id", "path")
-        .agg(
-            F.min(
-                F.struct(
-                    (-F.col("score")).alias("neg"), "line_no", "snippet", "file_type", "hit_type", "matched_terms"
-                )
-            ).alias("best")
-        )
-        .select("query_id", "path", (-F.col("best.neg")).alias("score"), "best.*")
-        .drop("neg")
-    )
-    ranked = top_per_key(
-        best, ["query_id"], [F.desc("score"), F.asc("path"), F.asc("line_no"), F.asc("snippet")], k, "rank"
-    )
-    return ranked.withColumn("confidence", search.hit_confidence("hit_type"))
+    score = paths.file_type_score("file_type") + search.hit_type_score("hit_type") + F.col("word_score")
+    return hits.withColumn("score", score).drop("word_score")
+
+
+def best_hits(hits: DataFrame) -> DataFrame:
+    """Best line per (query, file): a combining minimum, so a noisy file shrinks to one row before the shuffle."""
+    best = F.min(F.struct((-F.col("score")).alias("neg"), "line_no", "snippet", "file_type", "hit_type", "matched_terms"))
+    rows = hits.groupBy("query_id", "path").agg(best.alias("best"))
+    return rows.select("query_id", "path", (-F.col("best.neg")).alias("score"), "best.*").drop("neg")
+
+
+def rank_hits(best: DataFrame, k: int) -> DataFrame:
+    order = [F.desc("score"), F.asc("path"), F.asc("line_no"), F.asc("snippet")]
+    return top_per_key(best, ["query_id"], order, k, "rank").withColumn("confidence", search.hit_confidence("hit_type"))
+
+
+def search_topk(
+    lines: DataFrame, queries: dict[str, list[str]], k: int = 50, line_kinds: DataFrame | None = None
+) -> DataFrame:
+    """The k best files of each query, each with its best line."""
+    return rank_hits(best_hits(search_hits(lines, queries, line_kinds)), k)
 
 
 def filename_search(files: DataFrame, queries: dict[str, str], k: int = 50) -> DataFrame:

@@ -62,8 +62,7 @@ _STATUS = f"""select *, not closed and not blocked as open from (select *, verif
     and not bool_or(slot in ('verified_caller_edge', 'verified_callee_edge')) over (partition by query_id, symbol))) and evidence > 0) as closed from ({_COUNTS}))"""
 
 
-@query("slot_counts", "A30 A32", f"""with f as ({_FILLED}), r as (select distinct query_id, symbol, slot from f) select r.query_id, r.symbol, r.slot, cast(count(*) filter (plain) as bigint) as evidence, count(*) as verified, false as blocked
-  from r join f using (query_id, symbol, slot) group by all""".replace("with f as (with e", "with e").replace("), r as (select distinct", "), r as (select distinct"))
+@query("slot_counts", "A30 A32", f"""with f as ({_FILLED}) select query_id, symbol, slot, count(*) filter (plain) as evidence, count(*) as verified, false as blocked from f group by all""")
 def _(t):
     filled = _filled(t)
     return contracts.slot_counts(filled.select("query_id", "symbol", "slot").distinct(), filled)

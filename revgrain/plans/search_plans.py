@@ -169,7 +169,7 @@ def _(t):
     return ranking.gap_rank(t.target_slots.where("not verified and not blocked")).select("query_id", "symbol", "slot", "rank")
 
 
-@query("rank_context_files", "W12", """select run_id as query_id, file, count(*) as hits, bool_or(regexp_matches(snippet, '(?i)\b(?:class|def)\s+(sym1|sym12)\b')) as defines, false as low_priority from v_evidence group by all""")
+@query("rank_context_files", "W12", r"""select run_id as query_id, file, count(*) as hits, bool_or(regexp_matches(snippet, '(?i)\b(?:class|def)\s+(sym1|sym12)\b')) as defines, false as low_priority from v_evidence group by all""")
 def _(t):
     return ranking.rank_context_files(t.evidence.withColumnRenamed("run_id", "query_id"), ["sym1", "sym12"])
 
