@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],

@@ -15,6 +15,9 @@ _DEFINED = (
 )
 
 
+_DEFINING_WORDS = ["class", "def", "fn", "func", "interface", "enum"]
+
+
 def distinct_keywords(keywords: list[str] | str) -> list[str]:
     words = [keywords] if isinstance(keywords, str) else keywords
     return list(dict.fromkeys(str(w) for w in words if w))
@@ -41,8 +44,10 @@ def grep_match(text: Column | str, patterns: list[str]) -> Column:
 
 
 def defined_name(text: Column | str) -> Column:
-    found = F.regexp_extract(python_strip(text), _DEFINED, 1)
-    return F.nullif(found, F.lit(""))
+    """Name that a stripped line defines; the costly pattern only runs on lines with one of its words."""
+    text = col(text)
+    candidate = any_of([text.contains(w) for w in _DEFINING_WORDS])
+    return F.nullif(F.when(candidate, F.regexp_extract(text, _DEFINED, 1)), F.lit(""))
 
 
 def match_precision(text: Column | str, keywords: list[str]) -> Column:
@@ -72,8 +77,8 @@ def matched_terms(text: Column | str, keywords: list[str]) -> Column:
 
 
 def classify_hit(text: Column | str, keywords: list[str], parsed_kind: Column | None = None) -> Column:
-    """comment, then the kind a parser gave this line, then definition / import / call / reference."""
-    line = python_strip(text)
+    """Kind of a stripped line: comment, then what a parser says, then definition / import / call / reference."""
+    line = col(text)
     kind = F.when(line.startswith("#") | line.startswith("//") | line.startswith("--"), "comment")
     if parsed_kind is not None:
         kind = kind.when(parsed_kind.isNotNull(), parsed_kind)

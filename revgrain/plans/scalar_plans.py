@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revgrain import fixed
 from revgrain.functions import paths, questions, review, search, text
+from revgrain.functions.patterns import python_strip
 from revgrain.operators import filters
 from revgrain.plans.registry import query
 from revgrain.plans.search_plans import CLASSED, EDGE_L, EDGE_R, TYPE_SCORE_SQL
@@ -140,7 +141,7 @@ def _(t):
     case when regexp_matches(s, '^(#|//|--)') then 'comment' when lower(d) in ('of', 'the') then 'definition' when regexp_matches(s, '^(import |from )') then 'import'
       when contains(s, '(') then 'call' else 'reference' end as hit_type from h""")
 def _(t):
-    marked = t.lines.where(F.col("line").rlike("(class|def|function|import|from|enum|interface)"))
+    marked = t.lines.where(F.col("line").rlike("(class|def|function|import|from|enum|interface)")).withColumn("line", python_strip("line"))
     return marked.select("doc_id", "line_no", search.defined_name("line").alias("defined_name"),
                          search.classify_hit("line", ["of", "the"]).alias("hit_type"))
 

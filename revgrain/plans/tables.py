@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from revgrain.session import spread
+
 _KEY = "concat('{}', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey)"
 _FND, _EV = _KEY.format("fnd_"), _KEY.format("ev_")
 _SEQ = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
@@ -247,9 +249,18 @@ class Tables:
         table, where, columns = SHAPES[name]
         return self.read(table).where(where).selectExpr(*[f"{expr} as {alias}" for alias, expr in columns.items()])
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.read("documents"), "doc_id")
+
     @cached_property
     def files(self) -> DataFrame:
-        return self.shape("v_files")
+        _, _, columns = SHAPES["v_files"]
+        return self.documents.selectExpr(*[f"{expr} as {alias}" for alias, expr in columns.items()])
+
+    @cached_property
+    def code(self) -> DataFrame:
+        return spread(self.shape("v_code"), "path")
 
     @cached_property
     def lines(self) -> DataFrame:
