@@ -78,12 +78,14 @@ def main() -> int:
     con = connect(args.sf)
     names = [n for n in catalog.QUERIES if not args.names or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args.names)]
     bad = 0
+    began = time.time()
     for name in names:
         try:
             ok, note = compare(spark, con, name, args.sf)
         except Exception as exc:  # noqa: BLE001 - report and go on
             ok, note = False, f"{type(exc).__name__}: {str(exc)[:900]}"
         bad += not ok
+        print(f"{time.time() - began:.0f}s {name}", file=sys.stderr, flush=True)
         if not ok or "types" in note or "EMPTY" in note or len(names) < 12:
             print("ok " if ok else "BAD", name, note, flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")

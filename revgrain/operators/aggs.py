@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revgrain import fixed
 from revgrain.functions import paths, review
-from revgrain.functions.patterns import UNICODE, strings
+from revgrain.functions.patterns import UNICODE, contains_any, strings
 
 ISSUE_KEYS = ["run_id", "file", "rule_id", "line"]
 
@@ -82,11 +82,12 @@ def build_plans(changes: DataFrame, contents: DataFrame | None = None) -> DataFr
     if contents is not None:
         flags = contents.select("run_id", "path", review.content_signals("path", "text").alias("found"))
         rows = rows.join(flags, ["run_id", "path"], "left")
-        signals = F.when(py, F.coalesce("found", review.content_signals("path", F.lit(""))))
+        found = F.coalesce("found", review.content_signals("path", F.lit("")))
+        tests = {s: py & F.array_contains(found, s) for s in fixed.RISK_KEYWORDS}
     else:
-        signals = review.path_signals("path")
-    rows = rows.withColumn("_signals", signals)
-    has = {s: F.bool_or(F.coalesce(F.array_contains("_signals", s), F.lit(False))).alias(f"_{s}") for s in fixed.RISK_KEYWORDS}
+        low = F.lower("path")
+        tests = {s: contains_any(low, words) for s, words in fixed.RISK_KEYWORDS.items()}
+    has = {s: F.bool_or(F.coalesce(test, F.lit(False))).alias(f"_{s}") for s, test in tests.items()}
     manifest = paths.base_name("path").isin(fixed.PLAN_MANIFESTS)
     per = rows.groupBy("run_id").agg(
         F.count_if(py).alias("py"), lines.alias("lines"), F.bool_or(manifest).alias("manifest"),

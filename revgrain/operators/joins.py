@@ -155,10 +155,9 @@ def claims_covered(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     words = claims.select("query_id", "claim_index", F.explode(text.claim_keywords("claim")).alias("word"))
     words = words.withColumn("word", F.lower("word"))
     snippets = evidence.select("query_id", F.lower(F.coalesce("snippet", F.lit(""))).alias("snippet")).distinct()
-    seen = join_matching(
-        snippets, words, ["query_id"], ["word"], lambda v: F.contains(F.col("snippet"), v["word"])
-    ).select("query_id", "word").distinct()
-    covered = words.join(seen, ["query_id", "word"], "left_semi").select("query_id", "claim_index").distinct()
+    covered = join_matching(
+        snippets, words, ["query_id"], ["claim_index", "word"], lambda v: F.contains(F.col("snippet"), v["word"])
+    ).select("query_id", "claim_index").distinct()
     return claims.join(covered.withColumn("_hit", F.lit(True)), ["query_id", "claim_index"], "left").select(
         *claims.columns, F.coalesce("_hit", F.lit(False)).alias("covered")
     )
