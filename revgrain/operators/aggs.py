@@ -32,12 +32,12 @@ def aggregate_findings(findings: DataFrame) -> DataFrame:
     Equal messages collapse before the shuffle, so a place that is reported again and again stays one small group.
     """
     per_message = _keyed(findings).groupBy(*ISSUE_KEYS, "message").agg(
-        F.min("seq").alias("seq"), F.min_by("tool", "seq").alias("tool"),
+        F.min(F.struct("seq", "tool")).alias("first"),
         F.max(review.severity_rank("severity", 0)).alias("rank"), F.count("*").alias("n"),
     )
     groups = per_message.groupBy(*ISSUE_KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"),
-        F.min_by("tool", "seq").alias("tool"), F.max("rank").alias("rank"), F.sum("n").alias("finding_count"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first.seq", "message"))), lambda x: x["message"]).alias("messages"),
+        F.min("first")["tool"].alias("tool"), F.max("rank").alias("rank"), F.sum("n").alias("finding_count"),
     )
     title = F.concat(F.lit("["), "rule_id", F.lit("] "), F.substring(F.get("messages", 0), 1, 80))
     return groups.select(

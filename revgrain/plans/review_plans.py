@@ -82,8 +82,8 @@ def _(t):
 _RANK = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end"
 _ISSUE_SQL = f"""with f as (select run_id, file, rule_id, start_line as line, message, tool, seq, {_RANK} as r from v_findings),
   m as (select run_id, file, rule_id, line, message, min(seq) as seq from f group by all),
-  g as (select run_id, file, rule_id, line, arg_min(tool, seq) as source, max(r) as r, count(*) as n from f group by all),
-  j as (select run_id, file, rule_id, line, string_agg(message, '; ' order by seq) as reason, arg_min(message, seq) as first_message from m group by all)
+  g as (select run_id, file, rule_id, line, arg_min(tool, (seq, tool)) as source, max(r) as r, count(*) as n from f group by all),
+  j as (select run_id, file, rule_id, line, string_agg(message, '; ' order by seq, message) as reason, arg_min(message, (seq, message)) as first_message from m group by all)
   select run_id, file, rule_id, line, 'static' as type, case r when 4 then 'critical' when 3 then 'high' when 2 then 'medium' when 1 then 'low' else 'info' end as severity,
     concat('[', rule_id, '] ', left(first_message, 80)) as title, reason, source, n as finding_count from g join j using (run_id, file, rule_id, line)"""
 
