@@ -113,26 +113,25 @@ def resolve_symbols(
     inside = inside.join(members.drop("seq"), ["path", "owner", "name"]).select("symbol", "path", "kind", "line", "end_line", "owner", "remainder")
     canonical = F.concat(F.translate(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", "."), F.lit("."), "remainder")
     by_module = direct.unionByName(inside).select(
-        "symbol", canonical.alias("canonical_name"), "path", "line", "end_line", "kind", "owner", F.lit(0).alias("stage"), F.lit(0).alias("low"), F.lit(0).alias("seq")
+        "symbol", canonical.alias("canonical_name"), "path", "line", "end_line", "kind", "owner", F.lit(0).alias("stage")
     )
     low = paths.in_dirs(F.lower("path"), fixed.NON_PRODUCTION_DIRS).cast("int")
+    # The best place of a name does not depend on who asks, so it is found first: requests then meet one row per name,
+    # however many files define it.
+    place = F.min(F.struct(low.alias("low"), "path", "seq", "line", "end_line", "kind")).alias("b")
+    best_member = members.groupBy("owner", "name").agg(place)
+    best_name = defs.groupBy("name").agg(place)
     owned = wanted.where(F.col("symbol").contains(".")).select(
         "symbol", last_part(F.regexp_extract("symbol", r"^(.*)\.", 1)).alias("owner"), last_part("symbol").alias("name")
     )
-    by_owner = owned.join(members, ["owner", "name"]).select(
-        "symbol", F.concat("owner", F.lit("."), "name").alias("canonical_name"), "path", "line", "end_line", "kind", "owner",
-        F.lit(1).alias("stage"), low.alias("low"), "seq",
+    by_owner = owned.join(best_member, ["owner", "name"]).select(
+        "symbol", F.concat("owner", F.lit("."), "name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", "owner", F.lit(1).alias("stage")
     )
-    bare = wanted.select("symbol", last_part("symbol").alias("name")).join(defs.drop("owner"), "name")
-    by_name = bare.select(
-        "symbol", F.col("name").alias("canonical_name"), "path", "line", "end_line", "kind", F.lit("").alias("owner"),
-        F.lit(2).alias("stage"), low.alias("low"), "seq",
+    by_name = wanted.select("symbol", last_part("symbol").alias("name")).join(best_name, "name").select(
+        "symbol", F.col("name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", F.lit("").alias("owner"), F.lit(2).alias("stage")
     )
     found = by_module.unionByName(by_owner).unionByName(by_name)
-    # One row per symbol by a combining minimum: a name defined in very many files never meets in one task.
-    best = found.groupBy("symbol").agg(
-        F.min(F.struct("stage", "low", "path", "seq", "line", "end_line", "kind", "owner", "canonical_name")).alias("b")
-    )
+    best = found.groupBy("symbol").agg(F.min(F.struct("stage", "path", "line", "end_line", "kind", "owner", "canonical_name")).alias("b"))
     return best.select("symbol", "b.canonical_name", "b.path", "b.line", "b.end_line", "b.kind", "b.owner", "b.stage", F.lit(1.0).alias("confidence"))
 
 

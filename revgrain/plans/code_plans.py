@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revgrain.operators import graph, pycode
 from revgrain.plans.registry import query
+from revgrain.session import cut_lineage
 from revgrain.sources import corpus
 
 _GOOD = "(select * from v_code where not broken)"
@@ -100,9 +101,9 @@ def _(t):
 
 
 def _graph(t):
-    facts = _facts(t)
+    facts = cut_lineage(_facts(t))  # every use below reads the stored facts; no file is parsed twice
     modules = graph.module_index(t.code)
-    edges = graph.import_edges(pycode.import_targets(facts), modules, t.code.select("path"))
+    edges = cut_lineage(graph.import_edges(pycode.import_targets(facts), modules, t.code.select("path")))
     return facts, modules, edges, pycode.definitions(facts)
 
 
@@ -144,7 +145,7 @@ def _(t):
 @query("callee_edges", "J10", f"""select path, 'run' as func, 6 as line, 'C' || k || '.save' as callee from {_GOOD} union all select path, 'run', 7, 'Base.run' from {_GOOD} union all select path, 'run', 8, 'helper' || (k % 10) from {_GOOD}
   union all select path, 'route' || k, 15, 'Next.run' from {_GOOD}""")
 def _(t):
-    facts = _facts(t)
+    facts = cut_lineage(_facts(t))
     return graph.callee_edges(pycode.calls(facts), pycode.definitions(facts)).select("path", "func", "line", "callee")
 
 
