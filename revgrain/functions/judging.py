@@ -81,6 +81,11 @@ def _kind(v: Column) -> Column:
     )
 
 
+def _parsed(json_text: Column | str, check) -> Column:
+    """``check`` of the parsed text. The lambda variable stands for one parse, however often the check refers to it."""
+    return F.get(F.transform(F.array(F.try_parse_json(col(json_text))), check), F.lit(0))
+
+
 _PYTHON_NAME = {"string": "str", "integer": "int", "number": "float", "boolean": "bool", "null": "NoneType", "array": "list", "object": "dict"}
 _JUDGMENT_FIELDS = {
     "verdict": "string", "score": "integer", "answered_question": "boolean", "uses_supported_evidence": "boolean",
@@ -98,7 +103,12 @@ def _name(kind: Column) -> Column:
 
 def schema_errors(json_text: Column | str) -> Column:
     """Faults of a judgment: missing fields alone, else wrong types, values out of range and extra fields."""
-    v = F.try_parse_json(col(json_text))
+    keys = F.coalesce(F.json_object_keys(col(json_text)), strings([]))
+    extra = F.transform(F.array_except(keys, strings(list(_JUDGMENT_FIELDS))), lambda k: F.concat(F.lit("不允许的额外字段: '"), k, F.lit("'")))
+    return _parsed(json_text, lambda v: _judgment_faults(v, extra))
+
+
+def _judgment_faults(v: Column, extra: Column) -> Column:
     missing = F.array_compact(F.array(*[F.when(_get(v, f).isNull(), F.lit(f"缺少必需字段: {f}")) for f in _JUDGMENT_FIELDS]))
     found = []
     for f, want in _JUDGMENT_FIELDS.items():
@@ -118,8 +128,6 @@ def schema_errors(json_text: Column | str) -> Column:
             text = F.try_variant_get(v, f"$.{f}", "string")
             found.append(F.when(numeric & (number < 0), F.concat(F.lit(f"{f}: "), text, F.lit(" < 最小值 0"))))
             found.append(F.when(numeric & (number > 2), F.concat(F.lit(f"{f}: "), text, F.lit(" > 最大值 2"))))
-    keys = F.coalesce(F.json_object_keys(col(json_text)), strings([]))
-    extra = F.transform(F.array_except(keys, strings(list(_JUDGMENT_FIELDS))), lambda k: F.concat(F.lit("不允许的额外字段: '"), k, F.lit("'")))
     return F.when(F.size(missing) > 0, missing).otherwise(F.concat(F.array_compact(F.array(*found)), extra))
 
 
@@ -152,7 +160,10 @@ def _blank(s: Column) -> Column:
 
 def planner_output_errors(json_text: Column | str) -> Column:
     """Faults of a planned question: type, relations with subjects, single targets, claims."""
-    v = F.try_parse_json(col(json_text))
+    return _parsed(json_text, _planner_faults)
+
+
+def _planner_faults(v: Column) -> Column:
     types = ["locate", "explain", "trace", "compare", "impact", "grep"]
     relation_kind, target_kind = _kind(_get(v, "relations")), _kind(_get(v, "standalone_targets"))
     empty = (F.size(_elements(v, "relations")) == 0) & (F.size(_elements(v, "standalone_targets")) == 0)
@@ -204,7 +215,10 @@ def _required(v: Column, names: list[str]) -> Column:
 
 def sufficiency_errors(json_text: Column | str) -> Column:
     """Faults of a sufficiency verdict: its flag, reason, missing requirements and suggested actions."""
-    v = F.try_parse_json(col(json_text))
+    return _parsed(json_text, _sufficiency_faults)
+
+
+def _sufficiency_faults(v: Column) -> Column:
     missing = _required(v, ["sufficient", "missing_requirements", "suggested_actions", "reason"])
 
     def typed(name: str, want: str, word: str, optional: bool = False) -> Column:
@@ -247,7 +261,10 @@ def sufficiency_errors(json_text: Column | str) -> Column:
 
 def state_decision_errors(json_text: Column | str) -> Column:
     """Faults of a step decision: its action and the work orders that go with it."""
-    v = F.try_parse_json(col(json_text))
+    return _parsed(json_text, _decision_faults)
+
+
+def _decision_faults(v: Column) -> Column:
     missing = _required(v, ["action", "reason", "work_orders"])
     action = F.coalesce(_string(v, "action"), F.lit(""))
     is_list = _kind(_get(v, "work_orders")) == "array"
