@@ -15,12 +15,11 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "search_topk", "reference_search", "snippet_windows", "grep_lines", "build_plans", "build_plans_from_contents", "aggregate_findings",
-    "issue_evidence", "traceability_problems", "parse_hunks", "changed_files", "ruff_reports", "planner_metrics", "ground_citations",
-    "grounding_summary", "completion_rate", "failure_labels", "issue_metrics", "issue_metrics_by_tool", "quality_savings", "coverage_report",
-    "minimum_contract", "fill_slots", "claims_covered", "slot_report", "context_windows", "select_evidence", "truncate_evidence",
+    "search_topk", "reference_search", "snippet_windows", "build_plans", "aggregate_findings", "traceability_problems", "parse_hunks",
+    "ruff_reports", "planner_metrics", "ground_citations", "completion_rate", "issue_metrics", "issue_metrics_by_tool", "quality_savings",
+    "coverage_report", "minimum_contract", "fill_slots", "claims_covered", "context_windows", "select_evidence", "truncate_evidence",
     "vector_topk", "python_symbols", "resolve_symbols", "callee_edges", "call_graph", "active_jobs", "job_status", "report_lines",
-    "versioned_upsert", "coverage_matrix", "recover_json", "schema_errors",
+    "versioned_upsert", "coverage_matrix", "recover_json",
 ]
 
 

@@ -197,3 +197,11 @@ def test_matrix_is_whole_and_repeatable(spark):
 def test_file_then_line_phrase(spark):
     df = spark.createDataFrame([("a/b.py at line 12",), ("a/b.py\nline 12",), ("b.line 5",), ("x.py:3",)], "s string")
     assert [r[0] for r in df.select(text.has_citation("s")).collect()] == [True, False, False, True]
+
+
+def test_no_knowledge_base_gives_no_rows(spark):
+    asked = spark.createDataFrame([("q", "sql injection in python")], "query_id string, text string")
+    from revgrain import fixed
+
+    assert ranking.no_knowledge(asked).count() == 0
+    assert [r["rule"] for r in ranking.knowledge_topk(asked, fixed.KNOWLEDGE_RULES, 2).orderBy("rank").collect()] == [1, 0]
