@@ -5,14 +5,16 @@ Each query is thin: its operator makes the rows, the query derives the digest co
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import chat, exact_dedup, secrets
-from revgrain.llm.common import written
+from revgrain.llm import chat, exact_dedup, packing, secrets, token_store
 
+#: The folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -109,3 +111,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tree.id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op8_token_output")
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written as compressed frames and read back."""
+    folder = token_store.write_tokens(table(spark, sf_dir, "documents"), path=f"{TOKENIZERS}/word_bpe_49k.json", words=True, end=1)
+    return token_store.read_all(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    rows = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", False, 2))
+    return rows.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
