@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import chat, exact_dedup, packing, secrets, token_store
+from revgrain.llm import ann, chat, exact_dedup, minhash, packing, secrets, token_store
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -125,3 +125,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     rows = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", False, 2))
     return rows.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
