@@ -8,10 +8,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import ann, chat, exact_dedup, minhash, packing, secrets, token_store
+from revgrain.llm import ann, chat, exact_dedup, minhash, packing, secrets, token_store, toxicity
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -138,3 +138,24 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
+
+
+#: A document scores as toxic from here on.
+TOXIC = 0.3
+
+
+def fold(id_col: Column) -> Column:
+    """The fold of a document; labels of fold 2 are held out."""
+    return F.crc32(id_col.cast("string")) % 4
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), fit_on=lambda i: fold(i) != 2)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), toxicity.score_of(toxicity_model(spark, docs, sf_dir))("text").alias("score"))
+    return scored.select("*", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
