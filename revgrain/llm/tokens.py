@@ -20,8 +20,8 @@ import regex
 
 from revgrain.llm.common import per_worker
 
-#: Chunks and pieces kept by a worker, the longest chunk that is kept, and pieces handed over in one text.
-CHUNKS, PIECES, LONGEST, TOGETHER = 500_000, 700_000, 48, 256
+#: Words and pieces of a generation (a worker keeps two), the longest word that is kept, and pieces handed over in one text.
+KEPT, PIECES, LONGEST, TOGETHER = 350_000, 60_000, 48, 256
 #: Bytes of text that are cut and looked up at once.
 STEP = 4_000_000
 #: Python's white space and what the library might count as such.
@@ -46,8 +46,9 @@ class Encoder:
 
         self.library, self.words = Tokenizer.from_file(path), words
         self.control = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids by key (see ``_keys``); None if a text with this key needs a closer look.
-        self.chunks: dict[str, bytes | None] = {}
+        #: Ids by key (see ``_keys``), the words met lately and those before; None if a text with this key needs a closer look.
+        self.kept: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
         if words:
             self.last = np.zeros(self.library.get_vocab_size(), dtype=bool)
@@ -76,72 +77,88 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(begins, ends)]
 
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that haven't been met."""
+    def _many(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at:at + TOGETHER]
+            out.update(zip(some, self._together(some)))
+        return out
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of different chunks of any kind."""
         if self.words:
             parts = {c: WORD_PIECE.findall(c.lower()) for c in chunks if COMMON.fullmatch(c)}
         else:
             parts = {c: BYTE_PIECE.findall(c) for c in chunks if not c.isspace()}
-        new = list(set(chain.from_iterable(parts.values())).difference(self.pieces))
-        for at in range(0, len(new), TOGETHER):
-            some = new[at:at + TOGETHER]
-            self.pieces.update(zip(some, self._together(some)))
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        self.pieces.update(self._many(list(set(chain.from_iterable(parts.values())).difference(self.pieces))))
         look = self.pieces.__getitem__
         out = {c: b"".join(map(look, p)) for c, p in parts.items()}
         others = [c for c in chunks if c not in out]
         out.update(zip(others, self._alone(others)))
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
         return out
 
     def _keys(self, texts: pa.Array) -> pa.Array:
         """Words between single blanks, a list a text. For a byte-level vocabulary, NUL stands before the first word of a line."""
         if self.words:
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
         marked = pc.binary_join_element_wise(pa.scalar("\0", texts.type), texts, pa.scalar("", texts.type))
         return pc.split_pattern(pc.replace_substring(marked, "\n", " \n \0"), " ")
 
-    def _chunk(self, key: str) -> str | None:
-        """The chunk of a key, None if it isn't a word (of a control string, beside other white space or more than one blank)."""
-        if self.words:
-            word = chunk = key
-        elif key == "\n":
-            return key
-        else:
-            word, chunk = (key[1:], key[1:]) if key[:1] == "\0" else (key, " " + key)
-        odd = not (word or self.words) or "\0" in word or SPACE.search(word) or any(c in word for c in self.control)
-        return None if odd else chunk
+    def _fresh(self, keys: list[str]) -> dict[str, bytes | None]:
+        """Ids by key; None for a control string, and for what shows more than one blank or other white space in its text."""
+        letters, others, out = {}, {}, {}
+        for key in keys:
+            word = key[1:] if key[:1] == "\0" and not self.words else key
+            if word.isalpha() and (not self.words or word.isascii()):
+                letters[key] = word if self.words or word is not key else " " + word
+            elif key == "\n":
+                others[key] = key
+            elif not (word or self.words) or "\0" in word or SPACE.search(word) or any(c in word for c in self.control):
+                out[key] = None
+            else:
+                others[key] = word if self.words or word is not key else " " + word
+        for named, ids in ((letters, self._many(list(letters.values()))), (others, self._chunks(list(set(others.values()))))):
+            out.update((k, ids[c]) for k, c in named.items())
+        return out
+
+    def _met(self, keys: list[str]) -> list[bytes | None]:
+        """Ids of different keys."""
+        kept, older, fresh = self.kept, self.older, []
+        for k in [k for k in keys if k not in kept]:
+            if k in older:
+                kept[k] = older[k]
+            else:
+                fresh.append(k)
+        kept.update(self._fresh(fresh))
+        out = list(map(kept.__getitem__, keys))
+        for k in fresh:
+            if len(k) > LONGEST:
+                del kept[k]
+        if len(kept) > KEPT:
+            self.kept, self.older = {}, kept
+        return out
 
     def _slowly(self, text: str) -> bytes:
         """Ids of a text with more than one white space between words, rare white space or control strings."""
         if RARE.search(text) or any(c in text for c in self.control):
             return self._alone([text])[0]
         chunks = text.split() if self.words else BYTE_CHUNK.findall(text)
-        ids = self._fresh(list(set(chunks)))
+        ids = self._chunks(list(set(chunks)))
         return b"".join(map(ids.__getitem__, chunks))
 
-    def _met(self, keys: list[str]) -> list[bytes | None]:
-        """Ids of different keys."""
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        new = {k: self._chunk(k) for k in keys if k not in self.chunks}
-        ids = self._fresh([c for c in new.values() if c is not None])
-        self.chunks.update((k, None if c is None else ids[c]) for k, c in new.items())
-        out = list(map(self.chunks.__getitem__, keys))
-        for k in new:
-            if len(k) > LONGEST:
-                del self.chunks[k]
-        return out
-
     def _encode(self, texts: pa.Array) -> list[bytes]:
         keys = self._keys(texts)
         words = keys.flatten().dictionary_encode()
         parts = self._met(words.dictionary.to_pylist())
         sizes = np.array([-1 if p is None else len(p) // 4 for p in parts], dtype="<i8")
         table = np.frombuffer(b"".join(p for p in parts if p), dtype="<u4")
-        place = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        count = np.maximum(sizes, 0)
+        place = np.cumsum(count) - count
         which = words.indices.to_numpy(zero_copy_only=False)
-        count = np.maximum(sizes, 0)[which]
+        count = count[which]
         upto = np.concatenate(([0], np.cumsum(count)))
         ids = table[np.repeat(place[which] - upto[:-1], count) + np.arange(upto[-1])]
         bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype("<i8")
