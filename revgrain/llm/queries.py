@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import ann, chat, exact_dedup, minhash, packing, secrets, token_store, toxicity
+from revgrain.llm import ann, chat, exact_dedup, html_template, minhash, packing, secrets, token_store, toxicity
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -159,3 +159,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), toxicity.score_of(toxicity_model(spark, docs, sf_dir))("text").alias("score"))
     return scored.select("*", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    read = html_template.extract(table(spark, sf_dir, "pages"))
+    return read.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
