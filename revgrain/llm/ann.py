@@ -8,8 +8,8 @@ a bucket is a product of normal integrals; buckets are visited in falling order
 
 Equal vectors are one class, of which the ``top`` + 1 smallest ids can be among the answers; the classes that hold queries are
 the queries. Buckets travel in blocks: vectors of a bucket packed by salt, queries of a bucket packed likewise, and a block
-pair is one matrix product. A candidate below the
-query's 3 x ``top`` best of the sample can't be among the nearest and isn't emitted.
+pair is one matrix product. A candidate that
+so many of the sample beat that ``top`` + 5 of all vectors do (but for a chance of 1e-8) isn't emitted.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
 no part; repeated rows of one id answer once; ties go to the smaller id; with fewer candidates than asked all are given;
@@ -175,6 +175,9 @@ def nearest(rows: DataFrame, query: DataFrame, top: int = 20, id_col: str = "vec
     n = classes.count()
     tables, sample = fit(classes, dim, n, **settings)
     share = min(0.5, top / n)
+    # Of ``top`` + 5 nearest, the sample holds this many by chance, with six deviations and a few to spare.
+    there = (top + 5) * min(1.0, SAMPLE / n)
+    spare = math.ceil(there + 6 * math.sqrt(there) + 6)
     asking = vectors(query, id_col, vec_col).filter(F.col("dim") == dim).dropDuplicates(["id", "vec"]).select(F.col("id").alias("query_id"), "vec")
     asking = written(asking.join(classes.select("vec", "class"), "vec").select("query_id", "class"), "vector-queries")
     heads = classes.select("class", "vec").join(asking.select("class").distinct(), "class", "left_semi")
@@ -192,8 +195,7 @@ def nearest(rows: DataFrame, query: DataFrame, top: int = 20, id_col: str = "vec
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 q = matrix(part.column("vec"))
                 score = np.sort(q @ sample.T, axis=1)
-                # Three times as many of the sample are at least this good, so the places are filled with better ones.
-                floor = score[:, -3 * top] - 1e-9 * np.abs(score).max() if len(sample) > 6 * top else np.full(len(q), -np.inf)
+                floor = score[:, -spare] - 1e-9 * np.abs(score).max() if len(sample) > 2 * spare else np.full(len(q), -np.inf)
                 near = neighbourhood(score, share) / (np.linalg.norm(q, axis=1) * tables.top_norm)
                 for i, keys in enumerate(tables.probes(q, near)):
                     n = len(keys)

@@ -7,9 +7,10 @@ minhashes where separate tables would need 256. A pair of similarity s is missed
 
 Documents with the same set are one class, stood for by its smallest id. Buckets never list their pairs: in a
 round every member is paired with two centres of its bucket, pairs are confirmed, and components merge. Rounds go on in
-buckets that still hold more than one component while they find links; what then remains unlike is paired across
-components, minor members against the rest. So copies cost one pair each, and every pair of a bucket ends up confirmed, tested
-and refused, or inside one component. Pairs whose sizes rule the link out, or of which fewer than ``AGREE`` of 32 minhashes
+buckets that still hold more than one component while they find links. Candidates that then are still unlike meet again under
+their rarest shingles, of which linked sets must share one (an exact filter): rounds of centres again, and last, members of
+different components. So copies cost a pair each, crowds of half-alike texts part, and every candidate pair ends up
+linked, refused, or inside one component. Pairs whose sizes rule the link out, or of which fewer than ``AGREE`` of 32 minhashes
 agree (chance below 3e-5 at 0.85), are refused unread.
 
 Defined cases: a null text counts as empty; without words a document is linked with nothing; with fewer than five words the
@@ -27,12 +28,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revgrain.llm.common import written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
-WORDS, HALVES, ROWS, AGREE, ROUNDS = 5, 8, 2, 17, 6
+WORDS, HALVES, ROWS, AGREE, ROUNDS = 5, 8, 2, 17, 4
 #: Bytes of text worked on at once, and shingles hashed at once.
 STEP, WIDE = 4_000_000, 16_384
 SEED = 20_240_229
@@ -163,32 +165,78 @@ def _pairs(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+class Search:
+    """Links found so far among ``heads``, pair by pair, and the components (id, component) they make."""
+
+    def __init__(self, heads: DataFrame, sets: DataFrame, percent: int):
+        self.heads, self.sets, self.percent = heads, sets, percent
+        self.tested: DataFrame | None = None
+        self.found: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def test(self, pairs: DataFrame) -> bool:
+        """Confirm pairs that are new and merge components; whether there were links."""
+        fresh = cut_lineage(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
+        good = cut_lineage(confirmed(likely(fresh, self.heads, self.percent), self.sets, self.percent))
+        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
+        if good.isEmpty():
+            return False
+        self.found = good if self.found is None else self.found.unionByName(good)
+        self.labels = cut_lineage(components(self.found))
+        return True
+
+    def centres(self, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+        """Pair the members of each bucket with two centres, round by round; returns what is still unlike (key, id, component)."""
+        for _ in range(rounds):
+            open_, spread = _open(rows, self.labels)
+            ends = F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_head").alias("h")) for c in ("lo", "hi")])
+            star = open_.join(spread, "key").select("id", "component", F.explode(ends).alias("to")).filter("component <> to.c")
+            if not self.test(star.select(*_pairs("id", "to.h")).distinct()):
+                return open_
+        return _open(rows, self.labels)[0]
+
+    def across(self, open_: DataFrame) -> None:
+        """Pair the members outside a bucket's largest component with all of another component."""
+        sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("many", "component")).alias("main"))
+        minor = open_.join(main, "key").filter("component <> main.component").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+        others = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+        self.test(minor.join(others, "key").filter("cx <> cy").select(*_pairs("x", "y")).distinct())
+
+
+def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, id): the rarest shingles of each set, so many that two linked sets must share one of them.
+
+    Of n shingles, two sets with the wanted similarity share at least percent/100 n; any order will do for that, and the
+    rarest first makes keys of few members. Shingles that only one of the sets has fill places but are no keys.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
+                s = np.frombuffer(raw, dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["id", "n", "key"])
+
+    flat = sets.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(spell, "id long, n long, key long")
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    rows = flat.join(shared, "key")
+    own = Window.partitionBy("id")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    place = alone + F.row_number().over(own.orderBy("many", "key"))
+    kept = rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return kept.select("key", "id")
+
+
 def links(docs: DataFrame, heads: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Components (id, component) of linked ``heads`` (id, n, left, right, sketch), by rounds of bucket centres."""
+    """Components (id, component) of linked ``heads`` (id, n, left, right, sketch)."""
     rows = table_rows(heads)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
     rows = written(rows.join(shared, "key"), "minhash-buckets")
-    sets = _sets_of(docs, rows.select("id").distinct(), id_col, text_col)
-    found, tested, labels = None, None, None
-    for _ in range(ROUNDS):
-        open_, spread = _open(rows, labels)
-        star = open_.join(spread, "key")
-        pairs = star.select("id", F.explode(F.array(F.struct(F.col("lo").alias("c"), F.col("lo_head").alias("h")), F.struct(F.col("hi").alias("c"), F.col("hi_head").alias("h")))).alias("to"), "component")
-        pairs = pairs.filter("component <> to.c").select(*_pairs("id", "to.h")).distinct()
-        fresh, good = _test(pairs, tested, heads, sets, percent)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        if good.isEmpty():
-            break
-        found = good if found is None else found.unionByName(good)
-        labels = cut_lineage(components(found))
-    open_, _ = _open(rows, labels)
-    main = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("main"))
-    minor = open_.join(main, "key").filter("component <> main.component").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    rest = minor.join(open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").filter("cx <> cy").select(*_pairs("x", "y")).distinct()
-    _, good = _test(rest, tested, heads, sets, percent)
-    if not good.isEmpty():
-        labels = components(good if found is None else found.unionByName(good))
-    return rows.sparkSession.range(0).selectExpr("id", "id as component") if labels is None else labels
+    search = Search(heads, _sets_of(docs, rows.select("id").distinct(), id_col, text_col), percent)
+    unlike = search.centres(rows).select("id").distinct()
+    rare = written(prefixes(search.sets, unlike, percent), "rare-shingles")
+    search.across(search.centres(rare))
+    return rows.sparkSession.range(0).selectExpr("id", "id as component") if search.labels is None else search.labels
 
 
 def _open(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -203,11 +251,6 @@ def _open(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFra
     return cut_lineage(named.select("key", "id", "component").join(spread.select("key"), "key", "left_semi")), spread
 
 
-def _test(pairs: DataFrame, tested: DataFrame | None, heads: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    fresh = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-    return fresh, cut_lineage(confirmed(likely(fresh, heads, percent), sets, percent))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row (id, n_shingles, component_id, kept): linked documents share the smallest id they reach.
 

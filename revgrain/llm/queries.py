@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import ann, chat, exact_dedup, html_template, minhash, packing, secrets, token_store, toxicity
+from revgrain.llm import ann, chat, exact_dedup, html_template, minhash, packing, secrets, token_store, toxicity, unigram
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -166,3 +166,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     read = html_template.extract(table(spark, sf_dir, "pages"))
     return read.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: piece counts, digests of the ids and of the decoded text."""
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    decoded = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+    )
