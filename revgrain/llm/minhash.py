@@ -195,17 +195,27 @@ class Search:
                 return open_
         return _open(rows, self.labels)[0]
 
-    def across(self, open_: DataFrame) -> None:
-        """Pair the members outside a bucket's largest component with all of another component."""
+    def across(self, open_: DataFrame, places: DataFrame) -> None:
+        """Pair the members outside a bucket's largest component with all of another component.
+
+        ``places`` says where the key stands among the ``n`` ordered shingles of a member. If it is the first that two sets
+        share, they share at most what follows in either, itself included; where that is too little, the pair is left to
+        another key or isn't linked.
+        """
+        open_ = open_.join(places, ["key", "id"])
         sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
         main = sizes.groupBy("key").agg(F.max(F.struct("many", "component")).alias("main"))
-        minor = open_.join(main, "key").filter("component <> main.component").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-        others = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-        self.test(minor.join(others, "key").filter("cx <> cy").select(*_pairs("x", "y")).distinct())
+        minor = open_.join(main, "key").filter("component <> main.component").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+        others = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+        share = self.percent
+        least = f"(least(nx - px, ny - py) + 1) * {100 + share} >= {share} * (nx + ny) and least(nx, ny) * 100 >= greatest(nx, ny) * {share}"
+        # Of two minor members the pair is met once.
+        met = minor.join(others.join(main, "key").withColumn("minor", F.col("cy") != F.col("main.component")).drop("main"), "key")
+        self.test(met.filter(f"cx <> cy and (not minor or x < y) and {least}").select(*_pairs("x", "y")).distinct())
 
 
 def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, id): the rarest shingles of each set, so many that two linked sets must share one of them.
+    """Rows (key, id, n, place): the rarest shingles of each set, so many that two linked sets must share one of them.
 
     Of n shingles, two sets with the wanted similarity share at least percent/100 n; any order will do for that, and the
     rarest first makes keys of few members. Shingles that only one of the sets has fill places but are no keys.
@@ -224,7 +234,7 @@ def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.count(F.lit(1)).over(own)
     place = alone + F.row_number().over(own.orderBy("many", "key"))
     kept = rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    return kept.select("key", "id")
+    return kept.select("key", "id", "n", "place")
 
 
 def links(docs: DataFrame, heads: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -235,7 +245,7 @@ def links(docs: DataFrame, heads: DataFrame, percent: int, id_col: str, text_col
     search = Search(heads, _sets_of(docs, rows.select("id").distinct(), id_col, text_col), percent)
     unlike = search.centres(rows).select("id").distinct()
     rare = written(prefixes(search.sets, unlike, percent), "rare-shingles")
-    search.across(search.centres(rare))
+    search.across(search.centres(rare.select("key", "id")), rare)
     return rows.sparkSession.range(0).selectExpr("id", "id as component") if search.labels is None else search.labels
 
 
