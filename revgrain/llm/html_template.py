@@ -175,7 +175,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     flat = different.select("host", "body", F.explode("tokens").alias("t"))
     vectors = flat.groupBy("host", F.col("t.token").alias("token")).agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("body", "t.n")).alias("vector"))
-    often = vectors.join(sizes, "host").filter((F.col("on") * 2 >= F.col("n_pages")) & (F.col("n_pages") > 1))
+    often = vectors.join(sizes, "host").filter((F.col("on") * 2 >= F.col("n_pages")) & (F.col("on") > 1))
     classes = often.groupBy("host", "n_pages", "vector", "on").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     return classes.groupBy("host", "n_pages").agg(F.sort_array(F.collect_list(F.struct("on", "tokens"))).alias("classes"))
 
@@ -197,35 +197,35 @@ def valid_classes(parts: list[Part], classes: list[dict]) -> dict[int, int]:
     kept: list[int] = []
     for k in sorted(good, key=lambda k: (-len(classes[k]["tokens"]), k)):
         width = len(classes[k]["tokens"])
-        gaps_ok = True
-        for outer in kept[:1]:
-            ends = good[outer]
-            for at in range(0, len(good[k]), width):
-                first, last = good[k][at], good[k][at + width - 1]
-                crossed = sum(first < e < last for e in ends)
-                gaps_ok &= crossed in (0, len(ends)) or len(ends) == len(classes[outer]["tokens"])
-        if gaps_ok:
+        outer = good[kept[0]] if kept else []
+        once = not kept or len(outer) == len(classes[kept[0]]["tokens"])
+        rounds = [(good[k][at], good[k][at + width - 1]) for at in range(0, len(good[k]), width)]
+        # Beside a largest class that comes round several times, a class must not begin in one round and end in another.
+        if once or all(sum(a < e < b for e in outer) in (0, len(outer)) for a, b in rounds):
             kept.append(k)
     return {t: k for k in kept for t in classes[k]["tokens"]}
 
 
 def blocks(parts: list[Part], template: dict[int, int], classes: list[dict], n_pages: int) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """Blocks of slot text that may belong to the article: (path, in an article, text, letters in links)."""
-    out, held, linked, at = [], [], 0, None
-    for p in parts:
+    """Blocks of slot text that may belong to the article: (path, in an article, text, letters in links).
+
+    Inside an article a block is left out only if all of it is the template's.
+    """
+    out, held, linked, at, own = [], [], 0, None, False
+    for p in [*parts, Part("b", 0, "", (), False, False, False)]:
         if p.kind == "b":
-            if held and (text := " ".join("".join(held).split())):
+            if own and (text := " ".join("".join(held).split())):
                 out.append((at.path, at.article, text, linked))
-            held, linked, at = [], 0, None
+            held, linked, at, own = [], 0, None, False
         elif p.kind == "t" and not p.silent:
             k = template.get(p.token)
-            if k is not None and p.text.strip() and (not p.article or (n_pages >= SURE and classes[k]["on"] == n_pages)):
+            if k is None or (p.article and (n_pages < SURE or classes[k]["on"] < n_pages)):
+                own = own or bool(p.text.strip())
+            elif not p.article and p.text.strip():
                 continue
             held.append(p.text)
             linked += len(p.text) * p.linked
             at = at or p
-    if held and (text := " ".join("".join(held).split())):
-        out.append((at.path, at.article, text, linked))
     return out
 
 

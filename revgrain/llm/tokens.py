@@ -163,7 +163,8 @@ class Encoder:
         ids = table[np.repeat(place[which] - upto[:-1], count) + np.arange(upto[-1])]
         bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype("<i8")
         odd = np.concatenate(([0], np.cumsum(sizes[which] < 0)))[bounds]
-        raw, ends, odd = ids.tobytes(), (4 * upto[bounds]).tolist(), (odd[1:] > odd[:-1]).tolist()
+        odd = (odd[1:] > odd[:-1]) | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        raw, ends, odd = ids.tobytes(), (4 * upto[bounds]).tolist(), odd.tolist()
         return [self._slowly(texts[i].as_py()) if o else raw[ends[i]:ends[i + 1]] for i, o in enumerate(odd)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:

@@ -32,8 +32,8 @@ from revgrain.llm.common import written
 from revgrain.llm.minhash import shingle_sets
 
 LABELLED, UNITS, LEAST, STANDS_OUT, LEVEL = 20_000, 65_536, 5, 25.0, 0.02
-#: Letters of a prefix unit; words of prior beside the labelled ones, dealt by the corpus, and a flat part for each unit.
-PREFIXES, PRIOR, FLAT = (6, 5, 4), 10_000.0, 0.5
+#: Letters of a prefix unit; words of prior for each word of the other labelled texts, dealt by the corpus, and a flat part for each unit.
+PREFIXES, PRIOR, FLAT = (6, 5, 4), 0.003, 0.5
 STEP = 4_000_000
 MODEL = {"units": {}, "rest": 0.0, "lambda": 1.0, "K": 1.0, "bias": -10.0, "slope": 0.0}
 
@@ -185,9 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield from _count(sent.value, once=True, specific=True)(batches)
 
     whole = {r.unit: r.n for r in docs.select(F.col(text_col).alias("text")).mapInArrow(prior, COUNTS).groupBy("unit").agg(F.sum("n").alias("n")).collect()}
-    extra = {u: PRIOR * whole.get(u, 0) / max(whole.get("", 1), 1) + FLAT for u in wanted}
-    toxic = lambda u, y: (y + extra[u]) / (n1 + PRIOR)
-    quiet = lambda u, y: (y + extra[u]) / (n0 + PRIOR)
+    strength = PRIOR * n0
+    extra = {u: strength * whole.get(u, 0) / max(whole.get("", 1), 1) + FLAT for u in wanted}
+    toxic = lambda u, y: (y + extra[u]) / (n1 + strength)
+    quiet = lambda u, y: (y + extra[u]) / (n0 + strength)
     units = {u: math.log(toxic(u, y1) / quiet(u, y0)) for u, (y1, y0) in wanted.items()}
     # Chances under the rule that a word takes its most specific unit.
     dealt = {r.unit: (r.y1, r.y0) for r in _by_class(rows.select("text", "toxic").mapInArrow(own, COUNTS)).collect() if r.unit in units}

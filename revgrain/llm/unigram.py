@@ -253,9 +253,10 @@ class Unigram:
                 parts = self._met(words.dictionary.to_pylist())
                 which = words.indices.to_numpy(zero_copy_only=False).tolist()
                 bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype(int).tolist()
+                marked = pc.match_substring(some, "\0").to_pylist()
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                     own = [parts[w] for w in which[a:b]]
-                    yield self._slowly(some[k].as_py()) if None in own else b"".join(own)
+                    yield self._slowly(some[k].as_py()) if marked[k] or None in own else b"".join(own)
             begin = end
 
     def decode(self, raw: bytes) -> str:

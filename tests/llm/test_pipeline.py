@@ -47,7 +47,8 @@ def test_hard_rows_pass_every_stage(spark, docs):
     rows = docs([(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (None, "token=abcdefghijkl"), (None, "other"), (4, "w " * 40_000)], extra=False)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         rows = stage(spark, rows, SF)
-    assert sorted(texts(rows), key=repr)[:2] == [(1, None), (3, "a b c d e f")] or len(texts(rows)) == 5
+    # Nothing but blanks is one group of copies, the repeated row is one, and rows without an id keep their texts.
+    assert sorted(i or 0 for i, _ in texts(rows)) == [0, 0, 1, 3, 4]
     assert corpus_pipeline.packed(spark, rows, SF).filter("doc_id = 4").agg(F.max("piece")).first()[0] > 10
     nothing = docs([], extra=False)
     for _, stage in corpus_pipeline.STAGES:
