@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import written
+from revgrain.llm.common import sliced, written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
@@ -98,7 +98,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers(2 * HALVES * ROWS, SEED + 1)
         mix = multipliers(ROWS, SEED + 2)
-        for batch in batches:
+        for batch in sliced(batches):
             n, kind, left, right, sketch = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
@@ -124,7 +124,7 @@ def table_rows(heads: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "shingles"])
 
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import written
+from revgrain.llm.common import sliced, written
 from revgrain.llm.tokens import encoded
 
 SIZE = 1024
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, words: bool, end: int, size: int = SIZE,
     """Pieces of every document's ids (with ``end``), of at most ``size``: (doc_id, piece, start, length, ids_crc32)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), encoded(path, words, batch.column(1), end)):
                 n = len(raw) // 4

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import scratch_path
+from revgrain.llm.common import scratch_path, sliced
 from revgrain.llm.tokens import as_ids, encoded
 
 #: The dictionary is fitted on so many documents at most, of each a run of so many ids at most.
@@ -47,7 +47,7 @@ def fit_dictionary(docs: DataFrame, path: str, words: bool, end: int, wide: bool
     some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(text_col)
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             arrays = [as_ids(raw) for raw in encoded(path, words, batch.column(0), end)]
             runs = [a[(k := int(a[: 4].sum()) % max(1, len(a) - SAMPLE_IDS)):k + SAMPLE_IDS] for a in arrays]
             yield pa.RecordBatch.from_arrays([pa.array([packed(r, wide) for r in runs], pa.binary())], names=["ids"])
@@ -78,7 +78,7 @@ def write_tokens(
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bounds = sent.value
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
-        for batch in batches:
+        for batch in sliced(batches):
             arrays = [as_ids(raw) for raw in encoded(path, words, batch.column(1), end)]
             shard = np.searchsorted(bounds, batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             columns = [batch.column(0), pa.array(shard, pa.int32()), pa.array([len(a) for a in arrays], pa.int32()), pa.array([pack.compress(packed(a, wide)) for a in arrays], pa.binary())]

@@ -21,7 +21,7 @@ import regex
 from revgrain.llm.common import per_worker
 
 #: Words and pieces of a generation (a worker keeps two), the longest word that is kept, and pieces handed over in one text.
-KEPT, PIECES, LONGEST, TOGETHER = 350_000, 60_000, 48, 256
+KEPT, PIECES, LONGEST, TOGETHER = 220_000, 60_000, 48, 256
 #: Bytes of text that are cut and looked up at once.
 STEP = 4_000_000
 #: Python's white space and what the library might count as such.

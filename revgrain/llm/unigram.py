@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import per_worker
+from revgrain.llm.common import per_worker, sliced
 
 MARK = "▁"
 #: Words of a generation a worker keeps (it keeps two), bytes of text worked on at once, bytes of a word solved with others.
-KEPT, STEP, SHORT, TOGETHER = 350_000, 4_000_000, 64, 4_096
+KEPT, STEP, SHORT, TOGETHER = 220_000, 4_000_000, 64, 4_096
 RUN = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _worker(path, sent)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(model.encode(batch.column(1))), pa.binary())], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids binary")
@@ -287,7 +287,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _worker(path, sent)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.append_column("text", pa.array([model.decode(x) for x in batch.column("ids").to_pylist()], pa.string()))
 
     return rows.select("id", "ids").mapInArrow(run, "id long, ids binary, text string")
