@@ -7,7 +7,9 @@ import types
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,16 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def steps(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+    """Texts in parts of about ``size`` bytes, nulls as empty ones.
+
+    Each part is copied to buffers of its own: some Arrow functions misread strings that begin inside a buffer.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    upto, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size, 0
+    for end in [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]:
+        if end > begin:
+            yield texts.take(pa.array(np.arange(begin, end)))
+        begin = end

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import sliced, written
+from revgrain.llm.common import sliced, steps, written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
 WORDS, HALVES, ROWS, AGREE, ROUNDS = 5, 8, 2, 17, 4
-#: Bytes of text worked on at once, and shingles hashed at once.
-STEP, WIDE = 4_000_000, 16_384
+#: Shingles hashed at once.
+WIDE = 16_384
 SEED = 20_240_229
 FEATURES = "id long, n long, class binary, left array<long>, right array<long>, sketch binary"
 
@@ -54,13 +54,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text: A-Z lower-cased, words between blanks, tabs and line ends."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP
-    begin = 0
-    for end in [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]:
-        if end > begin:
-            yield from _sets(texts.slice(begin, end - begin), words)
-        begin = end
+    for some in steps(texts):
+        yield from _sets(some, words)
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:

@@ -18,12 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from revgrain.llm.common import per_worker
+from revgrain.llm.common import per_worker, steps
 
 #: Words and pieces of a generation (a worker keeps two), the longest word that is kept, and pieces handed over in one text.
 KEPT, PIECES, LONGEST, TOGETHER = 220_000, 60_000, 48, 256
-#: Bytes of text that are cut and looked up at once.
-STEP = 4_000_000
 #: Python's white space and what the library might count as such.
 SPACE = re.compile("[\\s\x85\u180e\u200b\ufeff]")
 #: White space on which Python and the library might disagree.
@@ -168,14 +166,8 @@ class Encoder:
         return [self._slowly(texts[i].as_py()) if o else raw[ends[i]:ends[i + 1]] for i, o in enumerate(odd)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text; about ``STEP`` bytes of text are worked on at a time."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        out, begin = [], 0
-        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP
-        for end in [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]:
-            out += self._encode(texts.slice(begin, end - begin)) if end > begin else []
-            begin = end
-        return out
+        """Ids of each text."""
+        return [ids for some in steps(texts) for ids in self._encode(some)]
 
 
 def encoder(path: str, words: bool) -> Encoder:

@@ -28,13 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import written
+from revgrain.llm.common import steps, written
 from revgrain.llm.minhash import shingle_sets
 
 LABELLED, UNITS, LEAST, STANDS_OUT, LEVEL = 20_000, 65_536, 5, 25.0, 0.02
 #: Letters of a prefix unit; words of prior for each word of the other labelled texts, dealt by the corpus, and a flat part for each unit.
 PREFIXES, PRIOR, FLAT = (6, 5, 4), 0.003, 0.5
-STEP = 4_000_000
 MODEL = {"units": {}, "rest": 0.0, "lambda": 1.0, "K": 1.0, "bias": -10.0, "slope": 0.0}
 
 
@@ -43,16 +42,6 @@ def units_of(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about ``STEP`` bytes, nulls as empty texts."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    upto, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP, 0
-    for end in [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]:
-        if end > begin:
-            yield texts.slice(begin, end - begin)
-        begin = end
-
-
 def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words, the word number of every word in order, and where each text begins."""
     lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " "), " ")
@@ -94,7 +83,7 @@ def segments(scores: list[float], before: list[float]) -> list[tuple[float, int,
 def passages(texts: pa.Array, model: dict) -> Iterator[tuple[float, list[tuple[float, int, int]]]]:
     """For each text: its evidence, and its significant passages (S', first word, end word)."""
     score: dict[str, float] = model["units"]
-    for some in parts(texts):
+    for some in steps(texts):
         words, numbers, bounds = coded(some)
         own = np.array([next((score[u] for u in units_of(w) if u in score), 0.0) for w in words] or [0.0])
         hits = np.flatnonzero(own[numbers] > 0)
@@ -123,7 +112,7 @@ def _count(kept: dict | None = None, once: bool = False, specific: bool = False)
             sums: Counter = Counter()
             classes = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(batch.num_rows, dtype=np.int32)
             at = 0
-            for some in parts(batch.column(0)):
+            for some in steps(batch.column(0)):
                 words, numbers, bounds = coded(some)
                 texts = np.repeat(np.arange(at, at + len(some)), np.diff(bounds))
                 if once and len(words):

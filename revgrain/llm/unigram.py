@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import per_worker, sliced
+from revgrain.llm.common import per_worker, sliced, steps
 
 MARK = "▁"
-#: Words of a generation a worker keeps (it keeps two), bytes of text worked on at once, bytes of a word solved with others.
-KEPT, STEP, SHORT, TOGETHER = 220_000, 4_000_000, 64, 4_096
+#: Words of a generation a worker keeps (it keeps two), bytes of a word solved with others, and words solved at once.
+KEPT, SHORT, TOGETHER = 220_000, 64, 4_096
 RUN = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -243,21 +243,16 @@ class Unigram:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        upto, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP, 0
-        for end in [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]:
-            if end > begin:
-                some = texts.slice(begin, end - begin)
-                keys = pc.split_pattern(pc.replace_substring(some, "\n", " \n \0"), " ")
-                words = keys.flatten().dictionary_encode()
-                parts = self._met(words.dictionary.to_pylist())
-                which = words.indices.to_numpy(zero_copy_only=False).tolist()
-                bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype(int).tolist()
-                marked = pc.match_substring(some, "\0").to_pylist()
-                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    own = [parts[w] for w in which[a:b]]
-                    yield self._slowly(some[k].as_py()) if marked[k] or None in own else b"".join(own)
-            begin = end
+        for some in steps(texts):
+            keys = pc.split_pattern(pc.replace_substring(some, "\n", " \n \0"), " ")
+            words = keys.flatten().dictionary_encode()
+            parts = self._met(words.dictionary.to_pylist())
+            which = words.indices.to_numpy(zero_copy_only=False).tolist()
+            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype(int).tolist()
+            marked = pc.match_substring(some, "\0").to_pylist()
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                own = [parts[w] for w in which[a:b]]
+                yield self._slowly(some[k].as_py()) if marked[k] or None in own else b"".join(own)
 
     def decode(self, raw: bytes) -> str:
         said = self.v.written

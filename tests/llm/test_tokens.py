@@ -30,6 +30,10 @@ def test_ids_are_the_librarys(path, words):
     encoder = tokens.Encoder(path, words)
     assert encoder.encode(pa.array(texts)) == want
     assert encoder.encode(pa.array(texts[::-1])) == want[::-1]
+    for part in (pa.array(texts).slice(700, 900), pa.array(texts, pa.large_string()).slice(700, 900).slice(100)):  # views into larger buffers
+        assert encoder.encode(part) == want[1_600 - len(part):1_600]
+    long = texts * 60  # several steps
+    assert encoder.encode(pa.array(long)) == want * 60
     assert encoder.encode(pa.array([None, "a"]))[0] == b"" and encoder.encode(pa.array([], pa.string())) == []
 
 
