@@ -20,10 +20,10 @@ def reviewable(files: DataFrame) -> DataFrame:
 
 
 def pathspec(path: Column | str, globs: list[str]) -> Column:
-    """Any of the first five globs. As in git, ``*`` also crosses folder borders and a plain folder name covers its files."""
+    """Any of the globs. As in git, ``*`` also crosses folder borders and a plain folder name covers its files."""
     path = F.col(path) if isinstance(path, str) else path
     tests = []
-    for g in globs[:5]:
+    for g in globs:
         if any(ch in g for ch in "*?["):
             tests.append(path.rlike("^" + fnmatch.translate(g).replace(r"\z", "$").replace(r"\Z", "$")))
         else:

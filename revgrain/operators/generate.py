@@ -124,7 +124,7 @@ def fake_changesets(params: DataFrame) -> DataFrame:
 
     params: sample_id, file_exts, python_file_count, total_lines, has_dep_files, risk_signals.
     """
-    n = F.least("python_file_count", F.lit(200))
+    n = F.col("python_file_count")
     added = F.greatest(F.lit(1), F.floor(F.col("total_lines") / F.greatest(F.lit(1), "python_file_count"))).cast("int")
     py = params.where("python_file_count > 0").select("sample_id", "risk_signals", added.alias("added"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     first = F.when(F.array_contains("risk_signals", "auth_change"), "auth.py").when(

@@ -15,7 +15,6 @@ from revgrain.functions import text as text_functions
 from revgrain.functions.patterns import any_of
 from revgrain.operators.ranking import top_per_key
 
-MAX_CHARS = 1_000_000
 FACTS = (
     "path string, fact string, name string, kind string, line int, end_line int, owner string, base string, "
     "receiver string, module string, level int, alias string, seq int, calls array<string>"
@@ -91,7 +90,7 @@ def _facts_of(path: str, source: str) -> Iterator[dict]:
             queue.append((child, *scope))
 
 
-def python_facts(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def python_facts(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Fact rows of each (path, text). Longer files are left out, as are files of other languages."""
     def run(batches):
         import pandas as pd
@@ -108,7 +107,9 @@ def python_facts(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
             out["calls"] = out["calls"].astype(object).where(out["calls"].notna(), None)
             yield out
 
-    source = files.where(F.col("path").endswith(".py") & (F.length("text") <= max_chars)).select("path", "text")
+    source = files.where(F.col("path").endswith(".py")).select("path", "text")
+    if max_chars is not None:
+        source = source.where(F.length("text") <= max_chars)
     return source.mapInPandas(run, FACTS)
 
 

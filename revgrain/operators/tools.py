@@ -50,7 +50,8 @@ def call_model(
 ) -> DataFrame:
     """``model`` on slices of ``batch`` prompts inside the partitions: (key, raw, attempts, error).
 
-    A call that raises, or answers with nothing, is repeated; after the last attempt its rows carry the error.
+    Prompts a call leaves unanswered, because it raises or gives no or too few answers, are asked again; after the last
+    attempt their rows carry the error. Every prompt gives one row.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
@@ -61,16 +62,20 @@ def call_model(
             rows = []
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
-                raw, error, attempt = [None] * len(part), "empty response", 0
-                for attempt in range(1, retries + 2):
+                raw, tries, error = [None] * len(part), [0] * len(part), "empty response"
+                for _ in range(retries + 1):
+                    todo = [k for k, r in enumerate(raw) if not r]
+                    if not todo:
+                        break
+                    for k in todo:
+                        tries[k] += 1
                     try:
-                        raw = list(model(part["prompt"].tolist()))
-                        if any(raw):
-                            error = None
-                            break
+                        answers = list(model([part["prompt"].iloc[k] for k in todo]))
+                        for k, answer in zip(todo, answers):
+                            raw[k] = answer
                     except Exception as exc:  # noqa: BLE001 - a failed call becomes a row
                         error = str(exc) or type(exc).__name__
-                rows += [(k, r, attempt, error if not r else None) for k, r in zip(part[key], raw)]
+                rows += [(k, r, n, error if not r else None) for k, r, n in zip(part[key], raw, tries)]
             yield pd.DataFrame(rows, columns=[key, "raw", "attempts", "error"])
 
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, raw string, attempts int, error string")

@@ -38,13 +38,13 @@ def _(t):
     return corpus.corpus_size(t.documents.select(F.col("source").alias("repo_id"), F.lit("a/b.py").alias("path"), "text"), ["repo_id"])
 
 
-@query("read_corpus", "S01", """select parse_filename(p, true) as name, octet_length(encode(text)) as length, text from (select concat('d', doc_id % 50, '.txt') as p, max(text) as text from documents group by 1) where octet_length(encode(text)) <= 2000""")
+@query("read_corpus", "S01", "select concat('d', doc_id) as name, octet_length(encode(text)) as length, text from documents")
 def _(t):
-    # The texts are written as plain files first and then read back as a corpus, one folder per name.
+    # Every text is written as a plain file first and then read back as a corpus, one folder per document.
     folder = _folder(t)
-    rows = t.documents.groupBy(F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")).alias("name")).agg(F.max("text").alias("value"))
+    rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("value"))
     rows.write.partitionBy("name").option("lineSep", chr(0)).text(folder)
-    found = corpus.read_corpus(t.spark, folder, [".txt"], 2001)
+    found = corpus.read_corpus(t.spark, folder, [".txt"])
     text = F.regexp_replace("text", "\\x00$", "")
     return found.select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"), (F.col("length") - 1).alias("length"), text.alias("text"))
 

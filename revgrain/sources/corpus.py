@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revgrain import fixed
 from revgrain.functions import paths
-from revgrain.functions.patterns import any_of, text_lines
+from revgrain.functions.patterns import text_lines
 
-FILE_BYTES = 2 << 20
 
+def _any_case(extension: str) -> str:
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
-def read_corpus(spark: SparkSession, path: str, extensions: list[str], max_bytes: int = FILE_BYTES) -> DataFrame:
-    """Files below ``path`` with an allowed extension and size: path, length, text.
 
-    The extension test also runs on the file listing, so other files are never opened.
+def read_corpus(spark: SparkSession, path: str, extensions: list[str], max_bytes: int | None = None) -> DataFrame:
+    """Files below ``path`` with an allowed extension, in any case, and at most ``max_bytes``, if given: path, length, text.
+
+    Both tests run on the file listing, so other files are never opened. Bytes that aren't UTF-8 become U+FFFD.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "{" + ",".join(_any_case(e) for e in extensions) + "}")
         .load(path)
-        .where(F.col("length") <= max_bytes)
-        .where(any_of([F.lower("path").endswith(e.lower()) for e in extensions]))
     )
-    return files.select("path", "length", F.decode("content", "UTF-8").alias("text"))
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+    return files.select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def exclude_dirs(files: DataFrame, dirs: list[str], hidden: bool = False, any_case: bool = True) -> DataFrame:
