@@ -171,7 +171,7 @@ def truncate_evidence(evidence: DataFrame, max_items: int = 18, diversity: int =
         (k == 3) & (F.col("left") > 0) & (F.col("rank") <= m - F.col("keep")), F.col("keep") + F.col("rank")
     )
     big = out.where(F.col("n") > max_items).withColumn("place", F.when(F.col("swap"), swapped).otherwise(place))
-    small = out.where(F.col("n") <= max_items).withColumn("place", F.col("seq"))
+    small = out.where(F.col("n") <= max_items).withColumn("place", F.row_number().over(Window.partitionBy("sample_id").orderBy("seq")))
     columns = [*evidence.columns, "place"]
     return big.where(F.col("place") <= max_items).select(*columns).unionByName(small.select(*columns))
 
@@ -193,7 +193,7 @@ def knowledge_topk(queries: DataFrame, rules: list[dict], k: int = 5) -> DataFra
 
 def no_knowledge(queries: DataFrame) -> DataFrame:
     """Retriever that never finds anything, for runs without a knowledge base."""
-    return knowledge_topk(queries, fixed.KNOWLEDGE_RULES).limit(0)
+    return knowledge_topk(queries, [{"content": "", "source": "", "tags": []}]).limit(0)
 
 
 VECTOR_BLOCK = 1024

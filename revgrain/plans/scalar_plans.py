@@ -287,7 +287,7 @@ _SIGNALS = sorted(fixed.RISK_KEYWORDS.items())
 
 
 @query("content_risk_signals", "F18", "select doc_id, concat_ws(',', " + ", ".join(
-    "case when " + " or ".join([f"contains(lower(text), '{w.lower() if False else w}')" for w in ws]
+    "case when " + " or ".join([f"contains(lower(text), '{w}')" for w in ws]
     + ([f"contains(lower(path), '{w}')" for w in ws] if n == "dependency_change" else [])) + f" then '{n}' end" for n, ws in _SIGNALS) + ") as signals from v_files")
 def _(t):
     return t.files.select("doc_id", F.array_join(review.content_signals("path", "text"), ",").alias("signals"))

@@ -43,7 +43,10 @@ def _stored(spark: SparkSession, out: str, before: int) -> DataFrame | None:
 
 
 def upsert_stream(updates: DataFrame, current: DataFrame, folder: str) -> DataFrame:
-    """``versioned_upsert`` per micro-batch. Each batch writes a new state folder; the last one is the table."""
+    """``versioned_upsert`` per micro-batch. Each batch writes a new state folder; the last one is the table.
+
+    A row kept in the last batch may have been written by an earlier one; ``outcome`` tells what the last batch did to it.
+    """
     out = f"{folder}/out"
     spark = updates.sparkSession
 
@@ -55,6 +58,7 @@ def upsert_stream(updates: DataFrame, current: DataFrame, folder: str) -> DataFr
         result = versioned_upsert(state.select("user_id", "conv_id", "title", "version"), batch)
         result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    every = drain(updates, folder, each=each)
-    last = every.agg(F.max("batch")).scalar() if "batch" in every.columns else None
-    return every.where(F.col("batch") == last) if last is not None else every
+    drain(updates, folder, each=each)
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == last).drop("batch")

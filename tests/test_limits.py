@@ -35,3 +35,16 @@ def test_every_prompt_gives_a_row(spark):
     short = {r.id: r for r in tools.call_model(prompts, "id", lambda texts: texts[:1], batch=4, retries=1).collect()}
     assert [short[k].raw for k in range(4)] == ["p0", "p1", None, None] and [short[k].attempts for k in range(4)] == [1, 2, 2, 2]
     assert short[3].error and tools.call_model(prompts, "id", lambda texts: [], batch=4).count() == 4
+
+
+def test_upserts_of_two_batches_leave_one_state(spark, tmp_path):
+    from revgrain.streaming import evaluation
+
+    columns = "user_id long, conv_id long, title string, version int, op string"
+    for k, rows in enumerate(([(1, 1, "b", 1, "save"), (2, 1, "n", 0, "save")], [(1, 1, "c", 2, "save"), (2, 1, "x", 5, "save")])):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    current = spark.createDataFrame([(1, 1, "a", 1)], "user_id long, conv_id long, title string, version int")
+    got = {(r.user_id, r.conv_id): (r.outcome, r.title, r.version) for r in evaluation.upsert_stream(stream, current, str(tmp_path / "job")).collect()}
+    assert len(got) == 2
+    assert got in ({(1, 1): ("updated", "c", 3), (2, 1): ("conflict", "n", 1)}, {(1, 1): ("updated", "b", 2), (2, 1): ("inserted", "n", 0 + 1)})
