@@ -44,7 +44,7 @@ def per_worker(name: str, make):
     return getattr(store, name)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so what is made of one stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

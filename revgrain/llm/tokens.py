@@ -21,7 +21,9 @@ import regex
 from revgrain.llm.common import per_worker, steps
 
 #: Words and pieces of a generation (a worker keeps two), the longest word that is kept, and pieces handed over in one text.
-KEPT, PIECES, LONGEST, TOGETHER = 220_000, 60_000, 48, 256
+KEPT, PIECES, LONGEST, TOGETHER = 300_000, 60_000, 48, 256
+#: Bytes of text cut and looked up at once.
+STEP = 8_000_000
 #: Python's white space and what the library might count as such.
 SPACE = re.compile("[\\s\x85\u180e\u200b\ufeff]")
 #: White space on which Python and the library might disagree.
@@ -167,7 +169,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text."""
-        return [ids for some in steps(texts) for ids in self._encode(some)]
+        return [ids for some in steps(texts, STEP) for ids in self._encode(some)]
 
 
 def encoder(path: str, words: bool) -> Encoder:
