@@ -44,6 +44,12 @@ def per_worker(name: str, make):
     return getattr(store, name)
 
 
+def release_worker() -> None:
+    """Let go of what this worker keeps for other operators, so that stages in a row don't add up their memory."""
+    if "_kept_by_worker" in sys.modules:
+        vars(sys.modules["_kept_by_worker"]).clear()
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so what is made of one stays small."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import sliced, steps, written
+from revgrain.llm.common import release_worker, sliced, steps, written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
@@ -91,6 +91,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n, class, left, right, sketch) of every row; ``class`` is a digest of the set, null keys for an empty set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         factors = multipliers(2 * HALVES * ROWS, SEED + 1)
         mix = multipliers(ROWS, SEED + 2)
         for batch in sliced(batches):

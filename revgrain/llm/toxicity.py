@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import steps, written
+from revgrain.llm.common import release_worker, steps, written
 from revgrain.llm.minhash import shingle_sets
 
 LABELLED, UNITS, LEAST, STANDS_OUT, LEVEL = 20_000, 65_536, 5, 25.0, 0.02
@@ -82,6 +82,7 @@ def segments(scores: list[float], before: list[float]) -> list[tuple[float, int,
 
 def passages(texts: pa.Array, model: dict) -> Iterator[tuple[float, list[tuple[float, int, int]]]]:
     """For each text: its evidence, and its significant passages (S', first word, end word)."""
+    release_worker()
     score: dict[str, float] = model["units"]
     for some in steps(texts):
         words, numbers, bounds = coded(some)
@@ -108,6 +109,7 @@ def _count(kept: dict | None = None, once: bool = False, specific: bool = False)
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         for batch in batches:
             sums: Counter = Counter()
             classes = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(batch.num_rows, dtype=np.int32)
