@@ -8,8 +8,8 @@ and no token of a class stands in more than one gap of the class around it (nest
 for that page. Valid classes nest into the template, what lies between their tokens are the slots.
 
 The main text is what the slots of the article hold: slots inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments are left out, by the tags and names of the template around them, as is text that the
-template itself carries outside the article, or inside it on each of ``SURE`` or more different pages. A page
+adverts, forms, scripts and reader comments are left out, by the tags and names of the template around them (names of the page, of
+its main and article elements and of what holds the article tell nothing of that kind), as is text that the template itself carries outside the article, or inside it on each of ``SURE`` or more different pages. A page
 without an article element gets the container with the most unlinked slot text.
 
 Defined cases: null html counts as empty and gives empty text; pages without a host share the empty host; identical pages
@@ -50,9 +50,29 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 ASIDE = set("ad ads adv nav navbar navigation menu menus footer search login signup share sharing social related widget pagination pager toolbar popup modal overlay alert gdpr reply replies respond disqus copyright".split())
 ASIDE_BEGIN = ("advert", "banner", "sponsor", "promo", "cookie", "consent", "notice", "notification", "sidebar", "breadcrumb", "comment", "newsletter", "subscri", "recommend")
 ARTICLE = {"article", "main"}
+#: Elements whose class and id names describe the page, so never what is around the article.
+PAGE = {"html", "body", "main"}
 ARTICLE_NAMES = ("articlebody", "article-body", "post-content", "entry-content", "article-content")
 
 
+class Scope:
+    """A container of a page; ``inside`` and ``silent`` hold for what lies in it once ``settle`` has run."""
+
+    __slots__ = ("up", "name", "article", "named", "barred", "inside", "hushed", "headed", "silent")
+
+    def __init__(self, up: Scope | None, name: str = "", article: bool = False, named: bool = False, barred: bool = False):
+        self.up, self.name, self.article, self.named, self.barred = up, name, article, named, barred
+        self.inside = self.hushed = self.headed = self.silent = False
+
+    def line(self) -> list[Scope]:
+        """The container and those around it, from the inside out."""
+        out, s = [], self
+        while s is not None:
+            out.append(s)
+            s = s.up
+        return out
+
+
 class Part(NamedTuple):
     """A tag or text run of a page."""
 
@@ -60,26 +80,36 @@ class Part(NamedTuple):
     token: int
     text: str
     path: tuple[str, ...]
-    article: bool
-    silent: bool
+    scope: Scope
     linked: bool
 
+    @property
+    def article(self) -> bool:
+        return self.scope.inside
 
-def _marks(name: str, rest: str) -> tuple[str, bool, bool]:
-    """What tells a tag apart, whether it is an article, and whether text below it is left out."""
+    @property
+    def silent(self) -> bool:
+        return self.scope.silent
+
+
+def _marks(name: str, rest: str) -> tuple[str, bool, bool, bool, bool]:
+    """What tells a tag apart, whether it is an article, surely so, and whether names or else the tag leave out text below it."""
     if not rest.strip(" /"):
-        return name, name in ARTICLE, name in SILENT
+        return name, name in ARTICLE, name in ARTICLE, False, name in SILENT
     said = {m["name"].lower(): (m["a"] or m["b"] or m["c"] or "").lower() for m in ATTRIBUTE.finditer(rest)}
     names = f"{said.get('class', '')} {said.get('id', '')}"
     words = re.findall(r"[a-z]+", names)
-    aside = any(w in ASIDE or w.startswith(ASIDE_BEGIN) for w in words) or said.get("role") in ROLES or "hidden" in said
-    article = not aside and (name in ARTICLE or said.get("role") in ("main", "article") or any(n in f"{names} {said.get('itemprop', '')}" for n in ARTICLE_NAMES))
-    return f"{name} {names.strip()}".strip(), article, aside or name in SILENT
+    named = name not in PAGE and any(w in ASIDE or w.startswith(ASIDE_BEGIN) for w in words)
+    barred = said.get("role") in ROLES or "hidden" in said
+    sure = not barred and (name in ARTICLE or said.get("role") in ("main", "article") or "articlebody" in said.get("itemprop", ""))
+    article = sure or not (named or barred) and any(n in f"{names} {said.get('itemprop', '')}" for n in ARTICLE_NAMES)
+    return f"{name} {names.strip()}".strip(), article, sure, named, barred or name in SILENT
 
 
 def parse(html: str) -> Iterator[Part]:
     """Tags and text runs of a page in order, with a block end wherever a block begins or ends."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, marks, article, silent
+    stack: list[tuple[str, str, Scope]] = []  # name, marks, scope
+    top = Scope(None)
     path: tuple[str, ...] = ()
     digest: dict[tuple, int] = {}
     linked, at, size = 0, 0, len(html)
@@ -90,17 +120,13 @@ def parse(html: str) -> Iterator[Part]:
             digest[key] = xxhash.xxh3_64_intdigest("\x00".join((*path, kind, what))) >> 1
         return digest[key]
 
-    def state() -> tuple[bool, bool]:
-        inside = any(s[2] for s in stack)
-        return inside, any(s[3] or (s[0] == "header" and not inside) for s in stack)
-
-    article = silent = False
+    scope = top
     for m in TAG.finditer(html):
         if m.start() < at:
             continue
         if m.start() > at:
             text = entities.unescape(html[at:m.start()])
-            yield Part("t", token("t", text.strip()), text, path, article, silent, linked > 0)
+            yield Part("t", token("t", text.strip()), text, path, scope, linked > 0)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -112,31 +138,79 @@ def parse(html: str) -> Iterator[Part]:
                 while stack.pop()[0] != name:
                     pass
                 path = tuple(s[1] for s in stack)
-                article, silent = state()
-            yield Part("b" if name in BLOCK else ">", token(">", name), "", path, article, silent, False)
+                scope = stack[-1][2] if stack else top
+            yield Part("b" if name in BLOCK else ">", token(">", name), "", path, scope, False)
             continue
-        marks, is_article, is_silent = _marks(name, m["rest"])
+        marks, is_article, sure, named, barred = _marks(name, m["rest"])
         if name in RAW.split():
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else size
-            yield Part("b", token("<", marks), "", path, article, silent, False)
+            yield Part("b", token("<", marks), "", path, scope, False)
             continue
         if is_article:  # menus and headers that were never closed don't reach into the article
             while stack and stack[-1][0] in ("nav", "header", "head", "menu", "ul", "ol"):
                 stack.pop()
             path = tuple(s[1] for s in stack)
-        yield Part("b" if name in BLOCK else "<", token("<", marks), "", path, article, silent, False)
+            scope = stack[-1][2] if stack else top
+        yield Part("b" if name in BLOCK else "<", token("<", marks), "", path, scope, False)
         if name == "a":
             linked += 1
         if name == "br":
-            yield Part("t", token("t", ""), " ", path, article, silent, False)
+            yield Part("t", token("t", ""), " ", path, scope, False)
         if name in CONTAINER and not m["rest"].endswith("/"):
-            stack.append((name, marks, is_article, is_silent))
+            if sure and named:  # an article's names count only where it lies in another one, as readers' comments do
+                named = any(s.name == "article" for s in scope.line())
+            scope = Scope(scope, name, is_article, named, barred)
+            stack.append((name, marks, scope))
             path = (*path, marks)
-            article, silent = state()
     if at < size:
         text = entities.unescape(html[at:])
-        yield Part("t", token("t", text.strip()), text, path, article, silent, linked > 0)
+        yield Part("t", token("t", text.strip()), text, path, scope, linked > 0)
+
+
+def settle(scopes: list[Scope]) -> None:
+    """Hand down from each container, outer ones first, whether what lies in it belongs to an article or is left out."""
+    for s in scopes:
+        up = s.up
+        if up is None:
+            continue
+        s.inside = up.inside or s.article
+        s.hushed = up.hushed or s.barred or s.named
+        s.headed = up.headed or s.name == "header"
+        s.silent = s.hushed or (s.headed and not s.inside)
+
+
+def read_page(html: str | None) -> list[Part]:
+    """Parts of a page with settled containers.
+
+    If names leave out every article, or all text of a page without one, those around the largest are names of the page's layout
+    and don't count: a container that holds the article isn't beside it. Articles shorter than the text outside of them stay left out.
+    """
+    parts = list(parse(html or ""))
+    met: dict[int, Scope] = {}
+    for p in parts:
+        if id(p.scope) not in met:
+            met |= {id(s): s for s in reversed(p.scope.line()) if id(s) not in met}
+    scopes = list(met.values())
+    settle(scopes)
+    articles = [s for s in scopes if s.article]
+    while not any(p.kind == "t" and not p.silent and (p.article or not articles) and p.text.strip() for p in parts):
+        size: dict[int, int] = {}
+        for p in parts:
+            if p.kind == "t" and (line := p.scope.line()) and not any(s.barred for s in line):
+                for s in line:
+                    size[id(s)] = size.get(id(s), 0) + len(p.text.strip())
+        holders = {id(s.up) for s in scopes}
+        named = [(at, [s for s in at.line() if s.named]) for at in articles or scopes if size.get(id(at)) and (articles or id(at) in holders)]
+        named = [(at, around) for at, around in named if around]
+        live = sum(len(p.text.strip()) for p in parts if p.kind == "t" and not p.silent and not p.linked)
+        at, around = min(named, key=lambda x: (len(x[1]), -size[id(x[0])]), default=(None, []))
+        if at is None or size[id(at)] <= live:
+            break
+        for s in around:
+            s.named = False
+        settle(scopes)
+    return parts
 
 
 def host_of(url: str | None) -> str:
@@ -212,7 +286,7 @@ def blocks(parts: list[Part], template: dict[int, int], classes: list[dict], n_p
     Inside an article a block is left out only if all of it is the template's.
     """
     out, held, linked, at, own = [], [], 0, None, False
-    for p in [*parts, Part("b", 0, "", (), False, False, False)]:
+    for p in [*parts, Part("b", 0, "", (), Scope(None), False)]:
         if p.kind == "b":
             if own and (text := " ".join("".join(held).split())):
                 out.append((at.path, at.article, text, linked))
@@ -231,9 +305,9 @@ def blocks(parts: list[Part], template: dict[int, int], classes: list[dict], n_p
 
 def main_text(html: str | None, classes: list[dict] | None = None, n_pages: int = 1) -> str:
     """The article of a page; ``classes`` is the template of its host."""
-    parts = list(parse(html or ""))
+    parts = read_page(html)
     found = blocks(parts, valid_classes(parts, classes or []), classes or [], n_pages)
-    if any(p.article for p in parts):
+    if any(p.article and not p.silent for p in parts):
         found = [b for b in found if b[1]]
     elif found:
         weight: dict[tuple[str, ...], int] = {}

@@ -165,3 +165,18 @@ def test_chats_survive_control_strings(spark):
         assert got[c].learnt == [x for _, r, x in turns if r == "assistant"]
     assert chat.write_chats(chat.threads(df.filter("turn > 99"))).count() == 0
     assert isinstance(got[None], Row) and pa.__version__
+
+
+def test_names_of_page_and_article(spark):
+    read = html_template.main_text
+    body = "<p>Whole text.</p><section class=comments><article class=comment>Nice!</article></section>"
+    for page in ("single right-sidebar", "cookie-consent-on"):
+        assert read(f"<html class={page.split()[0]}-banner><body class='{page}'><article>{body}</article><div class=sidebar>Popular</div></body></html>") == "Whole text."
+    for open_, close in (("<main class='no-sidebar'>", "</main>"), ("<article class='post comments-open'>", "</article>"), ("<main><article id=notice-1>", "</article></main>"), ("<div class='has-sidebar'><div role=main class=ads-on>", "</div></div>")):
+        assert read(f"<body><div class=ad>Buy</div>{open_}{body}{close}<div class=related><article>Other</article></div>") == "Whole text.", open_
+    # What holds the article isn't beside it; articles in containers beside it stay out.
+    assert read(f"<div class='page sidebar-right'><div class=related><article>Other text, and longer than the article</article></div><main>{body}</main></div><div>Us</div>") == "Whole text."
+    assert read("<div class='page sidebar-right'><div><p>Whole text.</p></div><div class=sidebar><p>Popular</p></div></div>") == "Whole text."
+    assert read("<div class=related><article>Other</article></div><div><p>Text of a page without an article.</p></div>") == "Text of a page without an article."
+    assert read("<article><p>Mine.</p><article class='comment'>Nice!</article></article>") == "Mine."
+    assert read("<div class=menu><a href=a>Menu</a></div>") == ""
