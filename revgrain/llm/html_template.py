@@ -9,8 +9,10 @@ for that page. Valid classes nest into the template, what lies between their tok
 
 The main text is what the slots of the article hold: slots inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are left out, by the tags and names of the template around them (names of the page, of
-its main and article elements and of what holds the article tell nothing of that kind), as is text that the template itself carries outside the article, or inside it on each of ``SURE`` or more different pages. A page
-without an article element gets the container with the most unlinked slot text.
+its main and article elements and of what holds the article tell nothing of that kind), as is text that the template itself carries
+outside the article. Inside it, text of the template is left out if it stands in every article of the host, these differ, and it is at
+most a third of the page's article, so near copies of one article keep all of theirs. A page without an article element gets the
+container with the most unlinked slot text, and if its slots are empty, with the most unlinked text.
 
 Defined cases: null html counts as empty and gives empty text; pages without a host share the empty host; identical pages
 count once for the template and are extracted each; unclosed tags end with their container; an unclosed comment or
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 from revgrain.llm.common import BROADCAST_ROWS, written
 
-#: Different pages from which on text of the template inside an article is left out.
-SURE = 8
 TAG = re.compile(
     r"""<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[a-zA-Z/][^>]*+>|<[!?][^>]*+>""", re.S
 )
@@ -219,39 +219,54 @@ def host_of(url: str | None) -> str:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """One row a page: (host, body, tokens) with how often each token occurs; ``body`` is a digest of all of them."""
+    """One row a page: (host, body, article, tokens) with how often each token occurs and whether it is text of an article.
+
+    ``body`` is a digest of all tokens, ``article`` one of the article's text, null without any.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, bodies, tokens = [], [], []
+            hosts, bodies, articles, tokens = [], [], [], []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 met: dict[int, int] = {}
-                order = xxhash.xxh3_64()
-                for p in parse(html or ""):
+                said: set[int] = set()
+                order, own = xxhash.xxh3_64(), xxhash.xxh3_64()
+                for p in read_page(html):
                     if p.kind != "t" or p.text.strip():
                         met[p.token] = met.get(p.token, 0) + 1
                         order.update(p.token.to_bytes(8, "little"))
+                        if p.kind == "t" and p.article and not p.silent:
+                            said.add(p.token)
+                            own.update(p.token.to_bytes(8, "little"))
                 hosts.append(host_of(url))
                 bodies.append(order.intdigest() >> 1)
-                tokens.append([{"token": t, "n": n} for t, n in met.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(tokens, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())])))], names=["host", "body", "tokens"])
+                articles.append(own.intdigest() >> 1 if said else None)
+                tokens.append([{"token": t, "n": n, "inside": t in said} for t, n in met.items()])
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("inside", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(articles, pa.int64()), pa.array(tokens, kind)], names=["host", "body", "article", "tokens"])
 
-    return pages.select("url", "html").mapInArrow(count, "host string, body long, tokens array<struct<token:long,n:int>>")
+    return pages.select("url", "html").mapInArrow(count, "host string, body long, article long, tokens array<struct<token:long,n:int,inside:boolean>>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row a host: (host, n_pages, classes), each class its tokens and the number of pages they are on.
+    """One row a host: (host, n_pages, classes), each class its tokens, the number of pages they are on, and which are in every article.
 
+    Pages with the same article have the same tokens in it, so a token is in every different article if it is in that of every page.
     A token on half of the pages or more is one of at most twice as many as a page has, so a row stays as small as a page.
     """
     different = occurrences(pages).dropDuplicates(["host", "body"])
     different = written(different, "page-tokens")
-    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    sizes = different.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count("article").alias("with_article"), (F.min("article") < F.max("article")).alias("differ")
+    )
     flat = different.select("host", "body", F.explode("tokens").alias("t"))
-    vectors = flat.groupBy("host", F.col("t.token").alias("token")).agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("body", "t.n")).alias("vector"))
+    vectors = flat.groupBy("host", F.col("t.token").alias("token")).agg(
+        F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("body", "t.n")).alias("vector"), F.count_if("t.inside").alias("inside")
+    )
     often = vectors.join(sizes, "host").filter((F.col("on") * 2 >= F.col("n_pages")) & (F.col("on") > 1))
-    classes = often.groupBy("host", "n_pages", "vector", "on").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    return classes.groupBy("host", "n_pages").agg(F.sort_array(F.collect_list(F.struct("on", "tokens"))).alias("classes"))
+    shared = F.when(F.col("differ") & (F.col("inside") == F.col("with_article")), F.col("token"))
+    classes = often.groupBy("host", "n_pages", "vector", "on").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.sort_array(F.collect_list(shared)).alias("shared"))
+    return classes.groupBy("host", "n_pages").agg(F.sort_array(F.collect_list(F.struct("on", "tokens", "shared"))).alias("classes"))
 
 
 def valid_classes(parts: list[Part], classes: list[dict]) -> dict[int, int]:
@@ -280,20 +295,27 @@ def valid_classes(parts: list[Part], classes: list[dict]) -> dict[int, int]:
     return {t: k for k in kept for t in classes[k]["tokens"]}
 
 
-def blocks(parts: list[Part], template: dict[int, int], classes: list[dict], n_pages: int) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """Blocks of slot text that may belong to the article: (path, in an article, text, letters in links).
+class Block(NamedTuple):
+    """A block of text that may belong to the article."""
 
-    Inside an article a block is left out only if all of it is the template's.
-    """
+    path: tuple[str, ...]
+    article: bool
+    text: str
+    linked: int  # letters in links
+    own: bool  # not all of it stands in every article of the host
+
+
+def blocks(parts: list[Part], template: dict[int, int], classes: list[dict]) -> list[Block]:
+    """Blocks of slot text, and inside an article those of the template as well."""
+    shared = {t for c in classes for t in c["shared"] if t in template}
     out, held, linked, at, own = [], [], 0, None, False
     for p in [*parts, Part("b", 0, "", (), Scope(None), False)]:
         if p.kind == "b":
-            if own and (text := " ".join("".join(held).split())):
-                out.append((at.path, at.article, text, linked))
+            if (own or (at and at.article)) and (text := " ".join("".join(held).split())):
+                out.append(Block(at.path, at.article, text, linked, own))
             held, linked, at, own = [], 0, None, False
         elif p.kind == "t" and not p.silent:
-            k = template.get(p.token)
-            if k is None or (p.article and (n_pages < SURE or classes[k]["on"] < n_pages)):
+            if p.token not in shared if p.article else p.token not in template:
                 own = own or bool(p.text.strip())
             elif not p.article and p.text.strip():
                 continue
@@ -303,19 +325,21 @@ def blocks(parts: list[Part], template: dict[int, int], classes: list[dict], n_p
     return out
 
 
-def main_text(html: str | None, classes: list[dict] | None = None, n_pages: int = 1) -> str:
+def main_text(html: str | None, classes: list[dict] | None = None) -> str:
     """The article of a page; ``classes`` is the template of its host."""
     parts = read_page(html)
-    found = blocks(parts, valid_classes(parts, classes or []), classes or [], n_pages)
+    found = blocks(parts, valid_classes(parts, classes or []), classes or [])
     if any(p.article and not p.silent for p in parts):
-        found = [b for b in found if b[1]]
-    elif found:
+        found = [b for b in found if b.article]
+        if 3 * sum(len(b.text) for b in found if not b.own) <= sum(len(b.text) for b in found):
+            found = [b for b in found if b.own]
+    elif found := found or blocks(parts, {}, []):
         weight: dict[tuple[str, ...], int] = {}
-        for path, _, text, linked in found:
-            weight[path] = weight.get(path, 0) + max(0, len(text) - 2 * linked)
+        for b in found:
+            weight[b.path] = weight.get(b.path, 0) + max(0, len(b.text) - 2 * b.linked)
         best = max(weight, key=lambda x: weight[x])
-        found = [b for b in found if b[0][:len(best)] == best and 2 * b[3] <= len(b[2])]
-    return "\n".join(b[2] for b in found)
+        found = [b for b in found if b.path[:len(best)] == best and 2 * b.linked <= len(b.text)]
+    return "\n".join(b.text for b in found)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -327,10 +351,10 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, c, n or 1) for h, c, n in zip(*(batch.column(x).to_pylist() for x in ("html", "classes", "n_pages")))]
+            texts = [main_text(h, c) for h, c in zip(*(batch.column(x).to_pylist() for x in ("html", "classes")))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     host = F.udf(host_of, "string", useArrow=True)
     kind = rows.schema["id"].dataType.simpleString()
     hosted = rows.withColumn("host", host("url")).join(shapes, "host", "left")
-    return hosted.select("id", "url", "html", "classes", "n_pages").mapInArrow(read, f"id {kind}, url string, text string")
+    return hosted.select("id", "url", "html", "classes").mapInArrow(read, f"id {kind}, url string, text string")

@@ -180,3 +180,21 @@ def test_names_of_page_and_article(spark):
     assert read("<div class=related><article>Other</article></div><div><p>Text of a page without an article.</p></div>") == "Text of a page without an article."
     assert read("<article><p>Mine.</p><article class='comment'>Nice!</article></article>") == "Mine."
     assert read("<div class=menu><a href=a>Menu</a></div>") == ""
+
+
+def test_template_text_in_articles(spark):
+    def texts(*pages):
+        rows = [(i, "http://h.example/", f"<body><nav><a href=x>Home</a></nav>{html}</body>") for i, html in enumerate(pages)]
+        return [r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("id").collect()]
+
+    # Near copies of one article keep all of it, however many pages they are; so do articles that share most of their text.
+    copies = [f"<div class=ad>Ad {k}</div><article><p>One article.</p><p>Its second part.</p></article>" for k in range(12)]
+    assert texts(*copies) == ["One article.\nIts second part."] * 12 and texts(*copies[:2]) == ["One article.\nIts second part."] * 2
+    close = [f"<article><p>A long passage that all of the pages have.</p><p>Part {k}.</p></article>" for k in range(12)]
+    assert texts(*close) == [f"A long passage that all of the pages have.\nPart {k}." for k in range(12)]
+    bare = [f"<div class=ad>Ad {k}</div><div><p>One text.</p><p>No article element.</p></div>" for k in range(9)]
+    assert texts(*bare) == ["One text.\nNo article element."] * 9
+    # What little all different articles share is the template's, with few pages as with many.
+    for n in (2, 7, 8):
+        pages = [f"<article><p>This is the only text of page {k}.</p><p>Share this</p></article>" for k in range(n)]
+        assert texts(*pages, pages[0] + "<p>Ad</p>") == [f"This is the only text of page {k}." for k in [*range(n), 0]]
