@@ -213,14 +213,24 @@ def session_join(requests: DataFrame, sessions: DataFrame, users: DataFrame, now
 
 def review_context(
     files: DataFrame, findings: DataFrame, symbols: DataFrame, patches: DataFrame,
-    max_files: int = 10, max_findings: int = 10, max_symbols: int = 20, chars: int = 3000,
+    max_files: int | None = None, max_findings: int | None = None, max_symbols: int | None = None,
+    chars: int | None = None, message_chars: int | None = None,
 ) -> DataFrame:
-    """What a reviewer sees of a run's first files: first findings and symbols, and the start of the patch."""
+    """What a reviewer sees of a run's files: findings, symbols and patch, all and whole unless the caller sets limits."""
     keys = ["run_id", "path"]
-    chosen = top_per_key(files, ["run_id"], [F.asc("seq"), F.asc("path")], max_files)
-    few = top_per_key(findings.join(chosen.select(*keys), keys, "left_semi"), keys, [F.asc("seq")], max_findings, "rank")
-    finding_line = F.concat(F.lit("- ["), "rule_id", F.lit("] L"), F.col("start_line").cast("string"), F.lit(": "), F.substring("message", 1, 100))
-    names = top_per_key(symbols.join(chosen.select(*keys), keys, "left_semi"), keys, [F.asc("start_line"), F.asc("name")], max_symbols, "rank")
+
+    def cut(name: str, limit: int | None) -> Column:
+        return F.col(name) if limit is None else F.substring(name, 1, limit)
+
+    def ranked(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+        if limit is None:
+            return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return top_per_key(df, keys, order, limit, "rank")
+
+    chosen = files if max_files is None else top_per_key(files, ["run_id"], [F.asc("seq"), F.asc("path")], max_files)
+    few = ranked(findings.join(chosen.select(*keys), keys, "left_semi"), [F.asc("seq")], max_findings)
+    finding_line = F.concat(F.lit("- ["), "rule_id", F.lit("] L"), F.col("start_line").cast("string"), F.lit(": "), cut("message", message_chars))
+    names = ranked(symbols.join(chosen.select(*keys), keys, "left_semi"), [F.asc("start_line"), F.asc("name")], max_symbols)
     symbol_line = F.concat(F.lit("- `"), "kind", F.lit("` `"), "name", F.lit("` @ L"), F.col("start_line").cast("string"))
 
     def listed(df: DataFrame, line: Column, name: str) -> DataFrame:
@@ -229,7 +239,7 @@ def review_context(
 
     out = chosen.select(*keys).join(listed(few, finding_line, "findings"), keys, "left")
     out = out.join(listed(names, symbol_line, "symbols"), keys, "left")
-    return out.join(patches.select(*keys, F.substring("patch", 1, chars).alias("patch")), keys, "left")
+    return out.join(patches.select(*keys, cut("patch", chars).alias("patch")), keys, "left")
 
 
 def stage_metrics(analyzers: DataFrame, trace: DataFrame, results: DataFrame) -> DataFrame:
@@ -263,11 +273,15 @@ def stage_metrics(analyzers: DataFrame, trace: DataFrame, results: DataFrame) ->
     )
 
 
-def judge_inputs(samples: DataFrame, outputs: DataFrame) -> DataFrame:
-    """One prompt payload per sample with an output; an output without a diff gives an error row."""
+def judge_inputs(samples: DataFrame, outputs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """One prompt payload per sample with an output; an output without a diff gives an error row.
+
+    The diff is whole unless the caller sets ``max_chars``, which marks the cut.
+    """
     joined = samples.join(outputs, "sample_id")
-    cut = F.length("diff") > fixed.PATCH_CHARS
-    shown = F.when(cut, F.concat(F.substring("diff", 1, fixed.PATCH_CHARS), F.lit("\n... (diff truncated)"))).otherwise(F.col("diff"))
+    shown = F.col("diff")
+    if max_chars is not None:
+        shown = F.when(F.length("diff") > max_chars, F.concat(F.substring("diff", 1, max_chars), F.lit("\n... (diff truncated)"))).otherwise(shown)
     bare = F.coalesce("diff", F.lit("")) == ""
     return joined.select(
         "sample_id",

@@ -56,21 +56,21 @@ def status_join_numstat(status: DataFrame, numstat: DataFrame) -> DataFrame:
     )
 
 
-def split_file_patches(diffs: DataFrame, max_chars: int | None = fixed.PATCH_CHARS) -> DataFrame:
-    """One row per file section of a unified diff, in order. ``max_chars`` is the review limit; None keeps all."""
+def split_file_patches(diffs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """One row per file section of a unified diff, in order, whole unless the caller sets ``max_chars``."""
     parts = F.filter(F.split("diff", r"(?m)^(?=diff --git )"), lambda p: p.startswith("diff --git "))
     rows = diffs.select(*KEYS, F.posexplode(parts).alias("pos", "patch"))
     patch = F.regexp_replace("patch", r"\n$", "")
     return rows.select(
         *KEYS, "pos", F.regexp_extract("patch", r"^diff --git a/.* b/([^\n]*)", 1).alias("path"),
-        (F.substring(patch, 1, max_chars) if max_chars else patch).alias("patch"),
+        (F.substring(patch, 1, max_chars) if max_chars is not None else patch).alias("patch"),
     )
 
 
 def parse_hunks(diffs: DataFrame) -> DataFrame:
     """Line ranges of every hunk, under its file; a missing count means one line."""
     head = r"^@@ -(\d+),?(\d*) \+(\d+),?(\d*) @@"
-    patches = split_file_patches(diffs, max_chars=None)
+    patches = split_file_patches(diffs)
     found = F.regexp_extract_all("patch", F.lit("(?m)" + head), F.lit(0))
     rows = patches.select(*KEYS, "path", F.posexplode(found).alias("hunk", "header"))
 

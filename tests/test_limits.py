@@ -48,3 +48,26 @@ def test_upserts_of_two_batches_leave_one_state(spark, tmp_path):
     got = {(r.user_id, r.conv_id): (r.outcome, r.title, r.version) for r in evaluation.upsert_stream(stream, current, str(tmp_path / "job")).collect()}
     assert len(got) == 2
     assert got in ({(1, 1): ("updated", "c", 3), (2, 1): ("conflict", "n", 1)}, {(1, 1): ("updated", "b", 2), (2, 1): ("inserted", "n", 0 + 1)})
+
+
+def test_diffs_and_review_contexts_are_whole(spark):
+    from revgrain.operators import joins
+    from revgrain.sources import diffs
+
+    long = "diff --git a/x.py b/x.py\n" + "+" + "y" * 9_000
+    one = spark.createDataFrame([("r", "a", "b", long + "\n")], "repo_id string, base string, head string, diff string")
+    assert diffs.split_file_patches(one).first().patch == long and len(diffs.split_file_patches(one, 6_000).first().patch) == 6_000
+    sample = spark.createDataFrame([(1, "q", "s")], "sample_id long, question string, expected_answer_summary string")
+    output = spark.createDataFrame([(1, long, "a")], "sample_id long, diff string, answer string")
+    assert joins.judge_inputs(sample, output).first().diff == long
+    assert joins.judge_inputs(sample, output, 10).first().diff == "diff --git\n... (diff truncated)"
+    files = spark.createDataFrame([("r", f"f{k}", k) for k in range(12)], "run_id string, path string, seq int")
+    findings = spark.createDataFrame([("r", "f11", f"R{k}", k, "m" * 150, k) for k in range(25)], "run_id string, path string, rule_id string, start_line int, message string, seq int")
+    symbols = spark.createDataFrame([("r", "f11", "function", f"g{k}", k) for k in range(25)], "run_id string, path string, kind string, name string, start_line int")
+    patches = spark.createDataFrame([("r", "f11", long)], "run_id string, path string, patch string")
+    got = {r.path: r for r in joins.review_context(files, findings, symbols, patches).collect()}
+    assert len(got) == 12 and got["f11"].patch == long
+    assert got["f11"].findings.split("\n") == [f"- [R{k}] L{k}: " + "m" * 150 for k in range(25)] and len(got["f11"].symbols.split("\n")) == 25
+    cut = joins.review_context(files, findings, symbols, patches, 1).collect()
+    assert [r.path for r in cut] == ["f0"]
+    assert [len(r.findings.split("\n")) for r in joins.review_context(files, findings, symbols, patches, max_findings=3).collect() if r.findings] == [3]
