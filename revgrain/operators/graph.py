@@ -11,7 +11,6 @@ from revgrain.operators.ranking import dedupe_first, top_per_key
 from revgrain.session import cut_lineage
 
 ROOTS = ["src", "lib", "python"]
-MAX_HOPS = 5
 
 
 def name_index(lines: DataFrame) -> DataFrame:
@@ -70,29 +69,26 @@ def import_edges(imports: DataFrame, modules: DataFrame, files: DataFrame) -> Da
     return dedupe_first(absolute.unionByName(relative), ["path", "alias"], [F.asc("seq"), F.asc("target")]).drop("seq")
 
 
-def chase_reexports(starts: DataFrame, edges: DataFrame, defs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Follow each (request, path, name) through imports to its definition.
+def chase_reexports(starts: DataFrame, edges: DataFrame, defs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Follow each (request, path, name) through imports to its definition, however far unless the caller sets ``max_hops``.
 
-    A definition in the current file wins over an import; a file already visited ends the chase. Each hop is one join
-    against the edge table, whatever the number of requests.
+    A definition in the current file wins over an import; a file already visited ends the chase. Each hop is one join of the
+    requests that still move against the edge table, whatever their number; it ends when none moves.
     """
-    top = dedupe_first(defs, ["path", "name"], [F.asc("seq")]).select("path", "name", "kind", "line", "end_line")
-    state = starts.select(
-        "request", "path", "name", F.array("path").alias("visited"), F.lit(0).alias("hops"), F.lit(False).alias("done")
-    )
-    here = top.select("path", "name", F.lit(True).alias("_here"))
-    step = edges.select("path", F.col("alias").alias("name"), "original", "target")
-    for _ in range(max_hops):
-        state = state.join(here, ["path", "name"], "left").join(step, ["path", "name"], "left")
-        moves = ~F.col("done") & F.col("_here").isNull() & F.col("target").isNotNull() & ~F.array_contains("visited", F.col("target"))
-        moves = F.coalesce(moves, F.lit(False))
-        state = state.select(
-            "request", F.when(moves, F.col("target")).otherwise(F.col("path")).alias("path"),
-            F.when(moves, F.col("original")).otherwise(F.col("name")).alias("name"),
-            F.when(moves, F.array_append("visited", F.col("target"))).otherwise(F.col("visited")).alias("visited"),
-            (F.col("hops") + moves.cast("int")).alias("hops"), (~moves).alias("done"),
-        )
-    return state.join(top, ["path", "name"]).select("request", "path", "name", "kind", "line", "end_line", "hops", "visited")
+    top = cut_lineage(dedupe_first(defs, ["path", "name"], [F.asc("seq")]).select("path", "name", "kind", "line", "end_line"))
+    step = edges.where("target is not null").select("path", F.col("alias").alias("name"), "original", "target")
+    step = cut_lineage(step.join(top.select("path", "name"), ["path", "name"], "left_anti"))
+    front = cut_lineage(starts.select("request", "path", "name", F.array("path").alias("visited"), F.lit(0).alias("hops")))
+    met = front
+    while not front.isEmpty() and (max_hops is None or max_hops > 0):
+        moved = front.join(step, ["path", "name"]).where(~F.array_contains("visited", F.col("target")))
+        front = cut_lineage(moved.select(
+            "request", F.col("target").alias("path"), F.col("original").alias("name"),
+            F.array_append("visited", F.col("target")).alias("visited"), (F.col("hops") + 1).alias("hops"),
+        ))
+        met = met.unionByName(front)
+        max_hops = None if max_hops is None else max_hops - 1
+    return met.join(top, ["path", "name"]).select("request", "path", "name", "kind", "line", "end_line", "hops", "visited")
 
 
 def resolve_symbols(

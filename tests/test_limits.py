@@ -71,3 +71,19 @@ def test_diffs_and_review_contexts_are_whole(spark):
     cut = joins.review_context(files, findings, symbols, patches, 1).collect()
     assert [r.path for r in cut] == ["f0"]
     assert [len(r.findings.split("\n")) for r in joins.review_context(files, findings, symbols, patches, max_findings=3).collect() if r.findings] == [3]
+
+
+def test_long_reexport_chains_end_at_their_definition(spark):
+    from revgrain.operators import graph
+
+    edges = [(f"m{k}.py", f"N{k}", f"N{k + 1}", f"m{k + 1}.py") for k in range(12)] + [("a.py", "L", "L", "b.py"), ("b.py", "L", "L", "a.py")]
+    edges = spark.createDataFrame(edges, "path string, alias string, original string, target string")
+    defs = spark.createDataFrame([("m12.py", "N12", "class", 3, 9, 0, ""), ("b.py", "N12", "function", 1, 2, 1, "")], "path string, name string, kind string, line int, end_line int, seq int, owner string")
+    starts = spark.createDataFrame([("r", "m0.py", "N0"), ("d", "m12.py", "N12"), ("loop", "a.py", "L"), ("none", "m0.py", "X")], "request string, path string, name string")
+    got = {r.request: (r.path, r.name, r.line, r.hops) for r in graph.chase_reexports(starts, edges, defs).collect()}
+    assert got == {"r": ("m12.py", "N12", 3, 12), "d": ("m12.py", "N12", 3, 0)}
+    assert [r.request for r in graph.chase_reexports(starts, edges, defs, 5).collect()] == ["d"]
+    assert graph.chase_reexports(starts.limit(0), edges, defs).count() == 0
+    modules = spark.createDataFrame([(f"m{k}", f"m{k}.py") for k in range(13)], "module string, path string")
+    wanted = spark.createDataFrame([("m0.N0",)], "symbol string")
+    assert [(r.path, r.line, r.stage) for r in graph.resolve_symbols(wanted, modules, edges, defs).collect()] == [("m12.py", 3, 0)]
