@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, with production parameters, and their SQL where SQL can express them.
+"""Queries of the thirteen operators over the given tables, with production parameters, and their SQL where SQL can express them.
 
 Each query is thin: its operator makes the rows, the query derives the digest columns from them.
 """
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgrain.llm import ann, chat, exact_dedup, html_template, minhash, packing, secrets, token_store, toxicity, unigram
+from revgrain.llm import align, ann, chat, exact_dedup, html_template, line_runs, merkle, minhash, packing, secrets, token_store, toxicity, unigram
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -177,3 +177,92 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token groups of two vocabularies, and how its links rank in the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    rows = align.alignment(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+    return rows.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+LINES_SQL = r"""
+with l as (select rowid as row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i
+  from (select row_number() over () as rowid, doc_id, text from documents)),
+k as (select *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as last from k where length(key) >= 40 group by key having count(distinct row) >= 5),
+m as (select k.*, last is not null and doc_id <> last as goes from k left join f using (key))
+select doc_id, count(*) as n_lines, count(*) filter (goes) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not goes), '')) as kept_sha256 from m group by row, doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a later document repeats, where five or more hold them."""
+    rows = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Levels that the SQL below unrolls: enough for 8 to the power of this many rows of a language.
+SQL_LEVELS = 7
+
+
+def _merkle_sql() -> str:
+    """Levels one after the other: a node, the digits of its left and right siblings, and their parent."""
+    said = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(said, ["doc_id", "source", "lang", "n_chars"])) + f" || {said(text)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    shift = "list_reduce(list_concat([xor(c, x)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"  # eight bits of a CRC-32
+    digits = "list_transform(string_split(doc_id::varchar, ''), lambda s: ascii(s)::bigint)"
+    crc = f"xor(list_reduce(list_concat([4294967295], {digits}), lambda c, x: {shift}), 4294967295)"
+
+    def tree(name: str, source: str) -> str:
+        parts = [f"{name}0 as ({source})"]
+        for k in range(SQL_LEVELS):
+            run = "partition by key, idx // 8 order by idx rows between"
+            parts.append(f"""{name}{k}s as (select *, case when n > 1 then coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') else '' end as l,
+              case when n > 1 then coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') else '' end as r from {name}{k})""")
+            parts.append(f"""{name}{k + 1} as (select key, idx // 8 as idx, (any_value(n) + 7) // 8 as n,
+              case when any_value(n) > 1 then sha256(string_agg(h, '' order by idx)) else any_value(h) end as h from {name}{k} group by key, idx // 8)""")
+        return ", ".join(parts)
+
+    def climb(name: str, source: str, carried: str) -> str:
+        """From rows (key, idx, bad, proof): the same after all levels of a tree."""
+        parts, last = [], source
+        for k in range(SQL_LEVELS):
+            parts.append(f"""{name}c{k} as (select {carried}, c.key, c.idx // 8 as idx, proof || l || r as proof, case when n > 1 then sha256(l || bad || r) else bad end as bad
+              from {last} c join {name}{k}s s on c.key = s.key and c.idx = s.idx)""")
+            last = f"{name}c{k}"
+        return ", ".join(parts)
+
+    return f"""
+with d as (select row_number() over () as row, doc_id, '=' || lang as lang, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as bad from documents),
+o as (select row, doc_id, coalesce(lang, '') as key, leaf, bad, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as n from d),
+{tree('a', 'select key, idx, n, leaf as h from o')},
+t as (select key as lang, h from a{SQL_LEVELS}), u as (select lang, '+' as key, h, row_number() over (order by lang) - 1 as idx, count(*) over () as n from t),
+{tree('b', 'select key, idx, n, h from u')},
+s as (select row, doc_id, key, idx, leaf, bad, '' as proof from o),
+{climb('a', 's', 'row, doc_id, leaf')},
+x as (select row, doc_id, leaf, proof, bad, u.h as subroot, u.key, u.idx from ac{SQL_LEVELS - 1} c join u on u.lang = c.key),
+{climb('b', 'x', 'row, doc_id, leaf, subroot')}
+select doc_id, leaf, subroot, (select h from b{SQL_LEVELS}) as root, sha256(proof) as proof_sha256, bad as folded_root, bad = (select h from b{SQL_LEVELS}) as verified from bc{SQL_LEVELS - 1}
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, checked against the root with some of the texts changed."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", line_runs.UPPER, line_runs.LOWER)
+    changed = merkle.leaf([lower if f == "text" else F.col(f) for f in merkle.FIELDS])
+    made = merkle.manifest(docs, other=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed))
+    leaf = merkle.digest(F.col("leaf"))
+    rows = merkle.with_subroots(made).withColumn("folded_root", merkle.fold(merkle.digest(F.coalesce("other", "leaf")), F.col("segment")))
+    return rows.select(
+        F.col("id").alias("doc_id"), leaf.alias("leaf"), "subroot", F.lit(made.root).alias("root"), F.sha2(merkle.siblings(F.col("segment")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.lit(made.root)).alias("verified"),
+    )

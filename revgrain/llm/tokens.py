@@ -38,14 +38,18 @@ BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers. ``words``: the vocabulary marks word ends and drops white space."""
+    """Ids of texts as little-endian unsigned 32-bit integers. ``words``: the vocabulary marks word ends and drops white space.
 
-    def __init__(self, path: str, words: bool):
+    ``plain``: control strings of the vocabulary inside a text are ordinary text.
+    """
+
+    def __init__(self, path: str, words: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.words = Tokenizer.from_file(path), words
-        self.control = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        self.control = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: Ids by key (see ``_keys``), the words met lately and those before; None if a text with this key needs a closer look.
         self.kept: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
