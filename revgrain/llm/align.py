@@ -91,16 +91,21 @@ def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     if len(short) > len(long):
         second, first = gallop(long, short)
         return first, second
-    ranks, found, low, n = [], [], 0, len(long)
+    ranks: list[int] = []
+    found: list[int] = []
+    low, n = 0, len(long)
     for rank, end in enumerate(short):
-        high, step = low, 1
-        while high < n and long[high] < end:
-            low = high + 1
-            high += step
-            step += step
-        low = bisect_left(long, end, low, min(high, n))
         if low == n:
             break
+        if long[low] < end:
+            step = 1
+            while low + step < n and long[low + step] < end:
+                low += step
+                step += step
+            # The place is behind ``low`` and not behind ``low + step``.
+            low = low + 1 if step == 1 else bisect_left(long, end, low + 1, min(low + step, n))
+            if low == n:
+                break
         if long[low] == end:
             ranks.append(rank)
             found.append(low)
