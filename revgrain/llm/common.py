@@ -37,17 +37,26 @@ def text_of(column: str) -> Column:
 
 
 def per_worker(name: str, make):
-    """An object that a Python worker makes once and keeps for its later tasks."""
+    """An object that a Python worker makes once and keeps for its later tasks, until another operator's object takes its place."""
     store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
     if not hasattr(store, name):
+        release_worker()
         setattr(store, name, make())
     return getattr(store, name)
 
 
 def release_worker() -> None:
     """Let go of what this worker keeps for other operators, so that stages in a row don't add up their memory."""
-    if "_kept_by_worker" in sys.modules:
-        vars(sys.modules["_kept_by_worker"]).clear()
+    store = sys.modules.get("_kept_by_worker")
+    kept = [n for n in vars(store) if not n.startswith("__")] if store else []
+    for name in kept:
+        delattr(store, name)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow holds in reserve to the system."""
+    pa.default_memory_pool().release_unused()
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:

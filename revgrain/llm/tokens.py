@@ -18,12 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from revgrain.llm.common import per_worker, steps
+from revgrain.llm.common import give_back, per_worker, steps
 
-#: Words and pieces of a generation (a worker keeps two), the longest word that is kept, and pieces handed over in one text.
-KEPT, PIECES, LONGEST, TOGETHER = 300_000, 60_000, 48, 256
+#: Words of a generation (a worker keeps two) and pieces that are kept, the longest of them, and pieces handed over in one text.
+#: An entry takes about 200 bytes, 570 at most, so the words of a worker take about 100 MB, 290 MB at most.
+KEPT, PIECES, LONGEST, TOGETHER = 250_000, 40_000, 48, 1_024
 #: Bytes of text cut and looked up at once.
-STEP = 8_000_000
+STEP = 4_000_000
+#: Signs that may end a word; a run of them behind letters is a piece of its own in both vocabularies.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Python's white space and what the library might count as such.
 SPACE = re.compile("[\\s\x85\u180e\u200b\ufeff]")
 #: White space on which Python and the library might disagree.
@@ -54,6 +57,7 @@ class Encoder:
         self.kept: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long = False  # whether a piece of any length is among them
         if words:
             self.last = np.zeros(self.library.get_vocab_size(), dtype=bool)
             self.last[[n for t, n in self.library.get_vocab().items() if t.endswith("</w>")]] = True
@@ -81,13 +85,19 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(begins, ends)]
 
+    def _list(self, pieces: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(pieces), TOGETHER) for ids in self._together(pieces[at:at + TOGETHER])]
+
     def _many(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(pieces), TOGETHER):
-            some = pieces[at:at + TOGETHER]
-            out.update(zip(some, self._together(some)))
-        return out
+        return dict(zip(pieces, self._list(pieces)))
+
+    def _pieces(self, pieces: set[str]) -> None:
+        """Have these pieces at hand; those met before are let go as they get many."""
+        if len(self.pieces) > PIECES or self.long:
+            self.pieces, self.long = ({}, False) if len(self.pieces) > PIECES else ({p: x for p, x in self.pieces.items() if len(p) <= LONGEST}, False)
+        self.pieces.update(self._many(list(pieces.difference(self.pieces))))
+        self.long = any(len(p) > LONGEST for p in pieces)
 
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of different chunks of any kind."""
@@ -95,9 +105,7 @@ class Encoder:
             parts = {c: WORD_PIECE.findall(c.lower()) for c in chunks if COMMON.fullmatch(c)}
         else:
             parts = {c: BYTE_PIECE.findall(c) for c in chunks if not c.isspace()}
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        self.pieces.update(self._many(list(set(chain.from_iterable(parts.values())).difference(self.pieces))))
+        self._pieces(set(chain.from_iterable(parts.values())))
         look = self.pieces.__getitem__
         out = {c: b"".join(map(look, p)) for c, p in parts.items()}
         others = [c for c in chunks if c not in out]
@@ -113,21 +121,45 @@ class Encoder:
 
     def _fresh(self, keys: list[str]) -> dict[str, bytes | None]:
         """Ids by key; None for a control string, and for what shows more than one blank or other white space in its text."""
-        letters, others, out = {}, {}, {}
+        plain, signed, others, odd = [], [], {}, []
         for key in keys:
+            if key.isalpha() and (not self.words or self._common(key)):
+                plain.append(key)
+                continue
             word = key[1:] if key[:1] == "\0" and not self.words else key
-            if word.isalpha() and (not self.words or word.isascii()):
-                letters[key] = word if self.words or word is not key else " " + word
+            bare = word.rstrip(SIGNS)
+            if bare.isalpha() and (not self.words or self._common(bare)):
+                if len(bare) < len(word):
+                    signed.append((key, key[:len(bare) - len(word)], word[len(bare):]))
+                else:
+                    plain.append(key)
             elif key == "\n":
                 others[key] = key
             elif not (word or self.words) or "\0" in word or SPACE.search(word) or any(c in word for c in self.control):
-                out[key] = None
+                odd.append(key)
             else:
                 others[key] = word if self.words or word is not key else " " + word
-        for named, ids in ((letters, self._many(list(letters.values()))), (others, self._chunks(list(set(others.values()))))):
-            out.update((k, ids[c]) for k, c in named.items())
+        out: dict[str, bytes | None] = dict(zip(plain, self._list([self._letters(k) for k in plain])))
+        # Letters with signs behind them: the word may be known by itself.
+        heads = [h for h in {h for _, h, _ in signed} if h not in out and h not in self.kept and h not in self.older]
+        alone = dict(zip(heads, self._list([self._letters(h) for h in heads])))
+        self._pieces({tail for _, _, tail in signed})
+        for key, head, tail in signed:
+            out[key] = (alone.get(head) or out.get(head) or self.kept.get(head) or self.older[head]) + self.pieces[tail]
+        out.update((h, ids) for h, ids in alone.items() if len(h) <= LONGEST)
+        ids = self._chunks(list(set(others.values())))
+        out.update((k, ids[c]) for k, c in others.items())
+        out.update((k, None) for k in odd)
         return out
 
+    @staticmethod
+    def _common(letters: str) -> bool:
+        return letters.isascii() or bool(COMMON.fullmatch(letters)) and letters.lower().isalpha()
+
+    def _letters(self, key: str) -> str:
+        """The piece of a key that is letters alone."""
+        return key.lower() if self.words else key[1:] if key[:1] == "\0" else " " + key
+
     def _met(self, keys: list[str]) -> list[bytes | None]:
         """Ids of different keys."""
         kept, older, fresh = self.kept, self.older, []
@@ -173,7 +205,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text."""
-        return [ids for some in steps(texts, STEP) for ids in self._encode(some)]
+        out = [ids for some in steps(texts, STEP) for ids in self._encode(some)]
+        give_back()
+        return out
 
 
 def encoder(path: str, words: bool) -> Encoder:

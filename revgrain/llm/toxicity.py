@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import release_worker, steps, written
+from revgrain.llm.common import give_back, release_worker, steps, written
 from revgrain.llm.minhash import shingle_sets
 
 LABELLED, UNITS, LEAST, STANDS_OUT, LEVEL = 20_000, 65_536, 5, 25.0, 0.02
@@ -100,6 +100,7 @@ def passages(texts: pa.Array, model: dict) -> Iterator[tuple[float, list[tuple[f
                     if -math.expm1(-math.exp(-normal)) <= LEVEL:
                         found.append((normal, int(at[i]) - first, int(at[j]) - first + 1))
             yield sum(f[0] for f in found), found
+    give_back()
 
 
 def _count(kept: dict | None = None, once: bool = False, specific: bool = False):
