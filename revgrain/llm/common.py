@@ -17,6 +17,8 @@ from revgrain.session import shared_folder
 
 #: Broadcasts by hand stay below this many rows of a few numbers each; larger tables are joined.
 BROADCAST_ROWS = 200_000
+#: Bytes of a batch of rows that goes to a Python worker, unless one row alone is larger.
+BATCH_BYTES = 1 << 22
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +61,17 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let Python workers get rows in batches of ``BATCH_BYTES``, unless the session sets a bound of its own.
+
+    The usual bound is a number of rows, so batches of long texts take tens of MB at both ends, in each task.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+    return spark
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so what is made of one stays small."""
     for batch in batches:
