@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revgrain.llm import exact_dedup, minhash, packing, secrets, toxicity
-from revgrain.llm.common import written
+from revgrain.llm.common import bounded_batches, written
 from revgrain.llm.queries import TOKENIZERS, TOXIC, toxicity_model
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic; texts that are null or empty stay."""
+    bounded_batches(spark)
     return docs.filter(toxicity.score_of(toxicity_model(spark, docs, sf_dir))("text") < TOXIC)
 
 
@@ -29,6 +30,7 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; rows without an id stay."""
+    bounded_batches(spark)
     gone = minhash.near_duplicates(docs).filter("not kept and id is not null").select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -41,6 +43,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    bounded_batches(spark)
     rows = packing.pack(packing.pieces(docs, f"{TOKENIZERS}/byte_bpe_50k.json", False, 2))
     return rows.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
