@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revgrain import fixed
 from revgrain.functions import paths, questions
 from revgrain.functions.patterns import lookup, strings
-from revgrain.operators.packing import join_matching
+from revgrain.operators.matching import contained
 from revgrain.operators.ranking import top_per_key
 
 EDGE_SLOTS = ["verified_caller_edge", "verified_callee_edge"]
@@ -45,10 +45,8 @@ def fill_slots(tasks: DataFrame, evidence: DataFrame, targets: DataFrame) -> Dat
     """
     rows = evidence.withColumn("slot", questions.source_slot("source")).where(F.col("slot").isNotNull())
     rows = rows.select("query_id", "task_id", "ev_id", "slot").join(tasks, ["query_id", "task_id"]).select("query_id", "ev_id", "slot", "target").distinct()
-    filled = join_matching(
-        rows, targets, ["query_id"], ["symbol"],
-        lambda v: F.contains(F.col("target"), v["symbol"]) | F.contains(v["symbol"], F.col("target")),
-    )
+    wanted, symbols = tasks.select("query_id", "target").distinct(), targets.select("query_id", "symbol").distinct()
+    filled = rows.join(contained(wanted, symbols, ["query_id"], "target", "symbol", both=True), ["query_id", "target"])
     return filled.select("query_id", "symbol", "slot", "ev_id").distinct().withColumn(
         "plain", ~F.col("slot").isin(EDGE_SLOTS)
     )

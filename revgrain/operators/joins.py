@@ -8,7 +8,7 @@ from revgrain import fixed
 from revgrain.functions import text
 from revgrain.functions.patterns import last_part
 from revgrain.functions.paths import norm_path
-from revgrain.operators.packing import join_matching
+from revgrain.operators.matching import contained
 from revgrain.operators.ranking import top_per_key
 
 
@@ -155,9 +155,8 @@ def claims_covered(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     words = claims.select("query_id", "claim_index", F.explode(text.claim_keywords("claim")).alias("word"))
     words = words.withColumn("word", F.lower("word"))
     snippets = evidence.select("query_id", F.lower(F.coalesce("snippet", F.lit(""))).alias("snippet")).distinct()
-    covered = join_matching(
-        snippets, words, ["query_id"], ["claim_index", "word"], lambda v: F.contains(F.col("snippet"), v["word"])
-    ).select("query_id", "claim_index").distinct()
+    found = contained(snippets, words, ["query_id"], "snippet", "word", once="value").select("query_id", "word").distinct()
+    covered = words.join(found, ["query_id", "word"]).select("query_id", "claim_index").distinct()
     return claims.join(covered.withColumn("_hit", F.lit(True)), ["query_id", "claim_index"], "left").select(
         *claims.columns, F.coalesce("_hit", F.lit(False)).alias("covered")
     )
@@ -166,10 +165,8 @@ def claims_covered(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 def evidence_reuse(tasks: DataFrame, prior: DataFrame, limit: int = 10) -> DataFrame:
     """First ``limit`` prior evidence rows of a query whose snippet holds the last name part of one of its targets."""
     names = tasks.select("query_id", F.lower(last_part("target")).alias("name"))
-    hits = join_matching(
-        prior.select("query_id", "ev_id", "seq", F.lower(F.coalesce("snippet", F.lit(""))).alias("low")),
-        names, ["query_id"], ["name"], lambda v: F.contains(F.col("low"), v["name"]),
-    )
+    rows = prior.select("query_id", "ev_id", "seq", F.lower(F.coalesce("snippet", F.lit(""))).alias("low"))
+    hits = contained(rows, names, ["query_id"], "low", "name", once="row")
     hits = hits.groupBy("query_id", "ev_id").agg(F.min("seq").alias("seq"))
     return top_per_key(hits, ["query_id"], [F.asc("seq"), F.asc("ev_id")], limit, "rank")
 
@@ -179,7 +176,7 @@ def reusable_evidence(keywords: DataFrame, prior: DataFrame) -> DataFrame:
     low = F.lower(F.concat_ws(" ", F.coalesce("snippet", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("file", F.lit(""))))
     rows = prior.withColumn("_low", low)
     words = keywords.select("query_id", F.lower("word").alias("word"))
-    hits = join_matching(rows, words, ["query_id"], ["word"], lambda v: F.contains(F.col("_low"), v["word"]))
+    hits = contained(rows.select("query_id", "ev_id", "source", "file", "start_line", "_low"), words, ["query_id"], "_low", "word", once="row")
     ref = F.concat(F.lit("["), "source", F.lit("] "), "file", F.lit(":"), F.col("start_line").cast("string"))
     return hits.select("query_id", "ev_id", ref.alias("ref")).distinct()
 
