@@ -209,6 +209,36 @@ def _(t):
     return knowledge.versioned_upsert(old, new)
 
 
+_SEVERAL = "select conv_id % 40 as user_id, conv_id % 3 as conv_id, conv_id * 1000 + turn as seq, concat('t', turn) as title, case when turn % 3 = 0 then turn % 4 else least(turn, 3) end as version, case when (conv_id + turn) % 7 = 6 then 'delete' else 'save' end as op from conversations"
+_STORED = "select distinct conv_id % 40 as user_id, conv_id % 3 as conv_id, 'stored' as title, 2 as version from conversations where conv_id % 5 < 2"
+_FOLDED = f"""with recursive u as (select *, row_number() over (partition by user_id, conv_id order by seq) as n from ({_SEVERAL})), c as ({_STORED}),
+  s as (select k.user_id, k.conv_id, cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as title, '' as outcome, cast(coalesce(c.version, 0) as bigint) as v
+      from (select distinct user_id, conv_id from u) k left join c using (user_id, conv_id)
+    union all select u.user_id, u.conv_id, u.n, u.seq, u.title, case when op = 'delete' then case when version = v and v > 0 then 'deleted' else 'conflict' end when version = v then case when v = 0 then 'inserted' else 'updated' end else 'conflict' end,
+      case when op = 'delete' then case when version = v then 0 else v end when version = v then v + 1 else v end from s join u on u.user_id = s.user_id and u.conv_id = s.conv_id and u.n = s.n + 1)"""
+
+
+def _several(conversations):
+    key = ["conv_id % 40 as user_id", "conv_id % 3 as conv_id"]
+    version = "case when turn % 3 = 0 then turn % 4 else least(turn, 3) end as version"
+    return conversations.selectExpr(*key, "conv_id * 1000 + turn as seq", "concat('t', turn) as title", version, "case when (conv_id + turn) % 7 = 6 then 'delete' else 'save' end as op")
+
+
+def _stored(t):
+    return t.conversations.where("conv_id % 5 < 2").selectExpr("conv_id % 40 as user_id", "conv_id % 3 as conv_id", "'stored' as title", "2 as version").distinct()
+
+
+@query("apply_updates", "S24", f"{_FOLDED} select user_id, conv_id, seq, outcome, case when outcome in ('inserted', 'updated') then title end as title, nullif(v, 0) as version from s where n > 0")
+def _(t):
+    return knowledge.apply_updates(_stored(t), _several(t.conversations))
+
+
+@query("state_after_updates", "S24", f"""{_FOLDED}, l as (select *, row_number() over (partition by user_id, conv_id order by n desc) as back from s where n = 0 or outcome <> 'conflict')
+  select l.user_id, l.conv_id, case when l.n = 0 then c.title else l.title end as title, v as version from l left join c using (user_id, conv_id) where back = 1 and v > 0""")
+def _(t):
+    return knowledge.state_after(_stored(t), knowledge.apply_updates(_stored(t), _several(t.conversations)))
+
+
 # --- generated evaluation data --------------------------------------------------------------------------
 
 
@@ -437,3 +467,9 @@ def _(t):
     return evaluation.upsert_stream(updates, old, _folder(t)).select("user_id", "conv_id", "outcome", "title", "version")
 
 
+
+
+@query("update_stream", "R06 S24", f"{_FOLDED} select user_id, conv_id, seq, outcome, case when outcome in ('inserted', 'updated') then title end as title, nullif(v, 0) as version from s where n > 0")
+def _(t):
+    updates = _several(table_stream(t.spark, t.sf_dir, "conversations"))
+    return evaluation.update_stream(updates, _stored(t), _folder(t))[0].select("user_id", "conv_id", "seq", "outcome", "title", "version")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from revgrain.operators import ranking
-from revgrain.sources.knowledge import versioned_upsert
+from revgrain.sources.knowledge import KEYS, apply_updates, state_after, versioned_upsert
+from revgrain.streaming.buckets import BUCKETS, Buckets
 from revgrain.streaming.runner import drain
 
 
@@ -18,30 +19,24 @@ def search_stream(lines: DataFrame, queries: dict[str, list[str]], k: int, folde
 
 
 def judge_stream(records: DataFrame, judge: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """Judge each record once across restarts: a batch skips what earlier batches have stored.
+    """Judge each record once across restarts: a batch skips what earlier batches have judged.
 
-    The check reads stored results by key, so the stream keeps no growing state of its own.
+    The ids judged so far lie in hash buckets beside the results; a batch reads those of its own ids.
     """
-    out = f"{folder}/out"
-    spark = records.sparkSession
+    out, kind = f"{folder}/out", records.schema["sample_id"].dataType.simpleString()
+    judged = Buckets(records.sparkSession, f"{folder}/judged", f"sample_id {kind}", ["sample_id"])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["sample_id"])
-        stored = _stored(spark, out, batch_id)
-        if stored is not None:
-            fresh = fresh.join(stored.select("sample_id"), "sample_id", "left_anti")
+        if batch_id:
+            known = judged.appended(judged.touched(fresh), batch_id - 1)
+            fresh = fresh.join(known.withColumnRenamed("sample_id", "known"), F.col("sample_id").eqNullSafe(F.col("known")), "left_anti")
         judge(fresh).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        judged.write(fresh.select("sample_id"), batch_id)
 
     return drain(records, folder, each=each)
 
 
-def _stored(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    """Results of earlier batches; the batch at hand is left out, so that repeating it gives the same rows."""
-    if before == 0:
-        return None
-    return spark.read.parquet(out).where(F.col("batch") < before)
-
-
 def upsert_stream(updates: DataFrame, current: DataFrame, folder: str) -> DataFrame:
     """``versioned_upsert`` per micro-batch. Each batch writes a new state folder; the last one is the table.
 
@@ -62,3 +57,24 @@ def upsert_stream(updates: DataFrame, current: DataFrame, folder: str) -> DataFr
     every = spark.read.parquet(out)
     last = every.agg(F.max("batch")).first()[0]
     return every.where(F.col("batch") == last).drop("batch")
+
+
+def update_stream(updates: DataFrame, current: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``apply_updates`` per micro-batch, any number of updates a key: the outcome of every update, and the state behind the last batch.
+
+    The state lies in hash buckets; a batch reads and rewrites those of its keys. Updates of a key must arrive in the order of ``seq`` from
+    batch to batch.
+    """
+    out, spark = f"{folder}/out", updates.sparkSession
+    state = Buckets(spark, f"{folder}/state", "user_id long, conv_id long, title string, version long", KEYS)
+    if not state.exists():
+        state.write(current.select(*KEYS, "title", F.col("version").cast("long").alias("version")), -1, list(range(BUCKETS)))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        ids = state.touched(batch)
+        old = state.latest(ids, batch_id)
+        apply_updates(old, batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        state.write(state_after(old, spark.read.parquet(f"{out}/batch={batch_id}")), batch_id, ids)
+
+    applied = drain(updates, folder, each=each).drop("batch")
+    return applied, state.latest(list(range(BUCKETS)), 2**31 - 1)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, functions as F
 
 from revgrain.operators import ordering
+from revgrain.streaming.buckets import Buckets
 from revgrain.streaming.runner import drain, latest_per_key
 
 MAX_ACTIVE = 50
@@ -74,32 +73,25 @@ LOG_SCHEMA = "job_id string, seq bigint, event string, data double"
 
 
 def job_event_log_stream(events: DataFrame, folder: str) -> DataFrame:
-    """The log of each job as its events arrive; what comes after ``end`` is dropped.
+    """``job_event_log`` as the events arrive: a job's log is given out whole in the batch that holds its first ``end``.
 
-    The state of a job is one flag. Events pass through in Arrow chunks and are never held back, so a busy job needs no
-    more memory than a quiet one. Events of a job must arrive in the order of ``seq`` from batch to batch.
+    Events of open jobs wait in hash buckets below ``folder``, appended batch by batch; a batch with an ``end`` reads the buckets of the jobs it
+    closes. Nothing of a job is gathered in a task's memory. Events of a job that come in later batches are dropped, as they stand behind its end; they
+    must arrive in the order of ``seq`` from batch to batch, within a batch in any order.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def passed(key: tuple, chunks: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        kept = []
-        for pdf in chunks:
-            if last is not None:
-                pdf = pdf[pdf["seq"] <= last]
-            ends = pdf.loc[pdf["event"] == "end", "seq"]
-            if len(ends):
-                last = int(ends.min()) if last is None else min(last, int(ends.min()))
-            kept.append(pdf)
-        if last is not None:
-            state.update((last,))
-        for pdf in kept:
-            out = pdf if last is None else pdf[pdf["seq"] <= last]
-            yield pd.DataFrame({"job_id": key[0], "seq": out["seq"], "event": out["event"], "data": out["data"]})
-
-    log = events.select("job_id", "seq", "event", "data").groupBy("job_id").applyInPandasWithState(
-        passed, LOG_SCHEMA, "end_seq bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return drain(log, folder)
+    spark, out = events.sparkSession, f"{folder}/out"
+    held = Buckets(spark, f"{folder}/held", LOG_SCHEMA, ["job_id"])
+    ended = Buckets(spark, f"{folder}/ended", "job_id string, end_seq bigint", ["job_id"])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select("job_id", "seq", "event", "data")
+        if batch_id:
+            batch = batch.join(ended.appended(held.touched(batch), batch_id - 1), "job_id", "left_anti")
+        held.write(batch, batch_id)
+        mine = spark.read.schema(f"{LOG_SCHEMA}, there boolean, bucket int").parquet(f"{held.path}/batch={batch_id}")
+        ended.write(mine.where("event = 'end'").groupBy("job_id").agg(F.min("seq").alias("end_seq")), batch_id)
+        closed = spark.read.schema("job_id string, end_seq bigint, there boolean, bucket int").parquet(f"{ended.path}/batch={batch_id}").select("job_id", "end_seq")
+        log = held.appended(ended.touched(closed), batch_id).join(closed, "job_id").where("seq <= end_seq").drop("end_seq")
+        log.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return drain(events, folder, each=each).select("job_id", "seq", "event", "data")
