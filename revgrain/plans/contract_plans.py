@@ -248,30 +248,30 @@ def _(t):
     return aggs.timeline_summary(_stages(t).withColumn("ord", F.col("part") * 1000000000 + F.col("ord")))
 
 
-def _judge_inputs(t, max_chars=None):
+def _judge_inputs(t):
     samples = t.samples.select("sample_id", F.col("question_type").alias("question")).join(
         t.orders.select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("expected_answer_summary")), "sample_id")
     outputs = t.documents.select(F.col("doc_id").alias("sample_id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("diff"))
     answers = t.orders.select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("answer"))
-    return joins.judge_inputs(samples, outputs.join(answers, "sample_id"), max_chars)
+    return joins.judge_inputs(samples, outputs.join(answers, "sample_id"))
 
 
-@query("judge_inputs", "J19", """select r.sample_id, case when d is null or d = '' then null else concat('{"question":"', q, '","expected_answer_summary":"', s, '","answer":"', a, '"}') end as payload,
-    case when d is null or d = '' then null when length(d) > 6000 then concat(left(d, 6000), chr(10), '... (diff truncated)') else d end as diff, case when d is null or d = '' then 'pipeline result has no unified diff' end as error
+_JUDGED = """select r.sample_id, case when d is null or d = '' then null else concat('{"question":"', q, '","expected_answer_summary":"', s, '","answer":"', a, '"}') end as payload,
+    nullif(d, '') as diff, case when d is null or d = '' then 'pipeline result has no unified diff' end as error
   from (select o_orderkey as sample_id, question_type as q, o_orderpriority as s, o_orderstatus as a from orders join v_samples on o_orderkey = sample_id) r
-  join (select doc_id as sample_id, case when doc_id % 9 = 0 then null else text end as d from documents) using (sample_id)""")
-def _(t):
-    return _judge_inputs(t, fixed.PATCH_CHARS)  # as in its SQL
+  join (select doc_id as sample_id, case when doc_id % 9 = 0 then null else text end as d from documents) using (sample_id)"""
 
 
-@query("judge_inputs_whole", "J19", """select r.sample_id, case when d is null or d = '' then null else concat('{"question":"', q, '","expected_answer_summary":"', s, '","answer":"', a, '"}') end as payload,
-    nullif(d, '') as diff, case when d is null or d = '' then 'pipeline result has no unified diff' end as error
-  from (select o_orderkey as sample_id, question_type as q, o_orderpriority as s, o_orderstatus as a from orders join v_samples on o_orderkey = sample_id) r
-  join (select doc_id as sample_id, case when doc_id % 9 = 0 then null else text end as d from documents) using (sample_id)""")
+@query("judge_inputs", "J19", _JUDGED)
 def _(t):
     return _judge_inputs(t)
 
 
+@query("judge_inputs_whole", "J19", _JUDGED)
+def _(t):
+    return _judge_inputs(t)  # the name it had beside a shortened form
+
+
 @query("format_issues", "J19", """select l_orderkey as sample_id, l_linenumber as issue_index, concat('--- Issue #', l_linenumber, ' ---', chr(10), '  严重度: high | 文件: m.py:', l_linenumber, ' | 来源: ruff, bandit', chr(10), '  标题: ', l_returnflag,
   case when l_linestatus = 'O' then concat(chr(10), '  原因: open') else '' end) as block from lineitem""")
 def _(t):
