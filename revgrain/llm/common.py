@@ -17,6 +17,8 @@ from revgrain.session import shared_folder
 
 #: Broadcasts by hand stay below this many rows of a few numbers each; larger tables are joined.
 BROADCAST_ROWS = 200_000
+#: Keys that hold more than one in so many of a table's rows are looked up in a broadcast; there are fewer of them than that.
+HOT_SHARE = 10_000
 #: Bytes of a batch of rows that goes to a Python worker, unless one row alone is larger.
 BATCH_BYTES = 1 << 22
 
@@ -33,6 +35,19 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined by ``key`` with ``side``, which has one row a key and says how ``many`` of ``rows`` have it.
+
+    Keys of more than one in ``HOT_SHARE`` rows are broadcast (fewer than ``HOT_SHARE``, whatever the input), so no task
+    gets all rows of a hot key; the other keys are joined.
+    """
+    total = rows.count()
+    hot = F.broadcast(side.filter(F.col("many") * HOT_SHARE > total).drop("many"))
+    cold = side.filter(F.col("many") * HOT_SHARE <= total).drop("many")
+    rest = rows.join(F.broadcast(side.filter(F.col("many") * HOT_SHARE > total).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, "left"))
+
+
 def text_of(column: str) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

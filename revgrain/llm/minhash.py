@@ -5,8 +5,8 @@ A document's set holds its distinct five-word shingles as 64-bit hashes. Two col
 minhashes where separate tables would need 256. A pair of similarity s is missed with a chance below 2 (1 - s**2)**8:
 7e-5 at 0.85, 3e-6 at 0.9.
 
-Documents with the same set are one class, stood for by its smallest id. Buckets never list their pairs: in a
-round every member is paired with two centres of its bucket, pairs are confirmed, and components merge. Rounds go on in
+Documents with the same set are one class, which the search knows by a number of its own: rows may share an id and still
+hold different texts. Buckets never list their pairs: in a round every member is paired with two centres of its bucket, pairs are confirmed, and components merge. Rounds go on in
 buckets that still hold more than one component while they find links. Candidates that then are still unlike meet again under
 their rarest shingles, of which linked sets must share one (an exact filter): rounds of centres again, and last, members of
 different components. So copies cost a pair each, crowds of half-alike texts part, and every candidate pair ends up
@@ -15,7 +15,7 @@ agree (chance below 3e-5 at 0.85), are refused unread.
 
 Defined cases: a null text counts as empty; without words a document is linked with nothing; with fewer than five words the
 whole sequence is the one shingle; null ids join their class and are kept only if nobody else is in it; repeated rows
-give a row each; an empty table gives an empty result.
+give a row each; rows of one id with unlike texts are documents of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import release_worker, sliced, steps, written
+from revgrain.llm.common import looked_up, release_worker, sliced, steps, written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
@@ -38,7 +38,7 @@ WORDS, HALVES, ROWS, AGREE, ROUNDS = 5, 8, 2, 17, 4
 #: Shingles hashed at once.
 WIDE = 16_384
 SEED = 20_240_229
-FEATURES = "id long, n long, class binary, left array<long>, right array<long>, sketch binary"
+FEATURES = "id long, text_key long, n long, class binary, left array<long>, right array<long>, sketch binary"
 
 
 def multipliers(count: int, seed: int) -> np.ndarray:
@@ -88,7 +88,10 @@ def minhashes(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, class, left, right, sketch) of every row; ``class`` is a digest of the set, null keys for an empty set."""
+    """(id, text_key, n, class, left, right, sketch) of every row.
+
+    ``text_key`` tells the texts of one id apart, ``class`` is a digest of the set; an empty set has no keys.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
@@ -96,7 +99,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         mix = multipliers(ROWS, SEED + 2)
         for batch in sliced(batches):
             n, kind, left, right, sketch = [], [], [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(2)):
                 n.append(len(s))
                 kind.append(xxhash.xxh3_128_digest(s.tobytes()))
                 least = minhashes(s, factors)
@@ -105,10 +108,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 right.append(keys[HALVES:] if len(s) else [])
                 sketch.append((least >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(kind, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
-            ], names=["id", "n", "class", "left", "right", "sketch"])
+                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kind, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
+            ], names=["id", "text_key", "n", "class", "left", "right", "sketch"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(make, FEATURES)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(make, FEATURES)
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
 
 def table_rows(heads: DataFrame) -> DataFrame:
@@ -118,13 +125,16 @@ def table_rows(heads: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets_of(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of classes (id, head_id, text_key): the set of the row that stands for each."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "shingles"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return written(some.mapInArrow(make, "id long, shingles binary"), "shingle-sets")
+    rows = _texts(docs, id_col, text_col).withColumnRenamed("id", "head_id")
+    some = rows.join(heads, ["head_id", "text_key"])
+    return written(some.select("id", "text").mapInArrow(make, "id long, shingles binary"), "shingle-sets")
 
 
 def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -234,11 +244,12 @@ def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, heads: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Components (id, component) of linked ``heads`` (id, n, left, right, sketch)."""
+    """Components (id, component) of linked classes ``heads`` (id, head_id, text_key, n, left, right, sketch)."""
     rows = table_rows(heads)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
     rows = written(rows.join(shared, "key"), "minhash-buckets")
-    search = Search(heads, _sets_of(docs, rows.select("id").distinct(), id_col, text_col), percent)
+    met = heads.select("id", "head_id", "text_key").join(rows.select("id").distinct(), "id", "left_semi")
+    search = Search(heads, _sets_of(docs, met, id_col, text_col), percent)
     unlike = search.centres(rows).select("id").distinct()
     rare = written(prefixes(search.sets, unlike, percent), "rare-shingles")
     search.across(search.centres(rare.select("key", "id")), rare)
@@ -257,18 +268,46 @@ def _open(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFra
     return cut_lineage(named.select("key", "id", "component").join(spread.select("key"), "key", "left_semi")), spread
 
 
+def named_rows(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row (id, text_key, n_shingles, component, component_id): ``component`` numbers the groups of linked rows.
+
+    It is null where a row has no set, or where no row with an id has its set. Two groups may share a smallest id where
+    rows share an id, never a number.
+    """
+    rows = written(features(docs, id_col, text_col), "minhash-features")
+    full = rows.filter("n > 0")
+    head = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key", "n", "left", "right", "sketch"))).alias("head")
+    heads = full.groupBy("class").agg(head, F.count(F.lit(1)).alias("many")).filter("head is not null")
+    number = F.monotonically_increasing_id().alias("id")
+    heads = written(heads.select(number, "class", "many", F.col("head.id").alias("head_id"), *[f"head.{c}" for c in ("text_key", "n", "left", "right", "sketch")]), "minhash-heads")
+    labels = links(docs, heads.drop("class", "many"), percent, id_col, text_col)
+    classes = heads.select("id", "class", "many", "head_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = cut_lineage(classes.select("class", "many", "head_id", "component"))
+    least = classes.groupBy("component").agg(F.min("head_id").alias("component_id"), F.count(F.lit(1)).alias("many"))
+    classes = looked_up(classes.withColumnRenamed("many", "n_rows"), least, "component").select("class", F.col("n_rows").alias("many"), "component", "component_id")
+    named = looked_up(full.select("id", "text_key", F.col("n").alias("n_shingles"), "class"), cut_lineage(classes), "class").drop("class")
+    none = F.lit(None).cast("long").alias("component")
+    return named.unionByName(rows.filter("n = 0").select("id", "text_key", F.col("n").alias("n_shingles"), none, F.col("id").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row (id, n_shingles, component_id, kept): linked documents share the smallest id they reach.
 
     Links: 100 x intersection >= ``percent`` x union of the shingle sets.
     """
-    rows = written(features(docs, id_col, text_col), "minhash-features")
-    full = rows.filter("n > 0")
-    heads = full.filter("id is not null").groupBy("class").agg(F.min(F.struct("id", "n", "left", "right", "sketch")).alias("head")).select("class", "head.*")
-    heads = written(heads, "minhash-heads")
-    labels = links(docs, heads.drop("class"), percent, id_col, text_col)
-    component = F.coalesce("component", F.col("id"))
-    classes = heads.select("class", "id").join(labels, "id", "left").select("class", component.alias("component_id"))
-    named = full.select("id", F.col("n").alias("n_shingles"), "class").join(classes, "class", "left").select("id", "n_shingles", "component_id")
-    empty = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return named.unionByName(empty).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    rows = named_rows(docs, percent, id_col, text_col)
+    return rows.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of linked rows one (id, text), that of the smallest id.
+
+    Rows without an id or without words stay. Rows that agree in id and text are one document, and stay or go together.
+    """
+    rows = named_rows(docs, percent, id_col, text_col).filter("id is not null")
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("first")).select("first.*")
+    stay = first.unionByName(rows.filter("component is null").select("id", "text_key"))
+    own = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"))
+    known = docs.filter(F.col(id_col).isNotNull()).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own.alias("own"))
+    known = known.join(stay.select(F.struct("id", "text_key").alias("own")), "own", "left_semi").select("row.*")
+    return known.unionByName(docs.filter(F.col(id_col).isNull()))

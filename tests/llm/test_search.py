@@ -33,6 +33,33 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(docs([])).count() == 0
 
 
+def test_rows_that_share_an_id(docs):
+    """Rows of one id with unlike texts are documents of their own, each compared with all others."""
+    random.seed(8)
+    base = [" ".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(6)]
+    near = lambda t, n: t + f" q{n}"
+    rows = [(3, base[0]), (5, near(base[0], 1)), (5, base[1]), (7, near(base[1], 2)), (3, base[2]), (9, near(base[2], 3)), (3, near(base[0], 4)), (None, base[0]), (11, base[3]), (11, base[4]), (12, ""), (12, "  ")]
+    flat = dict(enumerate(rows))
+    groups = brute.near([(n, t) for n, (i, t) in flat.items() if i is not None])
+    want = []
+    for n, (i, t) in flat.items():
+        if i is not None:
+            least = min(flat[m][0] for m, (_, c) in groups.items() if c == groups[n][1])
+            want.append((i, groups[n][0], least, i == least))
+    want.append((None, groups[0][0], 3, False))
+    got = minhash.near_duplicates(docs(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    stay = minhash.keep_one(docs(rows))
+    assert stay.columns == docs(rows).columns
+    kept = {(r.doc_id, r.text) for r in stay.collect()}
+    for c in {c for _, c in groups.values()}:
+        members = [n for n, (_, x) in groups.items() if x == c]
+        least = min(flat[n][0] for n in members)
+        inside = [flat[n] for n in members if flat[n] in kept]
+        assert len(inside) == 1 and inside[0][0] == least
+    assert (5, base[1]) in kept and (None, base[0]) in kept and len(kept) == len({c for _, c in groups.values()}) + 1
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
