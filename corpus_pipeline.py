@@ -29,10 +29,9 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without an id stay."""
+    """One document of each group of near copies; rows that only share an id are told apart, rows without an id stay."""
     bounded_batches(spark)
-    gone = minhash.near_duplicates(docs).filter("not kept and id is not null").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.keep_one(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
