@@ -278,7 +278,9 @@ def named_rows(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     full = rows.filter("n > 0")
     head = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key", "n", "left", "right", "sketch"))).alias("head")
     heads = full.groupBy("class").agg(head, F.count(F.lit(1)).alias("many")).filter("head is not null")
+    # Numbers follow the ids, so the centres of buckets are their smallest members.
     number = F.monotonically_increasing_id().alias("id")
+    heads = heads.sort("head.id", "head.text_key", "class")
     heads = written(heads.select(number, "class", "many", F.col("head.id").alias("head_id"), *[f"head.{c}" for c in ("text_key", "n", "left", "right", "sketch")]), "minhash-heads")
     labels = links(docs, heads.drop("class", "many"), percent, id_col, text_col)
     classes = heads.select("id", "class", "many", "head_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
