@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from revgrain import fixed
-from revgrain.functions.patterns import UNICODE, any_of, col, literal, lookup, python_strip
+from revgrain.functions.patterns import UNICODE, any_of, col, literal, literal_col, lookup, python_strip
 
 _DEFINED = (
     UNICODE + r"(?:(?:class|def|async\s+def)\s+|\bfn\s+|\bfunc\s+(?:\s*\([^)]*\)\s+)?|\bfunction\s+"
@@ -65,10 +65,26 @@ def match_precision(text: Column | str, keywords: list[str]) -> Column:
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+def word_precision(text: Column | str, word: Column) -> Column:
+    """The same for one word that is a column."""
+    text, edge = col(text), F.lit(r"\b")
+    pattern = F.concat(edge, literal_col(word), edge)
+    return (
+        F.when(~F.lower(text).contains(F.lower(word)), 0)
+        .when(F.rlike(text, F.concat(F.lit(UNICODE), pattern)), fixed.PRECISION_EXACT)
+        .when(F.rlike(text, F.concat(F.lit("(?iuU)"), pattern)), fixed.PRECISION_ANY_CASE)
+        .otherwise(fixed.PRECISION_SUBSTRING)
+    )
+
+
+def coverage_score(matched: Column) -> Column:
+    return matched * fixed.COVERAGE_PER_KEYWORD
+
+
 def query_coverage(text: Column | str, keywords: list[str]) -> Column:
     low = F.lower(col(text))
     hits = [F.when(low.contains(k.lower()), 1).otherwise(0) for k in keywords]
-    return reduce(lambda a, b: a + b, hits, F.lit(0)) * fixed.COVERAGE_PER_KEYWORD
+    return coverage_score(reduce(lambda a, b: a + b, hits, F.lit(0)))
 
 
 def matched_terms(text: Column | str, keywords: list[str]) -> Column:
@@ -77,13 +93,18 @@ def matched_terms(text: Column | str, keywords: list[str]) -> Column:
 
 
 def classify_hit(text: Column | str, keywords: list[str], parsed_kind: Column | None = None) -> Column:
+    """Kind of a stripped line, given the words that it is a hit of."""
+    return hit_kind(text, F.lower(defined_name(text)).isin([k.lower() for k in keywords]), parsed_kind)
+
+
+def hit_kind(text: Column | str, defines: Column, parsed_kind: Column | None = None) -> Column:
     """Kind of a stripped line: comment, then what a parser says, then definition / import / call / reference."""
     line = col(text)
     kind = F.when(line.startswith("#") | line.startswith("//") | line.startswith("--"), "comment")
     if parsed_kind is not None:
         kind = kind.when(parsed_kind.isNotNull(), parsed_kind)
     return (
-        kind.when(F.lower(defined_name(line)).isin([k.lower() for k in keywords]), "definition")
+        kind.when(defines, "definition")
         .when(line.startswith("import ") | line.startswith("from "), "import")
         .when(line.contains("("), "call")
         .otherwise("reference")

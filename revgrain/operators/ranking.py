@@ -6,6 +6,8 @@ holds most of the rows still sends only k rows per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revgrain import fixed
@@ -51,16 +53,18 @@ def search_hits(lines: DataFrame, queries: dict[str, list[str]], line_kinds: Dat
     return hits.withColumn("score", score).drop("word_score")
 
 
-def best_hits(hits: DataFrame) -> DataFrame:
+def best_hits(hits: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Best line per (query, file): a combining minimum, so a noisy file shrinks to one row before the shuffle."""
     best = F.min(F.struct((-F.col("score")).alias("neg"), "line_no", "snippet", "file_type", "hit_type", "matched_terms"))
-    rows = hits.groupBy("query_id", "path").agg(best.alias("best"))
-    return rows.select("query_id", "path", (-F.col("best.neg")).alias("score"), "best.*").drop("neg")
+    rows = hits.groupBy("query_id", *keys).agg(best.alias("best"))
+    return rows.select("query_id", *keys, (-F.col("best.neg")).alias("score"), "best.*").drop("neg")
 
 
-def rank_hits(best: DataFrame, k: int) -> DataFrame:
+def rank_hits(best: DataFrame, k: int, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """The k best of each query; ``keys`` before the path, such as a repository, have ranks of their own."""
     order = [F.desc("score"), F.asc("path"), F.asc("line_no"), F.asc("snippet")]
-    return top_per_key(best, ["query_id"], order, k, "rank").withColumn("confidence", search.hit_confidence("hit_type"))
+    within = ["query_id", *[c for c in keys if c != "path"]]
+    return top_per_key(best, within, order, k, "rank").withColumn("confidence", search.hit_confidence("hit_type"))
 
 
 def search_topk(

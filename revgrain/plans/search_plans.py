@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revgrain import fixed
-from revgrain.operators import ranking
+from revgrain.operators import ranking, token_index
 from revgrain.plans.registry import query
 
 # Word boundaries that treat every letter, digit and underscore as part of a word.
@@ -74,6 +74,41 @@ def _(t):
     return ranking.search_topk(t.lines, SEARCHES, 20)
 
 
+# Two repositories with the same paths, and one request for each benchmark item, of its long words.
+_TWO_REPOS = "select concat('repo', doc_id % 2) as repo, concat('src/m', cast(floor(doc_id / 2) as bigint), '.py') as path, line_no, line from v_lines"
+
+
+def _word_precision_sql() -> str:
+    pattern = lambda flags: f"concat('{flags}{EDGE_L}', word, '{EDGE_R}')"
+    return f"""case when not contains(lower(snippet), lower(word)) then 0 when regexp_matches(snippet, {pattern('')}) then 300
+      when regexp_matches(snippet, {pattern('(?i)')}) then 250 else 50 end"""
+
+
+_TABLE_SEARCH_SQL = f"""with src as ({_TWO_REPOS}), classed as ({CLASSED.format(source='src')}),
+  asked as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{{7,}}'))) as word from benchmark),
+  lines as (select *, left(regexp_replace(line, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g'), 200) as snippet from classed),
+  met as (select query_id, word, repo, path, line_no, snippet, file_type, {_word_precision_sql()} as precision, contains(lower(snippet), lower(word)) as inside,
+    lower(word) = lower(regexp_extract(snippet, '(?:(?:class|def|async\\s+def)\\s+|\\bfn\\s+|\\bfunc\\s+(?:\\s*\\([^)]*\\)\\s+)?|\\bfunction\\s+|\\b(?:public|private|protected)?\\s*(?:static\\s+)?(?:class|interface|enum)\\s+)([\\p{{L}}\\p{{N}}_]+)', 1)) as defines
+    from lines join asked on contains(lower(line), lower(word))),
+  hits as (select query_id, repo, path, line_no, snippet, file_type, max(precision) + 50 * count(*) filter (inside) as word_score, bool_or(defines) as defines,
+    coalesce(string_agg(word, ',' order by word) filter (inside), '') as matched_terms from met group by all),
+  kinds as (select *, case when regexp_matches(snippet, '^(#|//|--)') then 'comment' when defines then 'definition' when regexp_matches(snippet, '^(import |from )') then 'import'
+    when contains(snippet, '(') then 'call' else 'reference' end as hit_type from hits),
+  scored as (select *, {TYPE_SCORE_SQL} + case hit_type when 'definition' then 500 when 'import' then 400 when 'call' then 300 when 'reference' then 200 else 100 end + word_score as score from kinds),
+  best as (select * from scored qualify row_number() over (partition by query_id, repo, path order by score desc, line_no, snippet) = 1)
+  select query_id, repo, path, cast(score as int) as score, cast(line_no as int) as line_no, snippet, file_type, hit_type, matched_terms,
+    cast(row_number() over (partition by query_id, repo order by score desc, path, line_no, snippet) as int) as rank,
+    cast(case hit_type when 'definition' then 0.98 when 'call' then 0.95 when 'import' then 0.9 when 'reference' then 0.8 else 0.6 end as double) as confidence
+  from best qualify row_number() over (partition by query_id, repo order by score desc, path, line_no, snippet) <= 20"""
+
+
+@query("search_topk_table", "W01 F04 F05 F06", _TABLE_SEARCH_SQL)
+def _(t):
+    lines = t.lines.selectExpr("concat('repo', doc_id % 2) as repo", "concat('src/m', cast(floor(doc_id / 2) as bigint), '.py') as path", "line_no", "line")
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))))
+    return token_index.search_topk(lines, t.benchmark.select(F.col("item_id").alias("query_id"), words.alias("words")), 20, ["repo", "path"])
+
+
 _FILE_WORDS = {"q_m1": "m1", "q_test": "test", "q_app": "app"}
 
 
