@@ -15,6 +15,10 @@ from revgrain.functions import paths, search
 from revgrain.functions.patterns import any_of, literal, lookup, python_strip, strings
 
 
+#: Lines of a bin that windows and lines meet by.
+WINDOW_BIN = 64
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
@@ -318,25 +322,33 @@ def context_windows(hits: DataFrame, radius: int = 30, max_windows: int = 3) ->
     return kept.withColumn("window_no", F.row_number().over(Window.partitionBy(*keys).orderBy("start_line"))).drop("island")
 
 
-def snippet_windows(hits: DataFrame, lines: DataFrame, before: int, after: int, chars: int | None = None) -> DataFrame:
-    """Numbered source lines around each hit (path, line_no), as ``snippet`` with its last line number.
+def snippet_windows(
+    hits: DataFrame, lines: DataFrame, before: int | Column, after: int | Column, chars: int | None = None,
+    keys: Sequence[str] = ("path",), by: Sequence[str] = (),
+) -> DataFrame:
+    """Numbered source lines around each hit (file keys, line_no), as ``snippet`` with its last line number.
 
-    Each hit names its few lines and meets them by (path, line_no); no range join, no copy of the file per hit. With
-    ``chars`` a line that no longer fits is passed over, and a blank line or a new statement ends the window.
+    ``before`` and ``after`` may be columns of ``hits``, and ``by`` names those of its columns that tell the windows of one line apart.
+    A window names the few bins of lines that it touches and meets these by (file, bin), so a hit is sent some three times,
+    however many lines it shows. With ``chars`` a line that no longer fits is passed over, and a blank line or a new statement ends
+    the window.
     """
-    wanted = hits.select("path", "line_no").distinct().select(
-        "path", "line_no", F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") + after)).alias("n")
-    ).where("n >= 1")
-    source = lines.select("path", F.col("line_no").alias("n"), "line")
+    own = [*keys, *by, "line_no"]
+    first, last = F.greatest(F.lit(1), F.col("line_no") - before), F.col("line_no") + after
+    wanted = hits.select(*own, first.alias("first_line"), last.alias("last_line")).distinct()
+    bin_of = lambda c: F.floor(F.col(c) / WINDOW_BIN)
+    wanted = wanted.withColumn("bin", F.explode(F.sequence(bin_of("first_line"), bin_of("last_line"))))
+    source = lines.select(*keys, F.col("line_no").alias("n"), "line", bin_of("line_no").alias("bin"))
     numbered = F.concat(F.col("n").cast("string"), F.lit("| "), "line")
     stripped = python_strip("line")
     closes = (stripped == "") | stripped.rlike(r"^(def |class |return|raise|if |for )")
-    got = wanted.join(source, ["path", "n"]).groupBy("path", "line_no").agg(
+    shown = wanted.join(source, [*keys, "bin"]).where("n between first_line and last_line")
+    got = shown.groupBy(*own, "first_line", "last_line").agg(
         F.array_sort(F.collect_list(F.struct("n", numbered.alias("text"), closes.alias("closes")))).alias("part")
     )
     if chars is None:
         texts = F.transform("part", lambda x: x["text"])
-        return got.select("path", "line_no", F.array_join(texts, "\n").alias("snippet"), F.element_at("part", -1)["n"].alias("end_line"))
+        return got.select(*own, F.array_join(texts, "\n").alias("snippet"), F.element_at("part", -1)["n"].alias("end_line"))
     start = F.struct(strings([]).alias("kept"), F.lit(0).alias("chars"), F.lit(False).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -349,8 +361,14 @@ def snippet_windows(hits: DataFrame, lines: DataFrame, before: int, after: int,
         )
 
     folded = got.withColumn("acc", F.aggregate("part", start, step))
-    first = F.get("part", F.lit(0))["n"]
-    return folded.select("path", "line_no", F.array_join("acc.kept", "\n").alias("snippet"), (first + F.size("acc.kept") - 1).alias("end_line"))
+    start_line = F.get("part", F.lit(0))["n"]
+    return folded.select(*own, F.array_join("acc.kept", "\n").alias("snippet"), (start_line + F.size("acc.kept") - 1).alias("end_line"))
+
+
+def read_windows(hits: DataFrame, lines: DataFrame, keys: Sequence[str] = ("path",), chars: int = fixed.WINDOW_CHARS) -> DataFrame:
+    """What an investigation reads around each hit (file keys, line_no, question_type): the type sets the size of the window."""
+    size = lambda at: lookup("question_type", {t: w[at] for t, w in fixed.WINDOW_LINES.items()}, fixed.DEFAULT_WINDOW[at])
+    return snippet_windows(hits, lines, size(0), size(1), chars, keys, ["question_type"])
 
 
 def stratified_sample(samples: DataFrame, count: int = 40) -> DataFrame:

@@ -236,10 +236,43 @@ def _(t):
     return ranking.snippet_windows(t.lines.where(F.col("line").contains("license")), t.lines, 2, 5)
 
 
-@query("read_windows", "W15")
+def _read_sql(lines: str, keys: str, window: str, by: str = "") -> str:
+    """Windows read line by line: ``window`` gives (keys, by, line_no, before, after) of the hits in ``src``."""
+    own = f"{keys}, {by + ', ' if by else ''}line_no"
+    same = " and ".join(f"w.{c.strip()} is not distinct from s.{c.strip()}" for c in own.split(","))
+    met = " and ".join(f"l.{c.strip()} = h.{c.strip()}" for c in keys.split(","))
+    return f"""with recursive src as materialized ({lines}), h as ({window}),
+    w as materialized (select {', '.join('h.' + c.strip() for c in own.split(','))}, l.line_no as n, concat(l.line_no, '| ', l.line) as t,
+      regexp_replace(l.line, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g') as bare,
+      row_number() over (partition by {', '.join('h.' + c.strip() for c in own.split(','))} order by l.line_no) as i from h join src l on {met} and l.line_no between h.line_no - h.before and h.line_no + h.after),
+    s as (select {own}, n as first, i, t as snippet, length(t) + 1 as chars, 1 as kept, false as done from w where i = 1
+      union all select {', '.join('s.' + c.strip() for c in own.split(','))}, first, w.i, case when s.chars + length(t) > {fixed.WINDOW_CHARS} then snippet else concat(snippet, chr(10), t) end,
+        case when s.chars + length(t) > {fixed.WINDOW_CHARS} then s.chars else s.chars + length(t) + 1 end, case when s.chars + length(t) > {fixed.WINDOW_CHARS} then kept else kept + 1 end,
+        s.chars + length(t) > {fixed.WINDOW_CHARS} and regexp_matches(bare, '^($|def |class |return|raise|if |for )')
+      from s join w on {same} and w.i = s.i + 1 where not done)
+    select {own}, snippet, cast(first + kept - 1 as int) as end_line from s qualify row_number() over (partition by {own} order by i desc) = 1"""
+
+
+_BEFORE, _AFTER = fixed.DEFAULT_WINDOW
+
+
+@query("read_windows", "W15", _read_sql("select path, cast(line_no as int) as line_no, line from v_lines", "path",
+                                        f"select path, line_no, {_BEFORE} as before, {_AFTER} as after from src where contains(line, 'license')"))
 def _(t):
-    before, after = fixed.DEFAULT_WINDOW
-    return ranking.snippet_windows(t.lines.where(F.col("line").contains("license")), t.lines, before, after, fixed.WINDOW_CHARS)
+    return ranking.snippet_windows(t.lines.where(F.col("line").contains("license")), t.lines, _BEFORE, _AFTER, fixed.WINDOW_CHARS)
+
+
+_ASKED = "case line_no % 4 when 0 then 'explain' when 1 then 'trace' when 2 then 'impact' else 'locate' end"
+
+
+@query("read_windows_by_type", "W15", _read_sql(f"select repo, path, cast(line_no as int) as line_no, line from ({_TWO_REPOS})", "repo, path", f"""select *, case question_type when 'explain' then 5 when 'trace' then 5 when 'impact' then 5 else 20 end as before,
+    case question_type when 'explain' then 120 when 'trace' then 80 when 'impact' then 80 else 60 end as after
+    from (select repo, path, line_no, {_ASKED} as question_type from src where contains(line, 'license') union all select repo, path, line_no, 'explain' from src where contains(line, 'data') and line_no % 4 <> 0)""", "question_type"))
+def _(t):
+    lines = t.lines.selectExpr("concat('repo', doc_id % 2) as repo", "concat('src/m', cast(floor(doc_id / 2) as bigint), '.py') as path", "line_no", "line")
+    asked = lines.where("contains(line, 'license')").selectExpr("repo", "path", "line_no", f"{_ASKED} as question_type")
+    more = lines.where("contains(line, 'data') and line_no % 4 <> 0").selectExpr("repo", "path", "line_no", "'explain' as question_type")
+    return ranking.read_windows(asked.unionByName(more), lines, ["repo", "path"])
 
 
 @query("stratified_sample", "W16", """with s as (select sample_id, seq, risk_level, language = 'python' or language = 'go' as py, language <> 'python' as other, files from v_samples),

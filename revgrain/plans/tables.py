@@ -231,8 +231,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     ctes = ", ".join(f"{n} as ({SQL_VIEWS[n]})" for n in needed)
-    stripped = sql.lstrip()
-    return f"with {ctes}, {stripped[5:]}" if stripped[:5].lower() == "with " else f"with {ctes} {sql}"
+    opening = re.match(r"(?i)\s*with (recursive )?", sql)
+    return f"{opening[0]}{ctes}, {sql[opening.end():]}" if opening else f"with {ctes} {sql}"
 
 
 class Tables:
