@@ -2,10 +2,11 @@
 
 Every text gets a 64-bit key. The directory starts with one bucket and doubles while a bucket holds more than
 ``capacity`` distinct keys: an overfull bucket is split by one more leading bit, the others keep their depth. The entries
-are written as files in directory order, so each owner task holds a key range. Inside a key the texts themselves are
-compared, byte by byte, since the normalised text is part of the grouping key: texts of equal key but different bytes
-become separate links of the key's chain. Copies meet in the partial aggregation of every task first, so a group that
-holds a third of all rows sends one row a task.
+are written as files in directory order, so each owner task holds a range of (bucket, key) and combines its entries by key.
+A key with one entry is settled by the index alone. For a key with several, the owners fetch the texts and compare them byte by byte:
+equal ones form a link of the key's chain, texts of equal key but different bytes become separate links. Keeper and group size
+are those of the link. Copies meet in the partial aggregation of every task first, so a group that holds a third of all rows sends one row a
+task, and links of hot keys go to all tasks, so its entries are answered where they lie.
 
 Defined cases: a null text counts as empty and all empty texts form one group; null ids come after all others when the
 keeper is chosen; repeated rows are members of their group like others; an empty table gives an empty result; only the id
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revgrain.llm.common import BROADCAST_ROWS, text_of, written
+from revgrain.llm.common import BROADCAST_ROWS, HOT_SHARE, looked_up, text_of, written
 from revgrain.session import cut_lineage
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -63,16 +64,21 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
         depth += 1
 
 
-def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_of(plain: Column) -> Column:
+    """The key of a normalised text, as even over 64 bits as the directory needs it."""
+    return F.xxhash64(plain)
+
+
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=key_of) -> DataFrame:
     """One index entry for each row: (id, key, digest, n_points), without the text."""
     text = text_of(text_col)
     plain = docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("n_points"), normalised(text).alias("plain"))
-    return plain.select("id", F.xxhash64("plain").alias("key"), F.sha2("plain", 256).alias("digest"), "n_points")
+    return plain.select("id", key(F.col("plain")).alias("key"), F.sha2("plain", 256).alias("digest"), "n_points")
 
 
-def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key=key_of) -> DataFrame:
     """The index files: entries with their bucket, in directory order, a key range for each owner task."""
-    flat = written(entries(docs, id_col, text_col), "dedup-entries")
+    flat = written(entries(docs, id_col, text_col, key), "dedup-entries")
     slots, depth = directory(flat.select("key").distinct(), capacity)
     if 2**depth <= BROADCAST_ROWS:  # the directory has at most 2**depth rows
         slots = F.broadcast(slots)
@@ -81,23 +87,41 @@ def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(placed.select(*columns).repartitionByRange("bucket", "key", "id").sortWithinPartitions("bucket", "key", "id"), "dedup-index")
 
 
-def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each different text: (key, digest, keep_id, group_size), equal bytes grouped.
+def shared_keys(index: DataFrame) -> DataFrame:
+    """The keys that several entries of the index have: (key, many). Each owner combines its range before the shuffle."""
+    return index.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+
+
+def chains(docs: DataFrame, shared: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=key_of) -> DataFrame:
+    """The chain links of the ``shared`` keys: (link, keep_id, many), one row for each different text, equal bytes grouped.
 
-    Of a group the row with the most code points stays, then the one with the smallest id.
+    Texts of other keys are left out, by a broadcast for the few hot keys and by a join for the rest. Of a link the row with
+    the most code points stays, then the one with the smallest id. ``link`` is (key, digest), by which entries find it.
     """
     text = text_of(text_col)
     rows = docs.select(normalised(text).alias("plain"), F.length(text).alias("n_points"), F.col(id_col).alias("id"))
+    rows = rows.select("*", key(F.col("plain")).alias("key"))
+    total = docs.count()
+    hot = F.broadcast(shared.filter(F.col("many") * HOT_SHARE > total).select("key"))
+    cold = shared.filter(F.col("many") * HOT_SHARE <= total).select("key")
+    fetched = rows.join(hot, "key", "left_semi").unionByName(rows.join(hot, "key", "left_anti").join(cold, "key", "left_semi"))
     order = F.struct((-F.col("n_points")).alias("points"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    groups = rows.groupBy(F.xxhash64("plain").alias("key"), "plain").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return groups.select("key", F.sha2("plain", 256).alias("digest"), F.col("best.id").alias("keep_id"), "group_size")
+    groups = fetched.groupBy("key", "plain").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("many"))
+    return groups.select(F.struct("key", F.sha2("plain", 256).alias("digest")).alias("link"), F.col("best.id").alias("keep_id"), "many")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key=key_of) -> DataFrame:
     """For each row: (id, keep_id, group_size, kept, digest, bucket)."""
-    index = write_index(docs, id_col, text_col, capacity)
-    joined = index.join(chains(docs, id_col, text_col), ["key", "digest"])
-    return joined.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "bucket")
+    index = write_index(docs, id_col, text_col, capacity, key)
+    shared = written(shared_keys(index), "dedup-shared")
+    links = written(chains(docs, shared, id_col, text_col, key), "dedup-links")
+    linked = index.select("id", "bucket", F.struct("key", "digest").alias("link"))
+    # Without a link there is no other entry of the key, so the row is a group of its own.
+    found = looked_up(linked, links.withColumnRenamed("many", "group_size").withColumn("many", F.col("group_size")), "link")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id")
+    rows = found.select("id", keep_id, F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "link.digest", "bucket")
+    return rows.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "bucket")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,22 @@ def test_exact_groups(docs):
     assert sorted(map(tuple, got), key=repr) == sorted(brute.exact(HARD), key=repr)
 
 
+def test_texts_of_one_key_are_chained(docs):
+    """Four keys for some 300 texts: groups and keepers must come from the bytes."""
+    random.seed(11)
+    rows = HARD + [(100 + i, "".join(random.choices("ab \t", k=random.randint(0, 9)))) for i in range(600)]
+    few = lambda plain: F.shiftleft(F.pmod(F.xxhash64(plain), F.lit(4)), 62)
+    got = exact_dedup.exact_duplicates(docs(rows), capacity=2, key=few).select("id", "keep_id", "group_size", "kept", "digest").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute.exact(rows), key=repr)
+
+
+def test_texts_of_lone_keys_are_not_fetched(docs):
+    rows = docs([(1, "a"), (2, "b"), (3, " b"), (4, "c")])
+    index = exact_dedup.write_index(rows)
+    links = exact_dedup.chains(rows, exact_dedup.shared_keys(index)).collect()
+    assert [(r.keep_id, r.many) for r in links] == [(3, 2)]
+
+
 def test_exact_empty(docs):
     assert exact_dedup.exact_duplicates(docs([])).count() == 0
 
