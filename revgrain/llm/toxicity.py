@@ -1,14 +1,15 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Units are words (runs of letters, lower-cased) and their first four to six letters. A unit's score is its log-odds between
-toxic and other labelled texts under a Dirichlet prior taken from the counts of the whole corpus. A unit counts once a
-text, so repeated lines don't weigh more; only units whose likelihood ratio stands out are kept, and a word takes the score of its most specific
+toxic and other labelled texts under a Dirichlet prior taken from the counts of the whole corpus. A word counts once a
+text, and once for all texts of a class with the same least shingle hash, which near copies mostly share; so repeated lines and much-copied
+texts don't weigh more, and no text is left out. Only units whose likelihood ratio stands out are kept, and a word takes the score of its most specific
 kept unit. All other words share one small negative score. A linear scan (Ruzzo and Tompa) finds all maximal segments. A segment of
 score S in n words has the extreme-value score S' = lambda S - ln(K n): lambda and K are fitted to the words of texts that
 are not toxic. Segments with a chance of at most ``LEVEL`` are significant; their S' add up to the text's evidence, which a
 logistic curve turns into a score.
 
-The classifier is fitted on ``LABELLED`` labelled rows at most, taken by hash; prior counts cover every text. Labels,
+The classifier is fitted on ``LABELLED`` labelled rows at most, taken by hash, and holds ``UNITS`` units at most, those that stand out most; prior counts cover every text. Labels,
 language, source and ids are never inputs of a score.
 
 Defined cases: null texts count as empty and get the score of a text without evidence; labels that are null are left
@@ -103,53 +104,69 @@ def passages(texts: pa.Array, model: dict) -> Iterator[tuple[float, list[tuple[f
     give_back()
 
 
-def _count(kept: dict | None = None, once: bool = False, specific: bool = False):
-    """Counts of units in texts, by class if there is one: (unit, toxic, n), and of all words as unit "".
-
-    ``kept``: only these units; ``once``: a word counts once a text; ``specific``: only for its most specific unit.
-    """
+def _count(kept: dict):
+    """Counts of the units ``kept`` in texts: (unit, n), and of all words as unit ""."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
         for batch in batches:
             sums: Counter = Counter()
-            classes = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(batch.num_rows, dtype=np.int32)
-            at = 0
             for some in steps(batch.column(0)):
-                words, numbers, bounds = coded(some)
-                texts = np.repeat(np.arange(at, at + len(some)), np.diff(bounds))
-                if once and len(words):
-                    texts, numbers = np.divmod(np.unique(texts * len(words) + numbers), len(words))
-                at += len(some)
-                for kind in np.unique(classes[texts]).tolist():
-                    n = np.bincount(numbers[classes[texts] == kind], minlength=len(words)).tolist()
-                    for w, c in zip(words, n):
-                        if c:
-                            sums["", kind] += c
-                            mine = [u for u in units_of(w) if kept is None or u in kept]
-                            for u in mine[:1] if specific else mine:
-                                sums[u, kind] += c
-            rows = [(u, k, n) for (u, k), n in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["unit", "toxic", "n"])
+                words, numbers, _ = coded(some)
+                for w, c in zip(words, np.bincount(numbers, minlength=len(words)).tolist()):
+                    if c:
+                        sums[""] += c
+                        for u in units_of(w):
+                            if u in kept:
+                                sums[u] += c
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], names=["unit", "n"])
 
     return count
 
 
-COUNTS = "unit string, toxic int, n long"
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of each text: (kin, toxic, word) from (text, toxic), ``kin`` being the least shingle hash."""
+    release_worker()
+    for batch in batches:
+        classes, at = batch.column(1).to_numpy(zero_copy_only=False), 0
+        for some in steps(batch.column(0)):
+            words, numbers, bounds = coded(some)
+            texts = np.repeat(np.arange(len(some)), np.diff(bounds))
+            if len(words):
+                texts, numbers = np.divmod(np.unique(texts * len(words) + numbers), len(words))
+                kin = kin_of(some).take(pa.array(texts))
+                toxic = pa.array(classes[at + texts], pa.int32())
+                yield pa.RecordBatch.from_arrays([kin, toxic, pa.array(words, pa.string()).take(pa.array(numbers))], names=["kin", "toxic", "word"])
+            at += len(some)
+
+
+COUNTS = "unit string, n long"
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_on) -> DataFrame:
-    """Different labelled texts (kin, toxic, text), near copies mostly as one, from ``LABELLED`` labels at most that ``fit_on`` allows."""
+    """Different labelled texts (text, toxic), from ``LABELLED`` labels at most that ``fit_on`` allows."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     some = known.filter(fit_on(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id")).limit(LABELLED)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     joined = texts.join(F.broadcast(some), "id")  # LABELLED rows of two numbers at most
-    different = joined.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    return written(different.groupBy(F.arrow_udf(kin_of, "long")("text").alias("kin"), "toxic").agg(F.min("text").alias("text")), "toxicity-training")
+    return written(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-training")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, y1, y0): in how many toxic and other texts a word stands, texts of one class and least shingle hash counted once."""
+    different = rows.mapInArrow(_words, "kin long, toxic int, word string").distinct()
+    of = lambda kind: F.sum(F.when((F.col("toxic") > 0) == kind, 1).otherwise(0))
+    return written(different.groupBy("word").agg(of(True).alias("y1"), of(False).alias("y0")), "toxicity-words")
+
+
+def unit_rows(words: DataFrame) -> DataFrame:
+    """A row for each unit of each word, the most specific (place 0) first: (word, y1, y0, place, unit), as ``units_of`` names them."""
+    starts = [F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES]
+    return words.select("*", F.posexplode(F.array_compact(F.array(F.concat("word", F.lit("$")), *starts))).alias("place", "unit"))
 
 
 def kin_of(texts: pa.Array) -> pa.Array:
-    """The least shingle hash of each text, which near copies mostly share; so the words of a much-copied text count once."""
+    """The least shingle hash of each text, which near copies mostly share."""
     return pa.array([int(s[0] >> np.uint64(1)) if len(s) else 0 for s in shingle_sets(texts)], pa.int64())
 
 
@@ -157,14 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model, a dictionary of plain values (see ``MODEL``)."""
     spark = docs.sparkSession
     rows = training_rows(docs, labels, id_col, text_col, fit_on)
-    by_class = written(_by_class(rows.select("text", "toxic").mapInArrow(_count(once=True), COUNTS)), "toxicity-units")
-    total = by_class.filter("unit = ''").first()
-    if total is None or not total.y1 or not total.y0:
+    words = word_counts(rows)
+    n1, n0 = words.agg(F.sum("y1"), F.sum("y0")).first()
+    if not n1 or not n0:
         return dict(MODEL)
-    n1, n0 = total.y1, total.y0
+    by_class = unit_rows(words).groupBy("unit").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
     both = F.col("y1") + F.col("y0")
     ratio = 2 * (F.col("y1") * F.log(F.col("y1") / both * (n1 + n0) / n1) + F.when(F.col("y0") > 0, F.col("y0") * F.log(F.col("y0") / both * (n1 + n0) / n0)).otherwise(0.0))
-    wanted = by_class.filter((F.col("unit") != "") & (F.col("y1") >= LEAST) & (F.col("y1") * n0 > F.col("y0") * n1) & (ratio >= STANDS_OUT))
+    wanted = by_class.filter((F.col("y1") >= LEAST) & (F.col("y1") * n0 > F.col("y0") * n1) & (ratio >= STANDS_OUT))
     wanted = {r.unit: (r.y1, r.y0) for r in wanted.orderBy(ratio.desc(), "unit").limit(UNITS).collect()}  # a model of UNITS entries at most
     if not wanted:
         return dict(MODEL)
@@ -173,9 +190,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def prior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _count(sent.value)(batches)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _count(sent.value, once=True, specific=True)(batches)
-
     whole = {r.unit: r.n for r in docs.select(F.col(text_col).alias("text")).mapInArrow(prior, COUNTS).groupBy("unit").agg(F.sum("n").alias("n")).collect()}
     strength = PRIOR * n0
     extra = {u: strength * whole.get(u, 0) / max(whole.get("", 1), 1) + FLAT for u in wanted}
@@ -183,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     quiet = lambda u, y: (y + extra[u]) / (n0 + strength)
     units = {u: math.log(toxic(u, y1) / quiet(u, y0)) for u, (y1, y0) in wanted.items()}
     # Chances under the rule that a word takes its most specific unit.
-    dealt = {r.unit: (r.y1, r.y0) for r in _by_class(rows.select("text", "toxic").mapInArrow(own, COUNTS)).collect() if r.unit in units}
+    names = F.broadcast(spark.createDataFrame([(u,) for u in units], "unit string"))  # UNITS at most
+    first = unit_rows(words).join(names, "unit").groupBy("word", "y1", "y0").agg(F.min_by("unit", "place").alias("unit"))
+    dealt = {r.unit: (r.y1, r.y0) for r in first.groupBy("unit").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).collect()}
     chance = [(units[u], quiet(u, y0)) for u, (y1, y0) in dealt.items() if units[u] > 0]
     p0, p1 = sum(p for _, p in chance), sum(toxic(u, y1) for u, (y1, _) in dealt.items())
     model = MODEL | {"units": {u: v for u, v in units.items() if v > 0}, "rest": min(math.log((1 - min(p1, 0.9)) / (1 - min(p0, 0.8))), -1e-6)}
@@ -195,11 +211,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return _calibrated(model, rows)
 
 
-def _by_class(counts: DataFrame) -> DataFrame:
-    of = lambda kind: F.sum(F.when((F.col("toxic") > 0) == kind, F.col("n")).otherwise(0))
-    return counts.groupBy("unit").agg(of(True).alias("y1"), of(False).alias("y0"))
-
-
 def _calibrated(model: dict, rows: DataFrame) -> dict:
     """Bias and slope of the logistic curve, by Newton steps with a small ridge, from a histogram of the training evidence."""
     evidence = rows.select("toxic", evidence_of(model)("text").alias("e")).groupBy("toxic", F.round("e", 1).alias("e")).count().collect()

@@ -1,6 +1,7 @@
 """Near duplicates, neighbours, toxicity, pages and chats on small inputs."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,21 @@ def test_segments_are_the_maximal_ones():
         assert np.allclose([g[0] for g in got], [w[0] for w in want])
 
 
+def test_no_labelled_text_is_left_out(spark):
+    """Words count once a class and least shingle hash, but every text's words count: against sets in plain Python."""
+    base = "one two three four five six seven eight nine ten"
+    texts = [(f"{base} own{chr(97 + i)} {'again ' * i}", i % 2) for i in range(8)] + [("", 0), ("Short", 1), ("short short", 1), ("12 34", 0)]
+    kin = toxicity.kin_of(pa.array([t for t, _ in texts])).to_pylist()
+    seen = {(k, y, w) for k, (t, y) in zip(kin, texts) for w in re.findall(r"[^\W\d_]+", t.lower())}
+    want = {w: (sum(y for _, y, v in seen if v == w), sum(1 - y for _, y, v in seen if v == w)) for _, _, w in seen}
+    got = {r.word: (r.y1, r.y0) for r in toxicity.word_counts(spark.createDataFrame(texts, "text string, toxic int")).collect()}
+    assert got == want and {f"own{c}" for c in "abcdefgh"} <= {*got}
+    units = {}
+    for r in toxicity.unit_rows(spark.createDataFrame([("abcdefg", 1, 0), ("abc", 1, 0)], "word string, y1 long, y0 long")).collect():
+        units.setdefault(r.word, []).append((r.place, r.unit))
+    assert {w: [u for _, u in sorted(v)] for w, v in units.items()} == {w: toxicity.units_of(w) for w in units}
+
+
 def test_toxicity(spark, docs):
     draw = random.Random(10)
     words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "to", "su") for c in ("ba", "di", "fo", "gu")]
