@@ -13,16 +13,17 @@ from revgrain.session import cut_lineage
 ROOTS = ["src", "lib", "python"]
 
 
-def name_index(lines: DataFrame) -> DataFrame:
-    """Distinct (name, path) of lines that define a function or class."""
+def name_index(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Distinct (name, path) of lines that define a function or class. ``keys``, here and below, keep repositories apart."""
     name = F.regexp_extract("line", UNICODE + r"^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
     rows = lines.where(F.col("path").endswith(".py") & (F.col("line").contains("def") | F.col("line").contains("class")))
-    return rows.select(name.alias("name"), "path").where("name <> ''").distinct()
+    return rows.select(*(keys or []), name.alias("name"), "path").where("name <> ''").distinct()
 
 
-def module_index(files: DataFrame) -> DataFrame:
+def module_index(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Dotted module to file. The repository root precedes src, lib and python; a module file precedes a package."""
-    own = files.where(F.col("path").endswith(".py")).select("path").distinct()
+    keys = keys or []
+    own = files.where(F.col("path").endswith(".py")).select(*keys, "path").distinct()
     package = F.col("path").rlike(r"(^|/)__init__\.py$")
     top = F.substring_index("path", "/", 1)
     bare = F.regexp_replace("path", r"(/__init__)?\.py$", "")
@@ -31,104 +32,131 @@ def module_index(files: DataFrame) -> DataFrame:
         return F.struct(F.translate(name, "/", ".").alias("module"), (F.lit(root * 2) + package.cast("int")).alias("rank"))
 
     under = [F.when(top == r, option(i + 1, F.regexp_replace(bare, f"^{r}/", ""))) for i, r in enumerate(ROOTS)]
-    rows = own.select("path", F.inline(F.array_compact(F.array(option(0, bare), *under))))
-    return rows.groupBy("module").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    rows = own.select(*keys, "path", F.inline(F.array_compact(F.array(option(0, bare), *under))))
+    return rows.groupBy(*keys, "module").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
-def longest_module_prefix(symbols: DataFrame, modules: DataFrame) -> DataFrame:
+def longest_module_prefix(symbols: DataFrame, modules: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Longest dotted prefix of each symbol that is a module, and what remains; '' where none is."""
+    own = [*(keys or []), "symbol"]
     parts = F.split("symbol", r"\.")
-    prefixes = symbols.select("symbol").distinct().select("symbol", parts.alias("parts")).select(
-        "symbol", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
+    prefixes = symbols.select(*own).distinct().select(*own, parts.alias("parts")).select(
+        *own, "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
     )
     prefixes = prefixes.withColumn("module", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "."))
-    found = prefixes.join(modules, "module").groupBy("symbol").agg(F.max_by(F.struct("module", "path", "n"), "n").alias("m"))
+    found = prefixes.join(modules, [*own[:-1], "module"]).groupBy(*own).agg(F.max_by(F.struct("module", "path", "n"), "n").alias("m"))
     rest = F.array_join(F.slice("parts", F.coalesce("m.n", F.lit(0)) + 1, F.size("parts")), ".")
-    return symbols.select("symbol").distinct().withColumn("parts", parts).join(found, "symbol", "left").select(
-        "symbol", F.coalesce("m.module", F.lit("")).alias("module"), F.col("m.path").alias("module_path"), rest.alias("remainder")
+    return symbols.select(*own).distinct().withColumn("parts", parts).join(found, own, "left").select(
+        *own, F.coalesce("m.module", F.lit("")).alias("module"), F.col("m.path").alias("module_path"), rest.alias("remainder")
     )
 
 
-def import_edges(imports: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
+def import_edges(imports: DataFrame, modules: DataFrame, files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(path, alias) to the file the import names and the name it has there.
 
     An absolute import is looked up as a module; a relative one as a file below the importing file's folder, one folder
     up for each further dot.
     """
-    absolute = imports.where("level = 0").join(modules.withColumnRenamed("path", "target"), "module").select(
-        "path", "alias", "original", "target", "seq"
+    keys = keys or []
+    absolute = imports.where("level = 0").join(modules.withColumnRenamed("path", "target"), [*keys, "module"]).select(
+        *keys, "path", "alias", "original", "target", "seq"
     )
     folder = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("path", "/")) - F.col("level")))
     base = F.concat_ws("/", F.array_join(folder, "/"), F.translate("module", ".", "/"))
     base = F.regexp_replace(base, "^/", "")
     places = F.array(F.struct(F.concat(base, F.lit(".py")).alias("target"), F.lit(0).alias("rank")),
                      F.struct(F.concat(base, F.lit("/__init__.py")).alias("target"), F.lit(1).alias("rank")))
-    relative = imports.where("level > 0").select("path", "alias", "original", "seq", F.inline(places))
-    relative = relative.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
-    relative = dedupe_first(relative, ["path", "alias", "seq"], [F.asc("rank")]).select("path", "alias", "original", "target", "seq")
-    return dedupe_first(absolute.unionByName(relative), ["path", "alias"], [F.asc("seq"), F.asc("target")]).drop("seq")
+    relative = imports.where("level > 0").select(*keys, "path", "alias", "original", "seq", F.inline(places))
+    relative = relative.join(files.select(*keys, F.col("path").alias("target")).distinct(), [*keys, "target"], "left_semi")
+    relative = dedupe_first(relative, [*keys, "path", "alias", "seq"], [F.asc("rank")]).select(*keys, "path", "alias", "original", "target", "seq")
+    return dedupe_first(absolute.unionByName(relative), [*keys, "path", "alias"], [F.asc("seq"), F.asc("target")]).drop("seq")
 
 
-def chase_reexports(starts: DataFrame, edges: DataFrame, defs: DataFrame, max_hops: int | None = None) -> DataFrame:
+def reexport_jumps(edges: DataFrame, top: DataFrame, max_hops: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Where each imported name is defined in the end: (path, name, end_path, end_name, visited), by pointer doubling.
+
+    A pointer that has met no definition yet takes over the pointer of the name it shows at, with the files that lie on
+    its way, so the way doubles each round: a chain of n hops takes about log2(n) joins. A way that meets a file twice
+    goes, which ends every cycle as soon as its way is longer than it.
+    """
+    own = [*(keys or []), "path", "name"]
+    defined = top.select(*own)
+    step = edges.where("target is not null").select(
+        *own[:-1], F.col("alias").alias("name"), F.col("target").alias("end_path"), F.col("original").alias("end_name"), F.array("path", "target").alias("visited")
+    )
+    step = step.join(defined, own, "left_anti").where("path <> end_path")
+    ends = defined.withColumnsRenamed({"path": "end_path", "name": "end_name"}).withColumn("done", F.lit(True))
+    jumps = cut_lineage(step.join(ends, [*own[:-2], "end_path", "end_name"], "left").withColumn("done", F.coalesce("done", F.lit(False))))
+    while not (moving := jumps.where("not done")).isEmpty():
+        onward = jumps.select(
+            *own[:-2], F.col("path").alias("end_path"), F.col("name").alias("end_name"), F.struct("end_path", "end_name", "visited", "done").alias("on")
+        )
+        way = F.concat("visited", F.slice("on.visited", 2, F.size("on.visited"))).alias("visited")
+        moved = moving.join(onward, [*own[:-2], "end_path", "end_name"]).select(*own, F.col("on.end_path"), F.col("on.end_name"), way, F.col("on.done"))
+        moved = moved.where(F.size("visited") == F.size(F.array_distinct("visited")))
+        if max_hops is not None:
+            moved = moved.where(F.size("visited") <= F.lit(max_hops) + F.when(F.col("done"), 1).otherwise(0))
+        jumps = cut_lineage(jumps.where("done").unionByName(moved))
+    return jumps.drop("done")
+
+
+def chase_reexports(starts: DataFrame, edges: DataFrame, defs: DataFrame, max_hops: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Follow each (request, path, name) through imports to its definition, however far unless the caller sets ``max_hops``.
 
-    A definition in the current file wins over an import; a file already visited ends the chase. Each hop is one join of the
-    requests that still move against the edge table, whatever their number; it ends when none moves.
+    A definition in the current file wins over an import; a file already visited ends the chase. The ways of all imported
+    names are found first (``reexport_jumps``), then each request takes one join, whatever its number of hops.
     """
-    top = cut_lineage(dedupe_first(defs, ["path", "name"], [F.asc("seq")]).select("path", "name", "kind", "line", "end_line"))
-    step = edges.where("target is not null").select("path", F.col("alias").alias("name"), "original", "target")
-    step = cut_lineage(step.join(top.select("path", "name"), ["path", "name"], "left_anti"))
-    front = cut_lineage(starts.select("request", "path", "name", F.array("path").alias("visited"), F.lit(0).alias("hops")))
-    met = front
-    while not front.isEmpty() and (max_hops is None or max_hops > 0):
-        moved = front.join(step, ["path", "name"]).where(~F.array_contains("visited", F.col("target")))
-        front = cut_lineage(moved.select(
-            "request", F.col("target").alias("path"), F.col("original").alias("name"),
-            F.array_append("visited", F.col("target")).alias("visited"), (F.col("hops") + 1).alias("hops"),
-        ))
-        met = met.unionByName(front)
-        max_hops = None if max_hops is None else max_hops - 1
-    return met.join(top, ["path", "name"]).select("request", "path", "name", "kind", "line", "end_line", "hops", "visited")
+    own = [*(keys or []), "path", "name"]
+    top = cut_lineage(dedupe_first(defs, own, [F.asc("seq")]).select(*own, "kind", "line", "end_line"))
+    jumps = reexport_jumps(edges, top, max_hops, keys)
+    asked = starts.select("request", *own)
+    here = asked.join(top.select(*own), own, "left_semi").withColumn("visited", F.array("path"))
+    there = asked.join(jumps, own).select("request", *own[:-2], F.col("end_path").alias("path"), F.col("end_name").alias("name"), "visited")
+    met = here.unionByName(there).withColumn("hops", F.size("visited") - 1)
+    if max_hops is not None:
+        met = met.where(F.col("hops") <= max_hops)
+    return met.join(top, own).select("request", *own, "kind", "line", "end_line", "hops", "visited")
 
 
 def resolve_symbols(
-    requests: DataFrame, modules: DataFrame, edges: DataFrame, defs: DataFrame
+    requests: DataFrame, modules: DataFrame, edges: DataFrame, defs: DataFrame, keys: list[str] | None = None
 ) -> DataFrame:
     """Place of each requested symbol: through its module, else as Owner.member, else by its bare name."""
-    wanted = requests.select("symbol").distinct()
-    split = longest_module_prefix(wanted, modules).where("module <> '' and remainder <> ''")
+    keys = keys or []
+    wanted = requests.select(*keys, "symbol").distinct()
+    split = longest_module_prefix(wanted, modules, keys).where("module <> '' and remainder <> ''")
     rest = F.split("remainder", r"\.")
-    chain = split.select("symbol", "module_path", "remainder", F.get(rest, F.lit(0)).alias("head"), F.get(rest, F.lit(1)).alias("member"))
+    chain = split.select(*keys, "symbol", "module_path", "remainder", F.get(rest, F.lit(0)).alias("head"), F.get(rest, F.lit(1)).alias("member"))
     heads = chase_reexports(
-        chain.select(F.col("symbol").alias("request"), F.col("module_path").alias("path"), F.col("head").alias("name")), edges, defs
+        chain.select(*keys, F.col("symbol").alias("request"), F.col("module_path").alias("path"), F.col("head").alias("name")), edges, defs, keys=keys
     ).withColumnRenamed("request", "symbol")
-    chained = chain.join(heads.drop("visited", "hops"), "symbol")
-    direct = chained.where("member is null").select("symbol", "path", "kind", "line", "end_line", F.lit("").alias("owner"), "remainder")
-    members = dedupe_first(defs.where("owner <> ''"), ["path", "owner", "name"], [F.asc("seq")])
-    inside = chained.where("member is not null and kind = 'class'").select("symbol", "path", "remainder", F.col("name").alias("owner"), F.col("member").alias("name"))
-    inside = inside.join(members.drop("seq"), ["path", "owner", "name"]).select("symbol", "path", "kind", "line", "end_line", "owner", "remainder")
+    chained = chain.join(heads.drop("visited", "hops"), [*keys, "symbol"])
+    direct = chained.where("member is null").select(*keys, "symbol", "path", "kind", "line", "end_line", F.lit("").alias("owner"), "remainder")
+    members = dedupe_first(defs.where("owner <> ''"), [*keys, "path", "owner", "name"], [F.asc("seq")])
+    inside = chained.where("member is not null and kind = 'class'").select(*keys, "symbol", "path", "remainder", F.col("name").alias("owner"), F.col("member").alias("name"))
+    inside = inside.join(members.drop("seq"), [*keys, "path", "owner", "name"]).select(*keys, "symbol", "path", "kind", "line", "end_line", "owner", "remainder")
     canonical = F.concat(F.translate(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", "."), F.lit("."), "remainder")
     by_module = direct.unionByName(inside).select(
-        "symbol", canonical.alias("canonical_name"), "path", "line", "end_line", "kind", "owner", F.lit(0).alias("stage")
+        *keys, "symbol", canonical.alias("canonical_name"), "path", "line", "end_line", "kind", "owner", F.lit(0).alias("stage")
     )
     low = paths.in_dirs(F.lower("path"), fixed.NON_PRODUCTION_DIRS).cast("int")
     # The best place of a name does not depend on who asks, so it is found first: requests then meet one row per name,
     # however many files define it.
     place = F.min(F.struct(low.alias("low"), "path", "seq", "line", "end_line", "kind")).alias("b")
-    best_member = members.groupBy("owner", "name").agg(place)
-    best_name = defs.groupBy("name").agg(place)
+    best_member = members.groupBy(*keys, "owner", "name").agg(place)
+    best_name = defs.groupBy(*keys, "name").agg(place)
     owned = wanted.where(F.col("symbol").contains(".")).select(
-        "symbol", last_part(F.regexp_extract("symbol", r"^(.*)\.", 1)).alias("owner"), last_part("symbol").alias("name")
+        *keys, "symbol", last_part(F.regexp_extract("symbol", r"^(.*)\.", 1)).alias("owner"), last_part("symbol").alias("name")
     )
-    by_owner = owned.join(best_member, ["owner", "name"]).select(
-        "symbol", F.concat("owner", F.lit("."), "name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", "owner", F.lit(1).alias("stage")
+    by_owner = owned.join(best_member, [*keys, "owner", "name"]).select(
+        *keys, "symbol", F.concat("owner", F.lit("."), "name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", "owner", F.lit(1).alias("stage")
     )
-    by_name = wanted.select("symbol", last_part("symbol").alias("name")).join(best_name, "name").select(
-        "symbol", F.col("name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", F.lit("").alias("owner"), F.lit(2).alias("stage")
+    by_name = wanted.select(*keys, "symbol", last_part("symbol").alias("name")).join(best_name, [*keys, "name"]).select(
+        *keys, "symbol", F.col("name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", F.lit("").alias("owner"), F.lit(2).alias("stage")
     )
     found = by_module.unionByName(by_owner).unionByName(by_name)
-    best = found.groupBy("symbol").agg(F.min(F.struct("stage", "path", "line", "end_line", "kind", "owner", "canonical_name")).alias("b"))
-    return best.select("symbol", "b.canonical_name", "b.path", "b.line", "b.end_line", "b.kind", "b.owner", "b.stage", F.lit(1.0).alias("confidence"))
+    best = found.groupBy(*keys, "symbol").agg(F.min(F.struct("stage", "path", "line", "end_line", "kind", "owner", "canonical_name")).alias("b"))
+    return best.select(*keys, "symbol", "b.canonical_name", "b.path", "b.line", "b.end_line", "b.kind", "b.owner", "b.stage", F.lit(1.0).alias("confidence"))
 
 
 def resolved_evidence(resolved: DataFrame, lines: DataFrame, before: int = 2, after: int = 5) -> DataFrame:

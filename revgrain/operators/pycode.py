@@ -243,10 +243,10 @@ def definitions(facts: DataFrame) -> DataFrame:
     )
 
 
-def import_targets(facts: DataFrame) -> DataFrame:
+def import_targets(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Imported names as (path, alias, original, module, level)."""
     return facts.where("fact = 'import' and module is not null").select(
-        "path", "alias", F.coalesce("name", "module").alias("original"), "module", "level", "seq"
+        *(keys or []), "path", "alias", F.coalesce("name", "module").alias("original"), "module", "level", "seq"
     )
 
 
