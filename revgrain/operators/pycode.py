@@ -113,16 +113,16 @@ def python_facts(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     return source.mapInPandas(run, FACTS)
 
 
-def symbols(facts: DataFrame) -> DataFrame:
+def symbols(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Functions, classes and imported names with their lines, and the plain names each function calls."""
     defined = facts.where("fact = 'symbol'").select(
-        "path", "name", F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"),
+        *(keys or []), "path", "name", F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"),
         F.col("line").alias("start_line"), "end_line", F.coalesce("owner", F.lit("")).alias("parent"),
         F.coalesce("calls", F.array().cast("array<string>")).alias("calls"),
     )
     full = F.when(F.col("kind") == "import", F.col("module")).otherwise(F.concat(F.coalesce("module", F.lit("")), F.lit("."), "name"))
     imported = facts.where("fact = 'import'").select(
-        "path", full.alias("name"), F.lit("import").alias("kind"), F.col("line").alias("start_line"), F.col("line").alias("end_line"),
+        *(keys or []), "path", full.alias("name"), F.lit("import").alias("kind"), F.col("line").alias("start_line"), F.col("line").alias("end_line"),
         F.lit("").alias("parent"), F.array().cast("array<string>").alias("calls"),
     )
     return defined.unionByName(imported)
@@ -236,10 +236,10 @@ def symbol_names(facts: DataFrame) -> DataFrame:
     return facts.where("fact = 'symbol'").groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("symbols"))
 
 
-def definitions(facts: DataFrame) -> DataFrame:
+def definitions(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Defined names with their owner class, in the order a breadth-first walk meets them."""
     return facts.where("fact = 'symbol'").select(
-        "path", "name", "kind", "line", "end_line", F.coalesce("owner", F.lit("")).alias("owner"), "seq"
+        *(keys or []), "path", "name", "kind", "line", "end_line", F.coalesce("owner", F.lit("")).alias("owner"), "seq"
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from revgrain.operators import graph, pycode
+from revgrain.operators import fact_store, graph, pycode
 from revgrain.plans.registry import query
-from revgrain.session import cut_lineage
+from revgrain.session import cut_lineage, shared_folder
 from revgrain.sources import corpus
 
 _GOOD = "(select * from v_code where not broken)"
@@ -117,6 +119,35 @@ def _(t):
     return graph.chase_reexports(starts, edges, defs).select("request", "path", "name", "line", "hops")
 
 
+# --- two repositories that share paths, modules, names and texts; b lacks every seventh file -------------------
+
+
+def _two(t):
+    both = t.code.withColumn("repo", F.lit("a")).unionByName(t.code.where("k % 7 <> 0").withColumn("repo", F.lit("b")))
+    store = f"{shared_folder(t.spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    fact_store.add_contents(both, store)
+    return both, cut_lineage(fact_store.facts_of(both, store, ["repo"]))
+
+
+_IN_B = "try_cast(regexp_extract(path, 'm(\\d+)\\.py$', 1) as bigint) % 7 <> 0"
+
+
+@query("python_symbols_by_repository", "X03", f"with s as ({_SYM}) select 'a' as repo, * from s union all select 'b', * from s where {_IN_B}")
+def _(t):
+    return pycode.symbols(_two(t)[1], ["repo"]).select("repo", "path", "name", "kind", "start_line")
+
+
+@query("chase_reexports_by_repository", "G01 G02 G04", """with g as (select 'a' as repo, k from v_code where not broken union all select 'b', k from v_code where not broken and k % 7 <> 0)
+  select repo, 'n' || k as request, 'src/pkg/m' || (k + 1) || '.py' as path, 'C' || (k + 1) as name, 4 as line, 1 as hops from g where (repo, k + 1) in (select (repo, k) from g)
+  union all select repo, 'f' || k, 'src/pkg/m' || (k + 3) || '.py', 'C' || (k + 3), 4, 2 from g where (repo, k + 2) in (select (repo, k) from g) and (repo, k + 3) in (select (repo, k) from g)""")
+def _(t):
+    both, facts = _two(t)
+    edges = graph.import_edges(pycode.import_targets(facts, ["repo"]), graph.module_index(both, ["repo"]), both.select("repo", "path"), ["repo"])
+    good = both.where("not broken")
+    starts = good.selectExpr("repo", "concat('n', k) as request", "path", "'Next' as name").unionByName(good.selectExpr("repo", "concat('f', k) as request", "path", "'Far' as name"))
+    return graph.chase_reexports(starts, cut_lineage(edges), pycode.definitions(facts, ["repo"]), keys=["repo"]).select("repo", "request", "path", "name", "line", "hops")
+
+
 def _first_named(word: str) -> str:
     return f"(select min('src/pkg/m' || k || '.py') from g where {word})"
 
