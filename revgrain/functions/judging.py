@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from revgrain import fixed
@@ -13,30 +15,62 @@ from revgrain.functions.patterns import col, python_strip, strings
 _FENCE_OPEN, _FENCE_CLOSE = r"^```(?:json)?\s*\n?", r"```\s*$"
 
 
-def _balanced(text: str | None) -> str | None:
-    """First brace-balanced object in a text; braces inside strings do not count."""
-    if text is None:
-        return None
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        ch = text[i]
-        if skip:
-            skip = False
-        elif ch == "\\":
-            skip = True
-        elif ch == '"':
-            quoted = not quoted
-        elif not quoted and ch in "{}":
-            depth += 1 if ch == "{" else -1
-            if depth == 0:
-                return text[start:i + 1]
-    return None
-
-
-@pandas_udf(StringType())
-def balanced_object(texts: pd.Series) -> pd.Series:
-    return texts.map(_balanced, na_action="ignore").astype(object)
+_MARKS = np.isin(np.arange(256), np.frombuffer(b'{}"\\', dtype=np.uint8))
+
+
+def _balanced(texts: pa.Array) -> list[str | None]:
+    """First brace-balanced object of each text, null where there is none; braces inside strings do not count.
+
+    All texts are scanned as one byte buffer. Only braces, quotes and backslashes are looked at: a mark behind an odd run of
+    backslashes is escaped, one behind an odd number of quotes is inside a string, and depths are sums of the braces left.
+    """
+    texts = texts.cast(pa.large_string())
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    bounds = np.concatenate(([0], ends))
+    data = np.frombuffer(b"".join(pc.fill_null(texts.cast(pa.large_binary()), b"").to_pylist()), dtype=np.uint8)
+    at = np.flatnonzero(_MARKS[data])
+    mark, k = data[at], np.arange(len(at))
+    # The first opening brace of each text, by its number among the marks; none: len(at).
+    opening = np.flatnonzero(mark == ord("{"))
+    first = np.append(opening, len(at))[np.searchsorted(at[opening], bounds[:-1])]
+    last = np.searchsorted(at, bounds[1:])
+    behind = np.zeros(len(at), dtype=bool)
+    behind[1:] = (mark[:-1] == ord("\\")) & (np.diff(at) == 1)
+    escaped = (k - np.maximum.accumulate(np.where(behind, 0, k)) if len(k) else k) % 2 == 1
+    escaped[first[first < last]] = False
+    quotes = np.concatenate(([0], np.cumsum((mark == ord('"')) & ~escaped)))
+    found: list[str | None] = [None] * len(texts)
+    here = np.flatnonzero(~null & (first < last))
+    if not len(here):
+        return found
+    # Marks ahead of a text's first brace belong to no object; the rest take the text they lie in.
+    owner = np.repeat(here, last[here] - first[here])
+    marks = np.concatenate([np.arange(a, b) for a, b in zip(first[here].tolist(), last[here].tolist())])
+    outside = ~escaped[marks] & ((quotes[marks] - quotes[first[owner]]) % 2 == 0)
+    step = np.where(outside, (mark[marks] == ord("{")).astype(np.int64) - (mark[marks] == ord("}")), 0)
+    depth = np.cumsum(step)
+    begin = np.flatnonzero(np.diff(owner, prepend=-1))
+    depth -= np.repeat(depth[begin] - step[begin], np.diff(np.append(begin, len(owner))))
+    closed = np.flatnonzero((step < 0) & (depth == 0))
+    rows, nearest = np.unique(owner[closed], return_index=True)
+    for row, c in zip(rows.tolist(), closed[nearest].tolist()):
+        found[row] = data[at[first[row]]:at[marks[c]] + 1].tobytes().decode()
+    return found
+
+
+#: Texts of about so many bytes are scanned together.
+_SCAN_BYTES = 1 << 22
+
+
+@arrow_udf(StringType())
+def balanced_object(texts: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _SCAN_BYTES)) + 1
+    found: list[str | None] = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        found += _balanced(texts.slice(a, b - a))
+    return pa.array(found, pa.string())
 
 
 def strip_fence(text: Column | str) -> Column:
@@ -45,18 +79,25 @@ def strip_fence(text: Column | str) -> Column:
 
 
 def _readable(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    """The text if it is one JSON value and nothing else. The parser stops behind a first value, so the text is put between
+    brackets, which must hold that value alone, and between braces, since the text itself might close the brackets."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = F.try_variant_get(alone, "$[0]", "variant").isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+    return F.when(single & held.isNotNull(), text)
 
 
 def recover_json(raw: Column | str) -> Column:
     """JSON text inside a model's answer: the answer itself, without its code fence, or its first balanced object.
 
-    The scan for balanced braces runs in Python, and only for texts the first two steps cannot read.
+    The scan for balanced braces runs in Python, and only for texts the first two steps cannot read; a second time where
+    a code fence is taken off.
     """
     text = python_strip(raw)
     direct = F.coalesce(_readable(text), _readable(strip_fence(text)))
-    rest = F.when(direct.isNull(), text)
-    return F.coalesce(direct, _readable(balanced_object(rest)), _readable(balanced_object(strip_fence(rest))))
+    rest, bare = F.when(direct.isNull(), text), strip_fence(text)
+    fenced = F.when(direct.isNull() & (bare != text), bare)
+    return F.coalesce(direct, _readable(balanced_object(rest)), _readable(balanced_object(fenced)))
 
 
 def rescued_objects(raw: Column | str) -> Column:
