@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table, one file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # A plain path must be a folder to a stream; a glob may name either.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{table}}}.parquet")
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
