@@ -7,9 +7,10 @@ derived from them (normalised callees, top modules, line kinds, listings) is Dat
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from revgrain.functions import text as text_functions
 from revgrain.functions.patterns import any_of
@@ -19,6 +20,8 @@ FACTS = (
     "path string, fact string, name string, kind string, line int, end_line int, owner string, base string, "
     "receiver string, module string, level int, alias string, seq int, calls array<string>"
 )
+#: Facts that a Python worker holds before it gives them out.
+FACT_ROWS = 4096
 HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD"]
 # Modules of the standard library that newer interpreters no longer ship.
 REMOVED_STDLIB = [
@@ -90,27 +93,39 @@ def _facts_of(path: str, source: str) -> Iterator[dict]:
             queue.append((child, *scope))
 
 
+def fact_schema():
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(DataType.fromDDL(FACTS))
+
+
+def fact_batches(texts: Iterable[tuple[str, str | None]], schema) -> Iterator:
+    """Facts of (path, text) in Arrow batches of ``FACT_ROWS``: a full batch goes out before the parse goes on."""
+    import pyarrow as pa
+
+    rows: list[dict] = []
+    for path, text in texts:
+        for fact in _facts_of(path, text or ""):
+            rows.append({"path": path, **fact})
+            if len(rows) == FACT_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def python_facts(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Fact rows of each (path, text). Longer files are left out, as are files of other languages."""
+    schema = fact_schema()
+
     def run(batches):
-        import pandas as pd
-
-        columns = [c.split()[0] for c in FACTS.split(", ")]
-        ints = {"line", "end_line", "level", "seq"}
-        for pdf in batches:
-            rows = [{"path": p, **fact} for p, s in zip(pdf["path"], pdf["text"]) for fact in _facts_of(p, s or "")]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ints:
-                out[c] = pd.to_numeric(out[c]).astype("Int32")
-            for c in set(columns) - ints - {"calls"}:
-                out[c] = out[c].astype(object).where(out[c].notna(), None)
-            out["calls"] = out["calls"].astype(object).where(out["calls"].notna(), None)
-            yield out
+        for batch in batches:
+            yield from fact_batches(((p.as_py(), s.as_py()) for p, s in zip(batch["path"], batch["text"])), schema)
 
     source = files.where(F.col("path").endswith(".py")).select("path", "text")
     if max_chars is not None:
         source = source.where(F.length("text") <= max_chars)
-    return source.mapInPandas(run, FACTS)
+    return source.mapInArrow(run, FACTS)
 
 
 def symbols(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
