@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revgrain.operators import pycode
+from revgrain.session import shuffled
 
 _FACT_COLUMNS = [c.split()[0] for c in pycode.FACTS.split(", ") if not c.startswith("path ")]
 _FACTS = pycode.FACTS.replace("path string", "content string") + ", run string"
@@ -38,7 +39,7 @@ def add_contents(files: DataFrame, store: str) -> DataFrame:
     """
     spark, run = files.sparkSession, uuid.uuid4().hex
     seen = _read(spark, f"{store}/contents", _CONTENTS).select("content")
-    texts = _sources(files).groupBy("content").agg(F.first("text").alias("text")).join(seen, "content", "left_anti")
+    texts = _sources(files).groupBy("content").agg(F.first("text").alias("text")).join(shuffled(seen), "content", "left_anti")
     texts.write.parquet(f"{store}/texts/run={run}")
     # Read back, so that the parse and the list of contents see the same rows.
     texts = spark.read.schema("content string, text string").parquet(f"{store}/texts/run={run}")
@@ -54,4 +55,4 @@ def facts_of(files: DataFrame, store: str, keys: list[str] | None = None) -> Dat
     done = F.broadcast(_read(spark, f"{store}/contents", _CONTENTS).select("run").distinct())  # one row a run
     facts = _read(spark, f"{store}/facts", _FACTS).join(done, "run", "left_semi").drop("run")
     places = _sources(files.select(*(keys or []), "path", "text")).drop("text")
-    return places.join(facts, "content").select(*(keys or []), "path", *_FACT_COLUMNS)
+    return places.join(shuffled(facts), "content").select(*(keys or []), "path", *_FACT_COLUMNS)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revgrain import fixed
 from revgrain.functions import paths, text
 from revgrain.functions.patterns import UNICODE, last_part
+from revgrain.operators.matching import BROADCAST_KEYS
 from revgrain.operators.ranking import dedupe_first, top_per_key
-from revgrain.session import cut_lineage
+from revgrain.session import cut_lineage, shuffled
 
 ROOTS = ["src", "lib", "python"]
 
 
+def few_or_shuffled(keys: DataFrame) -> DataFrame:
+    """Distinct keys for a semi join: a broadcast if they are counted to be few, which also spares hot keys a shuffle."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else shuffled(keys)
+
+
 def name_index(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Distinct (name, path) of lines that define a function or class. ``keys``, here and below, keep repositories apart."""
     name = F.regexp_extract("line", UNICODE + r"^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
@@ -44,9 +51,9 @@ def longest_module_prefix(symbols: DataFrame, modules: DataFrame, keys: list[str
         *own, "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
     )
     prefixes = prefixes.withColumn("module", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "."))
-    found = prefixes.join(modules, [*own[:-1], "module"]).groupBy(*own).agg(F.max_by(F.struct("module", "path", "n"), "n").alias("m"))
+    found = prefixes.join(shuffled(modules), [*own[:-1], "module"]).groupBy(*own).agg(F.max_by(F.struct("module", "path", "n"), "n").alias("m"))
     rest = F.array_join(F.slice("parts", F.coalesce("m.n", F.lit(0)) + 1, F.size("parts")), ".")
-    return symbols.select(*own).distinct().withColumn("parts", parts).join(found, own, "left").select(
+    return symbols.select(*own).distinct().withColumn("parts", parts).join(shuffled(found), own, "left").select(
         *own, F.coalesce("m.module", F.lit("")).alias("module"), F.col("m.path").alias("module_path"), rest.alias("remainder")
     )
 
@@ -58,7 +65,7 @@ def import_edges(imports: DataFrame, modules: DataFrame, files: DataFrame, keys:
     up for each further dot.
     """
     keys = keys or []
-    absolute = imports.where("level = 0").join(modules.withColumnRenamed("path", "target"), [*keys, "module"]).select(
+    absolute = imports.where("level = 0").join(shuffled(modules.withColumnRenamed("path", "target")), [*keys, "module"]).select(
         *keys, "path", "alias", "original", "target", "seq"
     )
     folder = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("path", "/")) - F.col("level")))
@@ -67,7 +74,7 @@ def import_edges(imports: DataFrame, modules: DataFrame, files: DataFrame, keys:
     places = F.array(F.struct(F.concat(base, F.lit(".py")).alias("target"), F.lit(0).alias("rank")),
                      F.struct(F.concat(base, F.lit("/__init__.py")).alias("target"), F.lit(1).alias("rank")))
     relative = imports.where("level > 0").select(*keys, "path", "alias", "original", "seq", F.inline(places))
-    relative = relative.join(files.select(*keys, F.col("path").alias("target")).distinct(), [*keys, "target"], "left_semi")
+    relative = relative.join(shuffled(files.select(*keys, F.col("path").alias("target")).distinct()), [*keys, "target"], "left_semi")
     relative = dedupe_first(relative, [*keys, "path", "alias", "seq"], [F.asc("rank")]).select(*keys, "path", "alias", "original", "target", "seq")
     return dedupe_first(absolute.unionByName(relative), [*keys, "path", "alias"], [F.asc("seq"), F.asc("target")]).drop("seq")
 
@@ -84,15 +91,15 @@ def reexport_jumps(edges: DataFrame, top: DataFrame, max_hops: int | None = None
     step = edges.where("target is not null").select(
         *own[:-1], F.col("alias").alias("name"), F.col("target").alias("end_path"), F.col("original").alias("end_name"), F.array("path", "target").alias("visited")
     )
-    step = step.join(defined, own, "left_anti").where("path <> end_path")
+    step = step.join(shuffled(defined), own, "left_anti").where("path <> end_path")
     ends = defined.withColumnsRenamed({"path": "end_path", "name": "end_name"}).withColumn("done", F.lit(True))
-    jumps = cut_lineage(step.join(ends, [*own[:-2], "end_path", "end_name"], "left").withColumn("done", F.coalesce("done", F.lit(False))))
+    jumps = cut_lineage(step.join(shuffled(ends), [*own[:-2], "end_path", "end_name"], "left").withColumn("done", F.coalesce("done", F.lit(False))))
     while not (moving := jumps.where("not done")).isEmpty():
         onward = jumps.select(
             *own[:-2], F.col("path").alias("end_path"), F.col("name").alias("end_name"), F.struct("end_path", "end_name", "visited", "done").alias("on")
         )
         way = F.concat("visited", F.slice("on.visited", 2, F.size("on.visited"))).alias("visited")
-        moved = moving.join(onward, [*own[:-2], "end_path", "end_name"]).select(*own, F.col("on.end_path"), F.col("on.end_name"), way, F.col("on.done"))
+        moved = moving.join(shuffled(onward), [*own[:-2], "end_path", "end_name"]).select(*own, F.col("on.end_path"), F.col("on.end_name"), way, F.col("on.done"))
         moved = moved.where(F.size("visited") == F.size(F.array_distinct("visited")))
         if max_hops is not None:
             moved = moved.where(F.size("visited") <= F.lit(max_hops) + F.when(F.col("done"), 1).otherwise(0))
@@ -110,12 +117,12 @@ def chase_reexports(starts: DataFrame, edges: DataFrame, defs: DataFrame, max_ho
     top = cut_lineage(dedupe_first(defs, own, [F.asc("seq")]).select(*own, "kind", "line", "end_line"))
     jumps = reexport_jumps(edges, top, max_hops, keys)
     asked = starts.select("request", *own)
-    here = asked.join(top.select(*own), own, "left_semi").withColumn("visited", F.array("path"))
-    there = asked.join(jumps, own).select("request", *own[:-2], F.col("end_path").alias("path"), F.col("end_name").alias("name"), "visited")
+    here = asked.join(shuffled(top.select(*own)), own, "left_semi").withColumn("visited", F.array("path"))
+    there = asked.join(shuffled(jumps), own).select("request", *own[:-2], F.col("end_path").alias("path"), F.col("end_name").alias("name"), "visited")
     met = here.unionByName(there).withColumn("hops", F.size("visited") - 1)
     if max_hops is not None:
         met = met.where(F.col("hops") <= max_hops)
-    return met.join(top, own).select("request", *own, "kind", "line", "end_line", "hops", "visited")
+    return met.join(shuffled(top), own).select("request", *own, "kind", "line", "end_line", "hops", "visited")
 
 
 def resolve_symbols(
@@ -130,11 +137,11 @@ def resolve_symbols(
     heads = chase_reexports(
         chain.select(*keys, F.col("symbol").alias("request"), F.col("module_path").alias("path"), F.col("head").alias("name")), edges, defs, keys=keys
     ).withColumnRenamed("request", "symbol")
-    chained = chain.join(heads.drop("visited", "hops"), [*keys, "symbol"])
+    chained = chain.join(shuffled(heads.drop("visited", "hops")), [*keys, "symbol"])
     direct = chained.where("member is null").select(*keys, "symbol", "path", "kind", "line", "end_line", F.lit("").alias("owner"), "remainder")
     members = dedupe_first(defs.where("owner <> ''"), [*keys, "path", "owner", "name"], [F.asc("seq")])
     inside = chained.where("member is not null and kind = 'class'").select(*keys, "symbol", "path", "remainder", F.col("name").alias("owner"), F.col("member").alias("name"))
-    inside = inside.join(members.drop("seq"), [*keys, "path", "owner", "name"]).select(*keys, "symbol", "path", "kind", "line", "end_line", "owner", "remainder")
+    inside = inside.join(shuffled(members.drop("seq")), [*keys, "path", "owner", "name"]).select(*keys, "symbol", "path", "kind", "line", "end_line", "owner", "remainder")
     canonical = F.concat(F.translate(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", "."), F.lit("."), "remainder")
     by_module = direct.unionByName(inside).select(
         *keys, "symbol", canonical.alias("canonical_name"), "path", "line", "end_line", "kind", "owner", F.lit(0).alias("stage")
@@ -148,10 +155,10 @@ def resolve_symbols(
     owned = wanted.where(F.col("symbol").contains(".")).select(
         *keys, "symbol", last_part(F.regexp_extract("symbol", r"^(.*)\.", 1)).alias("owner"), last_part("symbol").alias("name")
     )
-    by_owner = owned.join(best_member, [*keys, "owner", "name"]).select(
+    by_owner = owned.join(shuffled(best_member), [*keys, "owner", "name"]).select(
         *keys, "symbol", F.concat("owner", F.lit("."), "name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", "owner", F.lit(1).alias("stage")
     )
-    by_name = wanted.select(*keys, "symbol", last_part("symbol").alias("name")).join(best_name, [*keys, "name"]).select(
+    by_name = wanted.select(*keys, "symbol", last_part("symbol").alias("name")).join(shuffled(best_name), [*keys, "name"]).select(
         *keys, "symbol", F.col("name").alias("canonical_name"), "b.path", "b.line", "b.end_line", "b.kind", F.lit("").alias("owner"), F.lit(2).alias("stage")
     )
     found = by_module.unionByName(by_owner).unionByName(by_name)
@@ -167,7 +174,7 @@ def resolved_evidence(resolved: DataFrame, lines: DataFrame, before: int = 2, af
         F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - before), last + after)).alias("line_no"),
     )
     numbered = F.concat(F.col("line_no").cast("string"), F.lit("| "), "text")
-    got = wanted.join(lines.select("path", "line_no", F.col("line").alias("text")), ["path", "line_no"])
+    got = wanted.join(shuffled(lines.select("path", "line_no", F.col("line").alias("text"))), ["path", "line_no"])
     per = got.groupBy("symbol", "path", "line", "end_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", numbered.alias("t")))), lambda x: x["t"]), "\n").alias("snippet")
     )
@@ -180,7 +187,7 @@ def callee_edges(calls: DataFrame, defs: DataFrame, expected: DataFrame | None =
 
     The join is a semi join, so a name with many definitions does not multiply its calls.
     """
-    known = defs.select(F.col("name").alias("last")).distinct()
+    known = few_or_shuffled(defs.select(F.col("name").alias("last")).distinct())
     edges = calls.where("callee <> ''").withColumn("last", last_part("callee")).join(known, "last", "left_semi")
     if expected is None:
         return edges.drop("last")
@@ -193,12 +200,19 @@ def caller_edges(lines: DataFrame, names: DataFrame, radius: int = 5) -> DataFra
     """Call sites of each name in production files, leaving out places within ``radius`` lines of its definition."""
     source = lines.where(F.col("path").endswith(".py") & ~paths.hidden("path") & ~paths.in_dirs(F.lower("path"), fixed.NON_PRODUCTION_DIRS))
     source = source.where(F.col("line").contains("("))
+    asked = few_or_shuffled(names.select("name").distinct())
     called = F.array_distinct(F.regexp_extract_all("line", F.lit(UNICODE + r"\b(\w+)\s*\("), F.lit(1)))
-    sites = source.select("path", "line_no", "line", F.explode(called).alias("name"))
-    sites = sites.join(names.select("name").distinct(), "name", "left_semi")
+    sites = source.select("path", "line_no", "line", F.explode(called).alias("name")).join(asked, "name", "left_semi")
     defined = source.select("path", "line_no", F.regexp_extract("line", UNICODE + r"\bdef\s+(\w+)\s*\(", 1).alias("name")).where("name <> ''")
-    near = defined.select("path", "name", F.explode(F.sequence(F.col("line_no") - radius, F.col("line_no") + radius)).alias("line_no")).distinct()
-    return sites.join(near, ["path", "name", "line_no"], "left_anti")
+    # Sites and definitions of a name in a file meet in the order of their lines, each site with the nearest definition on either side.
+    marks = sites.withColumn("at", F.lit(None).cast("int")).unionByName(
+        defined.join(asked, "name", "left_semi").withColumn("at", F.col("line_no")), allowMissingColumns=True
+    ).withColumn("site", F.col("at").isNull())
+    place = Window.partitionBy("path", "name")
+    before, after = F.last("at", True).over(place.orderBy("line_no")), F.last("at", True).over(place.orderBy(F.desc("line_no")))
+    near = F.coalesce(F.col("line_no") - F.col("before") <= radius, F.lit(False)) | F.coalesce(F.col("after") - F.col("line_no") <= radius, F.lit(False))
+    marks = marks.withColumn("before", before).withColumn("after", after)
+    return marks.where(F.col("site") & ~near).select("name", "path", "line_no", "line")
 
 
 def discover_callees(evidence: DataFrame, known: DataFrame, per_task: int = 3) -> DataFrame:

@@ -53,3 +53,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores where the scan has fewer partitions than that; a large input is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast it: the size of exploded or parsed rows is guessed from the files they come from, far too low."""
+    return df.hint("merge")
