@@ -31,10 +31,14 @@ def target_slots(relations: DataFrame, standalone: DataFrame | None = None) -> D
     The nodes of a trace need definition and implementation; its edges are separate (``relation_edges``).
     """
     slots = F.when(F.col("type") == "trace_call_chain", strings(fixed.NODE_SLOTS)).otherwise(questions.expand_relation("type"))
-    rows = relations.select("query_id", F.explode("subjects").alias("symbol"), slots.alias("slots"))
+    bits = lambda c: sum((F.when(F.array_contains(c, s), 1 << i).otherwise(0) for i, s in enumerate(fixed.SLOT_ORDER)), F.lit(0))
+    rows = relations.select("query_id", bits(slots).alias("bits"), F.explode("subjects").alias("symbol"))
     if standalone is not None:
-        rows = rows.unionByName(standalone.select("query_id", "symbol", strings(fixed.NODE_SLOTS).alias("slots")))
-    return rows.select("query_id", "symbol", F.explode("slots").alias("slot")).distinct()
+        rows = rows.unionByName(standalone.select("query_id", "symbol", bits(strings(fixed.NODE_SLOTS)).alias("bits")))
+    # One number a symbol goes through the shuffle, not a row for each of its slots.
+    needed = rows.groupBy("query_id", "symbol").agg(F.bit_or("bits").alias("bits"))
+    named = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) > 0, s) for i, s in enumerate(fixed.SLOT_ORDER)]))
+    return needed.select("query_id", "symbol", F.explode(named).alias("slot"))
 
 
 def fill_slots(tasks: DataFrame, evidence: DataFrame, targets: DataFrame) -> DataFrame:
