@@ -40,13 +40,13 @@ def _(t):
 
 @query("read_corpus", "S01", "select concat('d', doc_id) as name, octet_length(encode(text)) as length, text from documents")
 def _(t):
-    # Every text is written as a plain file first and then read back as a corpus, one folder per document.
+    # Every text is written as a plain file first and then read back as a corpus.
     folder = _folder(t)
-    rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("value"))
-    rows.write.partitionBy("name").option("lineSep", chr(0)).text(folder)
+    rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text")
+    corpus.write_files(rows, folder)
     found = corpus.read_corpus(t.spark, folder, [".txt"])
     text = F.regexp_replace("text", "\\x00$", "")
-    return found.select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"), (F.col("length") - 1).alias("length"), text.alias("text"))
+    return found.select(corpus.file_name("path").alias("name"), (F.col("length") - 1).alias("length"), text.alias("text"))
 
 
 def _stored_runs(t):

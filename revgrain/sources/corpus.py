@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from revgrain import fixed
 from revgrain.functions import paths
 from revgrain.functions.patterns import text_lines
 
+#: Name of the file of rows without a name, as Spark's writer calls it.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _any_case(extension: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
@@ -29,6 +37,43 @@ def read_corpus(spark: SparkSession, path: str, extensions: list[str], max_bytes
     return files.select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Plain files below ``folder`` of (name, text), one a name and partition; each text stands before an end mark, a zero byte.
+
+    In a folder of the local or a mounted file system tasks write to the places where the files stay, one folder a partition:
+    Spark's own writer, which other file systems get, takes a folder, check sums and moves for every file. A task that is run
+    again writes the same files again.
+    """
+    url = urlsplit(folder)
+    if url.scheme not in ("", "file"):
+        files.select("name", "text").write.partitionBy("name").option("lineSep", chr(0)).text(folder)
+        return
+    root = unquote(url.path) if url.scheme else folder
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, last, out = f"{root}/{TaskContext.get().partitionId()}", None, None
+        os.makedirs(place, exist_ok=True)
+        for batch in batches:
+            for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist()):
+                if out is None or name != last:
+                    if out is not None:
+                        out.close()
+                    last, out = name, open(f"{place}/name={NO_NAME if name is None else name}.txt", "wb")
+                out.write((text or "").encode() + b"\0")
+        if out is not None:
+            out.close()
+        yield from ()
+
+    files.select("name", "text").sortWithinPartitions("name").mapInArrow(write, "n long").count()
+
+
+def file_name(path: Column | str) -> Column:
+    """The name that ``write_files`` gave a file."""
+    return F.regexp_extract(path, r"name=([^/]*?)(?:/part-[^/]*)?\.txt$", 1)
+
+
 def exclude_dirs(files: DataFrame, dirs: list[str], hidden: bool = False, any_case: bool = True) -> DataFrame:
     """Drop files with an excluded folder (or, on request, a hidden one) in their path."""
     path = F.lower("path") if any_case else F.col("path")
