@@ -115,11 +115,15 @@ def _get(v: Column, path: str) -> Column:
 
 def _kind(v: Column) -> Column:
     """string, integer, number, boolean, array, object or null; SQL null if the field is missing."""
-    s = F.schema_of_variant(v)
-    return (
+    return _once(F.schema_of_variant(v), lambda s: (
         F.when(s == "STRING", "string").when(s == "BIGINT", "integer").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
         .when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s.isNotNull(), "number")
-    )
+    ))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` refers to it; nothing else shares work inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _parsed(json_text: Column | str, check) -> Column:
@@ -151,25 +155,31 @@ def schema_errors(json_text: Column | str) -> Column:
 
 def _judgment_faults(v: Column, extra: Column) -> Column:
     missing = F.array_compact(F.array(*[F.when(_get(v, f).isNull(), F.lit(f"缺少必需字段: {f}")) for f in _JUDGMENT_FIELDS]))
-    found = []
-    for f, want in _JUDGMENT_FIELDS.items():
-        got = _kind(_get(v, f))
-        fits = (got == want) | ((got == "boolean") if want == "integer" else F.lit(False))
-        message = F.concat(F.lit(f"{f}: 期望 {want}，实际 "), _name(got))
-        if want == "boolean":
-            shown = F.when(got == "string", F.concat(F.lit("'"), F.try_variant_get(v, f"$.{f}", "string"), F.lit("'"))).otherwise(F.try_variant_get(v, f"$.{f}", "string"))
-            message = F.concat(message, F.lit("（当前值: "), F.substring(F.coalesce(shown, F.lit("None")), 1, 80), F.lit("）"))
-        found.append(F.when(~fits, message))
-        if f in _ENUMS:
-            value = F.try_variant_get(v, f"$.{f}", "string")
-            found.append(F.when((got == "string") & ~value.isin(_ENUMS[f]), F.concat(F.lit(f"{f}: '"), value, F.lit(f"' 不在合法值 {_ENUMS[f]} 中"))))
-        if want == "integer":
-            number = F.try_variant_get(v, f"$.{f}", "double")
-            numeric = got.isin("integer", "number")
-            text = F.try_variant_get(v, f"$.{f}", "string")
-            found.append(F.when(numeric & (number < 0), F.concat(F.lit(f"{f}: "), text, F.lit(" < 最小值 0"))))
-            found.append(F.when(numeric & (number > 2), F.concat(F.lit(f"{f}: "), text, F.lit(" > 最大值 2"))))
-    return F.when(F.size(missing) > 0, missing).otherwise(F.concat(F.array_compact(F.array(*found)), extra))
+    faults = [_field_faults(v, f, want) for f, want in _JUDGMENT_FIELDS.items()]
+    return F.when(F.size(missing) > 0, missing).otherwise(F.concat(F.array_compact(F.concat(*faults)), extra))
+
+
+def _field_faults(v: Column, f: str, want: str) -> Column:
+    return _once(_kind(_get(v, f)), lambda got: F.array(*_kind_faults(v, f, want, got)))
+
+
+def _kind_faults(v: Column, f: str, want: str, got: Column) -> list[Column]:
+    fits = (got == want) | ((got == "boolean") if want == "integer" else F.lit(False))
+    message = F.concat(F.lit(f"{f}: 期望 {want}，实际 "), _name(got))
+    if want == "boolean":
+        shown = F.when(got == "string", F.concat(F.lit("'"), F.try_variant_get(v, f"$.{f}", "string"), F.lit("'"))).otherwise(F.try_variant_get(v, f"$.{f}", "string"))
+        message = F.concat(message, F.lit("（当前值: "), F.substring(F.coalesce(shown, F.lit("None")), 1, 80), F.lit("）"))
+    found = [F.when(~fits, message)]
+    if f in _ENUMS:
+        value = F.try_variant_get(v, f"$.{f}", "string")
+        found.append(F.when((got == "string") & ~value.isin(_ENUMS[f]), F.concat(F.lit(f"{f}: '"), value, F.lit(f"' 不在合法值 {_ENUMS[f]} 中"))))
+    if want == "integer":
+        number = F.try_variant_get(v, f"$.{f}", "double")
+        numeric = got.isin("integer", "number")
+        text = F.try_variant_get(v, f"$.{f}", "string")
+        found.append(F.when(numeric & (number < 0), F.concat(F.lit(f"{f}: "), text, F.lit(" < 最小值 0"))))
+        found.append(F.when(numeric & (number > 2), F.concat(F.lit(f"{f}: "), text, F.lit(" > 最大值 2"))))
+    return found
 
 
 def _elements(v: Column, path: str) -> Column:

@@ -60,8 +60,9 @@ def call_model(
 
         for pdf in batches:
             rows = []
+            keys, asked = list(pdf[key]), list(pdf["prompt"])
             for start in range(0, len(pdf), batch):
-                part = pdf.iloc[start:start + batch]
+                part = asked[start:start + batch]
                 raw, tries, error = [None] * len(part), [0] * len(part), "empty response"
                 for _ in range(retries + 1):
                     todo = [k for k, r in enumerate(raw) if not r]
@@ -70,12 +71,12 @@ def call_model(
                     for k in todo:
                         tries[k] += 1
                     try:
-                        answers = list(model([part["prompt"].iloc[k] for k in todo]))
+                        answers = list(model([part[k] for k in todo]))
                         for k, answer in zip(todo, answers):
                             raw[k] = answer
                     except Exception as exc:  # noqa: BLE001 - a failed call becomes a row
                         error = str(exc) or type(exc).__name__
-                rows += [(k, r, n, error if not r else None) for k, r, n in zip(part[key], raw, tries)]
+                rows += [(k, r, n, error if not r else None) for k, r, n in zip(keys[start:start + batch], raw, tries)]
             yield pd.DataFrame(rows, columns=[key, "raw", "attempts", "error"])
 
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, raw string, attempts int, error string")
