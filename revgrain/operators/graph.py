@@ -12,6 +12,8 @@ from revgrain.operators.ranking import dedupe_first, top_per_key
 from revgrain.session import cut_lineage, shuffled
 
 ROOTS = ["src", "lib", "python"]
+#: Pairs of a start and a node that one task makes distinct.
+PAIRS = 1 << 20
 
 
 def few_or_shuffled(keys: DataFrame) -> DataFrame:
@@ -235,11 +237,20 @@ def discover_callees(evidence: DataFrame, known: DataFrame, per_task: int = 3) -
     return top_per_key(rows, ["query_id", "task_id"], [F.asc("first.seq"), F.asc("first.pos"), F.asc("symbol")], per_task, "rank").drop("first")
 
 
+def _tasks(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> int:
+    """Tasks for the pairs one step from ``frontier`` and those seen, so that none holds many more than ``PAIRS``."""
+    ways = frontier.groupBy(F.col("node").alias("source")).agg(F.count("*").alias("n"))
+    out = ways.join(links.groupBy("source").agg(F.count("*").alias("m")), "source").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    least = int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(out + seen.count()) // PAIRS))
+
+
 def call_graph(edges: DataFrame, starts: DataFrame, depth: int = 2, per_node: int | None = None) -> DataFrame:
     """Nodes reachable from each start within ``depth`` calls, with their smallest depth.
 
-    edges: source, target. starts: start. Visited pairs drop out by an anti join, and every level is written to the
-    shared checkpoint folder, so a lost executor repeats one level at most.
+    edges: source, target. starts: start. Visited pairs keep their smaller depth in one aggregate with the new ones, and every
+    level is written to the shared checkpoint folder, so a lost executor repeats one level at most. Tasks grow in number with
+    the pairs, so their memory doesn't grow.
     """
     links = edges.select("source", "target").distinct()
     if per_node:
@@ -247,7 +258,9 @@ def call_graph(edges: DataFrame, starts: DataFrame, depth: int = 2, per_node: in
     seen = starts.select("start", F.col("start").alias("node")).distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.select("start", F.col("node").alias("source")).join(links, "source").select("start", F.col("target").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        step = frontier.select("start", F.col("node").alias("source")).join(links, "source").select("start", F.col("target").alias("node"))
+        met = step.withColumn("depth", F.lit(level)).unionByName(seen.where("node is not null"))
+        met = met.repartition(_tasks(frontier, links, seen), "start", "node")
+        frontier = cut_lineage(met.groupBy("start", "node").agg(F.min("depth").alias("depth")).where(F.col("depth") == level))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
