@@ -125,13 +125,15 @@ def grounding_summary(samples: DataFrame, grounded: DataFrame) -> DataFrame:
 def citations_strict(samples: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every citation is the first line of some evidence; an answer without citations does not count."""
     places = evidence.select("sample_id", norm_path("file").alias("file"), F.col("start_line").cast("bigint").alias("line"))
-    places = places.distinct().withColumn("hit", F.lit(True))
-    per = citations.join(places, ["sample_id", "file", "line"], "left").groupBy("sample_id").agg(
-        F.bool_and(F.coalesce("hit", F.lit(False))).alias("all_hit")
-    )
-    return samples.select("sample_id").distinct().join(per, "sample_id", "left").select(
-        "sample_id", F.coalesce("all_hit", F.lit(False)).alias("grounded")
-    )
+    # Citations and places of equal key meet in one aggregate, without sorting either side.
+    key = ["sample_id", "file", "line"]
+    marks = citations.select(*key, F.lit(1).alias("kind")).unionByName(places.dropna(subset=key).withColumn("kind", F.lit(2)))
+    kinds = marks.groupBy(*key).agg(F.bit_or("kind").alias("kinds")).where("kinds <> 2 and sample_id is not null")
+    # So do samples and their citations: 1 is a sample, 2 a hit, 4 a miss.
+    asked = samples.select("sample_id", F.lit(1).alias("mark"))
+    per = asked.unionByName(kinds.select("sample_id", F.when(F.col("kinds") == 3, 2).otherwise(4).alias("mark")))
+    per = per.groupBy("sample_id").agg(F.bit_or("mark").alias("marks")).where(F.col("marks").bitwiseAND(1) == 1)
+    return per.select("sample_id", (F.col("marks") == 3).alias("grounded"))
 
 
 def expected_file_hit(expected: Column, found: Column) -> Column:
