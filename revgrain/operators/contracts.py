@@ -48,9 +48,9 @@ def fill_slots(tasks: DataFrame, evidence: DataFrame, targets: DataFrame) -> Dat
     Call edges count as verified only; other sources count as plain evidence as well.
     """
     rows = evidence.withColumn("slot", questions.source_slot("source")).where(F.col("slot").isNotNull())
-    rows = rows.select("query_id", "task_id", "ev_id", "slot").join(tasks, ["query_id", "task_id"]).select("query_id", "ev_id", "slot", "target").distinct()
-    wanted, symbols = tasks.select("query_id", "target").distinct(), targets.select("query_id", "symbol").distinct()
-    filled = rows.join(contained(wanted, symbols, ["query_id"], "target", "symbol", both=True), ["query_id", "target"])
+    # Symbols meet the tasks first, which are narrow; evidence is sent to its task once.
+    met = contained(tasks.select("query_id", "task_id", "target"), targets, ["query_id"], "target", "symbol", both=True)
+    filled = rows.select("query_id", "task_id", "ev_id", "slot").join(met.select("query_id", "task_id", "symbol"), ["query_id", "task_id"])
     return filled.select("query_id", "symbol", "slot", "ev_id").distinct().withColumn(
         "plain", ~F.col("slot").isin(EDGE_SLOTS)
     )

@@ -49,8 +49,12 @@ def contained(rows: DataFrame, values: DataFrame, keys: list[str], text: str, va
     text. ``rows`` must not have a column named like the value.
     """
     some = F.expr(" and ".join(f"`{k}` is not null" for k in keys))
-    values = values.where(some & F.col(value).isNotNull()).select(*keys, value).distinct()
+    values = values.where(some & F.col(value).isNotNull()).select(*keys, value)
     rows = rows.where(some & F.col(text).isNotNull())
+    # Counting rows is far cheaper than counting different values, and mostly settles it.
+    if values.groupBy(*keys).count().where(F.col("count") > FEW).isEmpty():
+        return _tested(rows, values, keys, text, value, once, both)
+    values = values.distinct()
     many = values.groupBy(*keys).count().where(F.col("count") > FEW).select(*keys)
     n_many = many.limit(BROADCAST_KEYS + 1).count()
     if not n_many:
@@ -67,7 +71,7 @@ def contained(rows: DataFrame, values: DataFrame, keys: list[str], text: str, va
 
 def _tested(rows: DataFrame, values: DataFrame, keys: list[str], text: str, value: str, once: str | None, both: bool) -> DataFrame:
     """Matches of keys that have ``FEW`` values at most."""
-    packed = values.groupBy(*keys).agg(F.collect_list(value).alias("_values"))
+    packed = values.groupBy(*keys).agg(F.collect_set(value).alias("_values"))
     test = lambda v: F.contains(F.col(text), v) | F.contains(v, F.col(text)) if both else F.contains(F.col(text), v)
     hits = F.filter("_values", test)
     hits = F.slice(hits, 1, 1) if once == "row" else hits
