@@ -97,17 +97,22 @@ def minimum_contract(slots: DataFrame, questions_: DataFrame, claims: DataFrame
     slots as for ``slot_status``. questions_: query_id, question_type. claims: query_id, claim_index, covered. Targets
     are reduced to flags first, then queries; both steps combine before the shuffle.
     """
-    def has(slot: str, column: Column | None = None) -> Column:
-        test = column if column is not None else (F.col("evidence") + F.col("verified")) > 0
-        return F.bool_or((F.col("slot") == slot) & test)
-
-    verified = F.col("verified") > 0
-    status = slot_status(slots)
-    per_target = status.groupBy("query_id", "symbol").agg(
-        has("definition").alias("d"), has("implementation").alias("i"), has("candidate_reference").alias("r"),
-        has("candidate_reference", F.col("evidence") > 0).alias("ref"), has("verified_caller_edge", verified).alias("caller"),
-        F.sum(F.when(F.col("slot").isin(EDGE_SLOTS), F.col("verified")).otherwise(0)).alias("edges"), F.bool_or("closed").alias("any"),
+    slot, found, verified = F.col("slot"), F.col("evidence") > 0, F.col("verified") > 0
+    some = (F.col("evidence") + F.col("verified")) > 0
+    closed = verified | (slot.isin(PLAIN_SLOTS) & found)
+    tests = {
+        "d": (slot == "definition") & some, "i": (slot == "implementation") & some, "r": (slot == "candidate_reference") & some,
+        "ref": (slot == "candidate_reference") & found, "caller": (slot == "verified_caller_edge") & verified,
+        "edge": slot.isin(EDGE_SLOTS), "closed": closed, "closed_alone": closed | ((slot == "candidate_reference") & found),
+    }
+    # The tests of a target are pairs of bits of one number (known, true), so a target takes little memory and meets itself in no join.
+    bits = sum((F.when(c, 3 << 2 * n).when(~c, 1 << 2 * n).otherwise(0) for n, c in enumerate(tests.values())), F.lit(0))
+    any_of = lambda n: F.when(F.col("bits").bitwiseAND(2 << 2 * n) > 0, True).when(F.col("bits").bitwiseAND(1 << 2 * n) > 0, False)
+    per_target = slots.where("query_id is not null and symbol is not null").groupBy("query_id", "symbol").agg(
+        F.bit_or(bits).alias("bits"), F.sum(F.when(slot.isin(EDGE_SLOTS), F.col("verified")).otherwise(0)).alias("edges")
     )
+    per_target = per_target.select("query_id", "edges", *[any_of(n).alias(name) for n, name in enumerate(tests)])
+    per_target = per_target.withColumn("any", F.when(F.col("edge"), F.col("closed")).otherwise(F.col("closed_alone")))
     ready = F.col("d") & F.col("i")
     per_query = per_target.groupBy("query_id").agg(
         F.bool_or("d").alias("d"), F.bool_or(ready).alias("ready"), F.count_if(ready).alias("n_ready"), F.bool_or("r").alias("r"),
