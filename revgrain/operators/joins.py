@@ -8,9 +8,12 @@ from revgrain import fixed
 from revgrain.functions import text
 from revgrain.functions.patterns import last_part
 from revgrain.functions.paths import norm_path
-from revgrain.operators.matching import contained
+from revgrain.operators.matching import FEW, contained
 from revgrain.operators.ranking import top_per_key
 
+#: Bytes of a query's snippets that may travel beside each of its claims.
+FEW_BYTES = 1 << 16
+
 
 def explode_indexed(df: DataFrame, keys: list[str], array: str, index: str) -> DataFrame:
     """Array of structs to one row per element with its position."""
@@ -154,9 +157,29 @@ def expected_file_hits(expected: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def claims_covered(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(query_id, claim_index, claim) with ``covered``: a keyword of the claim occurs in some snippet of the query."""
+    snippets = evidence.select("query_id", F.lower(F.coalesce("snippet", F.lit(""))).alias("snippet"))
+    busy = snippets.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("snippet").cast("long")).alias("bytes"))
+    busy = busy.where((F.col("n") > FEW) | (F.col("bytes") > FEW_BYTES)).select("query_id").where("query_id is not null")
+    if busy.isEmpty():
+        return _covered_by_few(claims, snippets)
+    claims_of = lambda how: claims.join(busy, "query_id", how).select(*claims.columns)
+    few = _covered_by_few(claims_of("left_anti"), snippets.join(busy, "query_id", "left_anti"))
+    return few.unionByName(_covered_by_many(claims_of("left_semi"), snippets.join(busy, "query_id", "left_semi")))
+
+
+def _covered_by_few(claims: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Claims whose queries have few snippets; these travel as one array a query, so each claim is sent and cut into words once."""
+    packed = snippets.groupBy("query_id").agg(F.collect_set("snippet").alias("_snippets"))
+    words = F.transform(text.claim_keywords("claim"), F.lower)
+    said = F.exists(words, lambda w: F.exists("_snippets", lambda s: F.contains(s, w)))
+    covered = F.coalesce(said, F.lit(False)) & F.col("claim_index").isNotNull()
+    return claims.join(packed, "query_id", "left").select(*claims.columns, covered.alias("covered"))
+
+
+def _covered_by_many(claims: DataFrame, snippets: DataFrame) -> DataFrame:
     words = claims.select("query_id", "claim_index", F.explode(text.claim_keywords("claim")).alias("word"))
     words = words.withColumn("word", F.lower("word"))
-    snippets = evidence.select("query_id", F.lower(F.coalesce("snippet", F.lit(""))).alias("snippet")).distinct()
+    snippets = snippets.distinct()
     found = contained(snippets, words, ["query_id"], "snippet", "word", once="value").select("query_id", "word").distinct()
     covered = words.join(found, ["query_id", "word"]).select("query_id", "claim_index").distinct()
     return claims.join(covered.withColumn("_hit", F.lit(True)), ["query_id", "claim_index"], "left").select(
