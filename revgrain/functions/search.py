@@ -71,7 +71,7 @@ def word_precision(text: Column | str, word: Column) -> Column:
     pattern = F.concat(edge, literal_col(word), edge)
     return (
         F.when(~F.lower(text).contains(F.lower(word)), 0)
-        .when(F.rlike(text, F.concat(F.lit(UNICODE), pattern)), fixed.PRECISION_EXACT)
+        .when(text.contains(word) & F.rlike(text, F.concat(F.lit(UNICODE), pattern)), fixed.PRECISION_EXACT)
         .when(F.rlike(text, F.concat(F.lit("(?iuU)"), pattern)), fixed.PRECISION_ANY_CASE)
         .otherwise(fixed.PRECISION_SUBSTRING)
     )

@@ -68,7 +68,8 @@ def word_hits(lines: DataFrame, words: DataFrame, keys: Sequence[str] = ("path",
     index = postings(lines, keys) if index is None else index
     words = cut_lineage(words.select("word", "low", "root").distinct())
     rooted, bare = words.where("root is not null"), words.where("root is null")
-    tokens = _in_shards(index.select("token").distinct(), "token", rooted.select("root").distinct(), "root")
+    vocabulary = cut_lineage(index.select("token").distinct())  # the join reads it several times
+    tokens = _in_shards(vocabulary, "token", rooted.select("root").distinct(), "root")
     found = _lines_of(index, tokens, keys).join(rooted, "root").drop("root")
     texts = lines.select(*keys, "line_no", "line")
     hits = texts.join(found, [*keys, "line_no"]).where(F.lower("line").contains(F.col("low")))
