@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,21 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a job go when it ends; else they stay until the driver collects garbage.
+
+    For steps that are written one after the other, and not run again from the same frame.
+    """
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so what is made of one stays small."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revgrain.llm.common import looked_up, release_worker, sliced, steps, written
+from revgrain.llm.common import looked_up, release_worker, sliced, steps, tidied, written
 from revgrain.llm.graph import components
 from revgrain.session import cut_lineage
 
@@ -137,6 +137,11 @@ def _sets_of(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> D
     return written(some.select("id", "text").mapInArrow(make, "id long, shingles binary"), "shingle-sets")
 
 
+def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose ids are in ``pairs`` (a, b), so a round of few pairs sends few rows."""
+    return rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi")
+
+
 def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and minhashes don't rule out."""
 
@@ -145,6 +150,7 @@ def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             yield batch.filter(pa.array((a == b).sum(axis=1) >= AGREE)).select(["a", "b"])
 
+    heads = _met(heads.select("id", "n", "sketch"), pairs)
     one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -163,6 +169,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    sets = _met(sets, pairs)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -172,23 +179,27 @@ def _pairs(x: str, y: str):
 
 
 class Search:
-    """Links found so far among ``heads``, pair by pair, and the components (id, component) they make."""
+    """Components (id, component) that the links found so far among ``heads`` make, and the pairs that were tested."""
 
     def __init__(self, heads: DataFrame, sets: DataFrame, percent: int):
         self.heads, self.sets, self.percent = heads, sets, percent
         self.tested: DataFrame | None = None
-        self.found: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def test(self, pairs: DataFrame) -> bool:
-        """Confirm pairs that are new and merge components; whether there were links."""
-        fresh = cut_lineage(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
-        good = cut_lineage(confirmed(likely(fresh, self.heads, self.percent), self.sets, self.percent))
+        """Confirm pairs that are new and merge components; whether there were links.
+
+        Pairs are written as tables, so their size is known to the joins that follow, and those of few pairs shuffle nothing.
+        """
+        fresh = written(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        some = written(likely(fresh, self.heads, self.percent), "minhash-likely")
+        good = written(confirmed(some, self.sets, self.percent), "minhash-links")
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
         if good.isEmpty():
             return False
-        self.found = good if self.found is None else self.found.unionByName(good)
-        self.labels = cut_lineage(components(self.found))
+        # The components so far are stars, which stand for the links found before.
+        known = good if self.labels is None else good.unionByName(self.labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        self.labels = cut_lineage(components(known))
         return True
 
     def centres(self, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -199,6 +210,7 @@ class Search:
             star = open_.join(spread, "key").select("id", "component", F.explode(ends).alias("to")).filter("component <> to.c")
             if not self.test(star.select(*_pairs("id", "to.h")).distinct()):
                 return open_
+            rows = open_.select("key", "id")  # a bucket of one component stays one
         return _open(rows, self.labels)[0]
 
     def across(self, open_: DataFrame, places: DataFrame) -> None:
@@ -282,7 +294,8 @@ def named_rows(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     number = F.monotonically_increasing_id().alias("id")
     heads = heads.sort("head.id", "head.text_key", "class")
     heads = written(heads.select(number, "class", "many", F.col("head.id").alias("head_id"), *[f"head.{c}" for c in ("text_key", "n", "left", "right", "sketch")]), "minhash-heads")
-    labels = links(docs, heads.drop("class", "many"), percent, id_col, text_col)
+    with tidied(docs.sparkSession):
+        labels = links(docs, heads.drop("class", "many"), percent, id_col, text_col)
     classes = heads.select("id", "class", "many", "head_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     classes = cut_lineage(classes.select("class", "many", "head_id", "component"))
     least = classes.groupBy("component").agg(F.min("head_id").alias("component_id"), F.count(F.lit(1)).alias("many"))
