@@ -2,8 +2,9 @@
 
 Both tokenizer kinds cut a text at white space and then into pieces (runs of letters, digits or signs) before they merge,
 so the ids of a text are those of its pieces in a row. A worker keeps the ids of the chunks and pieces it has met, up to a
-bound, and hands only new pieces to the library, many in one text, with separators that show in the ids. A text with rare
-white space or a control string of the vocabulary, and a chunk of rare characters, goes to the library as it is.
+bound, and hands only new pieces to the library: to its model, which merges one piece, or, if a piece has rare characters,
+many in one text, with separators that show in the ids. A text with rare white space or a control string of the vocabulary,
+and a chunk of rare characters, goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f
 BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Chunks whose lower case and normal form hold no surprise.
 COMMON = re.compile("[!-~\xa1-\u017f]+")
+#: Byte-level vocabularies spell each byte as a character: those that print as themselves, the others as those from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
+#: Whether a piece has characters alone that are spelled as themselves, behind a blank or without one.
+PLAIN = re.compile("[ !-~][!-~]*").fullmatch
 #: The patterns by which the two vocabularies cut chunks into pieces.
 WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -52,6 +58,7 @@ class Encoder:
 
         self.library, self.words = Tokenizer.from_file(path), words
         self.library.encode_special_tokens = plain
+        self.model = self.library.model
         self.control = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: Ids by key (see ``_keys``), the words met lately and those before; None if a text with this key needs a closer look.
         self.kept: dict[str, bytes | None] = {}
@@ -86,7 +93,19 @@ class Encoder:
         return [raw[4 * a:4 * b] for a, b in zip(begins, ends)]
 
     def _list(self, pieces: list[str]) -> list[bytes]:
-        return [ids for at in range(0, len(pieces), TOGETHER) for ids in self._together(pieces[at:at + TOGETHER])]
+        """Ids of each piece. The library's model merges a piece of common characters; the library itself takes the others, as it might cut them."""
+        merge = self.model.tokenize
+        others = [n for n, piece in enumerate(pieces) if not PLAIN(piece)]
+        spelled = [f"Ġ{piece[1:]}" if piece[:1] == " " else piece for piece in pieces]
+        for n in others:
+            spelled[n] = pieces[n].encode().decode("latin-1").translate(SPELLED) if COMMON.fullmatch(pieces[n], pieces[n][:1] == " ") else ""
+        out = [array("I", [t.id for t in merge(piece)]).tobytes() if piece else b"" for piece in spelled]
+        others = [n for n in others if not spelled[n]]
+        for at in range(0, len(others), TOGETHER):
+            some = others[at:at + TOGETHER]
+            for n, ids in zip(some, self._together([pieces[n] for n in some])):
+                out[n] = ids
+        return out
 
     def _many(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces."""
@@ -188,20 +207,15 @@ class Encoder:
     def _encode(self, texts: pa.Array) -> list[bytes]:
         keys = self._keys(texts)
         words = keys.flatten().dictionary_encode()
-        parts = self._met(words.dictionary.to_pylist())
-        sizes = np.array([-1 if p is None else len(p) // 4 for p in parts], dtype="<i8")
-        table = np.frombuffer(b"".join(p for p in parts if p), dtype="<u4")
-        count = np.maximum(sizes, 0)
-        place = np.cumsum(count) - count
-        which = words.indices.to_numpy(zero_copy_only=False)
-        count = count[which]
-        upto = np.concatenate(([0], np.cumsum(count)))
-        ids = table[np.repeat(place[which] - upto[:-1], count) + np.arange(upto[-1])]
-        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False)))).astype("<i8")
-        odd = np.concatenate(([0], np.cumsum(sizes[which] < 0)))[bounds]
+        parts = self._met(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        count = pc.list_value_length(keys).to_numpy(zero_copy_only=False)
+        ids = pa.array(parts, pa.large_binary()).take(words.indices)
+        bounds = np.concatenate(([0], np.cumsum(count))).astype("<i8")
+        odd = np.concatenate(([0], np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))))[bounds]
         odd = (odd[1:] > odd[:-1]) | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
-        raw, ends, odd = ids.tobytes(), (4 * upto[bounds]).tolist(), odd.tolist()
-        return [self._slowly(texts[i].as_py()) if o else raw[ends[i]:ends[i + 1]] for i, o in enumerate(odd)]
+        _, upto, raw = ids.buffers()
+        ends, raw, odd = np.frombuffer(upto, dtype="<i8")[bounds].tolist(), memoryview(raw or b""), odd.tolist()
+        return [self._slowly(texts[i].as_py()) if o else raw[ends[i]:ends[i + 1]].tobytes() for i, o in enumerate(odd)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text."""

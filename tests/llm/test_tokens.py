@@ -37,6 +37,20 @@ def test_ids_are_the_librarys(path, words):
     assert encoder.encode(pa.array([None, "a"]))[0] == b"" and encoder.encode(pa.array([], pa.string())) == []
 
 
+@pytest.mark.parametrize("path, words", [(WORDS, True), (BYTES, False)])
+def test_common_pieces_go_to_the_model_alone(path, words, monkeypatch):
+    sent = []
+    plain = tokens.Encoder._together
+    monkeypatch.setattr(tokens.Encoder, "_together", lambda self, pieces: sent.extend(pieces) or plain(self, pieces))
+    draw = random.Random(3)
+    common = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180)]]
+    texts = [" ".join("".join(draw.choices(common, k=draw.randrange(1, 9))) + draw.choice(["", ".", ",\n", "!?"]) for _ in range(12)) for _ in range(1_500)]
+    texts += ["".join(c) for c in zip(common, common[::-1])] + common + ["Grüße, naïve façade\nÀ côté:", "漢字 " + "word " * 3]
+    want = [array("I", e.ids).tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(path, words).encode(pa.array(texts)) == want
+    assert not [p for p in sent if tokens.COMMON.fullmatch(p.strip(" "))]
+
+
 def test_token_files_read_back(spark, docs):
     rows = [(5, "the cat sat on the mat " * k) for k in range(3)] + [(2, None), (9, ""), (9, ""), (-3, "x" * 3_000)] + [(i, f"text {i} of many") for i in range(10, 300)]
     library = Tokenizer.from_file(WORDS)
