@@ -137,9 +137,15 @@ def _sets_of(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> D
     return written(some.select("id", "text").mapInArrow(make, "id long, shingles binary"), "shingle-sets")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The different ids in ``pairs`` (a, b), each side made distinct first: a centre's id goes out once a task, however many it is paired with."""
+    sides = [pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
 def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows whose ids are in ``pairs`` (a, b), so a round of few pairs sends few rows."""
-    return rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi")
+    return rows.join(_ids(pairs), "id", "left_semi")
 
 
 def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:

@@ -60,3 +60,11 @@ def test_shuffle_files_of_a_step_go_with_it(spark, tmp_path):
     assert not shuffles() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert spark.read.parquet(f"{tmp_path}/a").count() == 7
+
+
+def test_a_centre_of_many_pairs_is_looked_up_once(spark):
+    pairs = spark.range(1, 2001).selectExpr("0L as a", "id as b").unionByName(spark.range(2, 2001).selectExpr("1L as a", "id as b"))
+    met = minhash._met(spark.range(3000).selectExpr("id", "id as n"), pairs)
+    assert sorted(r.id for r in met.collect()) == list(range(2001))
+    assert "Generate" not in met._jdf.queryExecution().executedPlan().toString()
+    assert minhash._ids(pairs).count() == 2001
