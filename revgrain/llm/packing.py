@@ -144,17 +144,11 @@ def numbered(rows: DataFrame) -> DataFrame:
 
     The parts are written, so they stay as they are. A length of any share of the rows is spread over all parts.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, int] = {}
-        for batch in batches:
-            nth = []
-            for n in batch.column("length").to_pylist():
-                nth.append(met.get(n, 0))
-                met[n] = nth[-1] + 1
-            yield batch.append_column("nth", pa.array(nth, pa.int64()))
-
-    parts = rows.withColumn("part", F.spark_partition_id())
-    local = written(parts.mapInArrow(count, parts.schema.simpleString().removeprefix("struct<").removesuffix(">") + ", nth: bigint"), "packing-pieces")
+    # Numbers are counted by Spark: a function behind the one that makes the rows would take a second Python worker a task.
+    parts = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    local = written(parts, "packing-pieces")
+    own = Window.partitionBy("length", "part").orderBy("at")
+    local = local.withColumn("nth", F.row_number().over(own).cast("long") - 1).drop("at")
     sums = local.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     return local.join(sums.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("nth", F.col("nth") + F.col("before"))

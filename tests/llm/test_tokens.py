@@ -121,6 +121,19 @@ def test_packed_pieces(docs):
     assert packing.pack(packing.pieces(docs([]), BYTES, False, 2)).count() == 0
 
 
+def test_pieces_take_one_python_worker_a_task(docs, monkeypatch):
+    plans = []
+    plain = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *more))
+    made = packing.pieces(docs([(i, "a b " * (i % 5)) for i in range(300)]).repartition(3), BYTES, False, 2)
+    rows = packing.numbered(made).select("length", "nth").collect()
+    assert [p.count("MapInArrow") for p in plans] == [1]
+    met = defaultdict(list)
+    for r in rows:
+        met[r.length].append(r.nth)
+    assert len(rows) == 300 and all(sorted(n) == list(range(len(n))) for n in met.values())
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return unigram.pieces_of(PIECES)
